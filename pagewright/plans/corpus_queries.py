@@ -1,0 +1,42 @@
+"""Queries over the crawled corpus: term frequencies (p4) and near-duplicates (p6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.operators.neardup import NearDuplicates
+from pagewright.operators.termfreq import marked_terms
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/corpus_pages.parquet")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_terms(pages(spark, sf_dir)).select("term", F.explode("marks").alias("mark"))
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with its counts; ``mark`` is null for useful terms."""
+    return marked_terms(pages(spark, sf_dir)).select("term", "occurrences", F.col("records").alias("pages"), F.get("marks", F.lit(0)).alias("mark"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    """p6 is stated on sequences of three terms, of pages with at least 100 of them."""
+    return NearDuplicates(pages(spark, sf_dir), "page_id", "content", width=3, threshold=(4, 5), least=100)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _near(spark, sf_dir)
+    return near.pairs(near.links())
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page that can take part: class of equal sets, links of the class, group."""
+    near = _near(spark, sf_dir)
+    return near.groups(near.links())
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_terms, p6_found, p6_groups)}
+ORACLES: dict[str, str] = {}

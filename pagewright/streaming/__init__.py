@@ -1,0 +1,5 @@
+"""Streaming entry points.
+
+The index is write-once and every source is bounded, so all plans are batch
+plans; nothing here keeps state between runs.
+"""

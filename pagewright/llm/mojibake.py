@@ -267,7 +267,8 @@ def _single(text: str, kinds: set[str]) -> str:
     if _MAC.search(text):
         kinds.add("mac_roman as cp1252")
         back = _reverse("cp1252")
-        text = re.sub(f"[{_MAC_CHARS}]", lambda m: bytes([back[m.group()]]).decode("mac_roman") if m.group() in back else m.group(), text)
+        table = {ord(c): bytes([back[c]]).decode("mac_roman") for c in _MAC_CHARS if c in back}
+        text = "\n".join(line.translate(table) if _MAC.search(line) else line for line in text.split("\n"))  # other lines may be sound
     return text
 
 

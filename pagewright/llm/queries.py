@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagewright.llm.mojibake import garbled_pages, restored_pages
 from pagewright.llm.sitelines import repeated_lines, without_lines
 
 
@@ -21,5 +23,15 @@ def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(pages, repeated_lines(pages)).select("page_id", "content")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_pages(_table(spark, sf_dir, "corpus_pages")).select(F.col("id").alias("page_id"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled pages with their content restored as far as possible, and what was wrong."""
+    restored = restored_pages(_table(spark, sf_dir, "corpus_pages")).where(F.size("kinds") > 0)
+    return restored.select(F.col("id").alias("page_id"), "content", "kinds")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p3_found, p3_restored)}
 ORACLES: dict[str, str] = {}

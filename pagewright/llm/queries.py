@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.furniture import main_content, snippet_verdicts
 from pagewright.llm.mojibake import garbled_pages, restored_pages
 from pagewright.llm.sitelines import repeated_lines, without_lines
+from pagewright.llm.stuffing import page_profiles, stuffing_scores
+from pagewright.session import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_scores(spark, sf_dir).where("stuffed").select("page_id")
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures behind p1_found, of every page with enough words."""
+    return stuffing_scores(cut(page_profiles(_table(spark, sf_dir, "corpus_pages")))).withColumnRenamed("id", "page_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(_table(spark, sf_dir, "corpus_pages"))
 
@@ -33,5 +45,23 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored.select(F.col("id").alias("page_id"), "content", "kinds")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p3_found, p3_restored)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = cut(page_profiles(_table(spark, sf_dir, "corpus_pages")))
+    stuffed = stuffing_scores(profiles).where("stuffed").select("id")
+    lines = profiles.select("id", "furniture").join(stuffed, "id", "left_anti").select(F.lit("page").alias("record_kind"), F.col("id").alias("record_id"), F.explode("furniture").alias("line_no"))
+    dirty = snippet_verdicts(_table(spark, sf_dir, "search_results")).where("dirty")
+    return lines.unionByName(dirty.select(F.lit("result").alias("record_kind"), F.col("id").alias("record_id"), F.lit(0).alias("line_no")))
+
+
+def p5_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main body only."""
+    return main_content(_table(spark, sf_dir, "corpus_pages")).withColumnRenamed("id", "page_id")
+
+
+def p5_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snippet, told clean or not."""
+    return snippet_verdicts(_table(spark, sf_dir, "search_results")).select(F.col("id").alias("result_id"), (~F.col("dirty")).alias("clean"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_cleaned, p3_found, p3_restored, p5_found, p5_main, p5_snippets)}
 ORACLES: dict[str, str] = {}

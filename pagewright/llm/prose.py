@@ -17,7 +17,9 @@ FUNCTION_WORDS = {
     "el": "ο η το οι τα του της των τον την τους τις στο στη στην στον στις και ή αλλά είναι ήταν με για από σε που πως ότι να θα δεν μη ένα μια μετά πριν κάθε όταν αν",
 }
 SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-ANY = frozenset().union(*SETS.values())
+#: Words that join nouns into one name ("sécurité des réseaux"); they say nothing about sentences.
+CONNECTIVES = frozenset("de des du d del di da do dos das".split())
+ANY = frozenset().union(*SETS.values()) - CONNECTIVES
 #: Japanese and Chinese particles and endings; these scripts write no spaces.
 _PARTICLE = re.compile("[はをのにがでとへも]|です|ます|的|了|是")
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")

@@ -41,10 +41,12 @@ _HYPHEN = re.compile(r"(?<=\w)-(?=\w)")
 SCHEMA = "id long, furniture array<int>, lang string, words double, off double, function double, spectrum array<struct<tf: int, n: int>>"
 
 
-def _measure(lines: list[str]) -> tuple[float, float, float, list[str]]:
-    """Words, words in diverging lines, function words, and all terms of the body lines."""
+def _measure(lines: list[str], restored: bool = False) -> tuple[float, float, float, list[str]]:
+    """Words, words in diverging lines, function words, and all terms of the body lines.
+    Lines that are still garbled after restoring can't be told from prose."""
     words = off = function = 0.0
     body: list[str] = []
+    filler = sum(len(_FILLER.findall(text)) for text in lines) >= 3
     for text in lines:
         tokens = text_terms(text)
         if len(tokens) < 2 and not any(c in text for c in "#/") and len(text) < 30:
@@ -54,7 +56,7 @@ def _measure(lines: list[str]) -> tuple[float, float, float, list[str]]:
         weight = max(float(len(tokens)), len(text) / 6)
         words += weight
         function += share * weight
-        if share < LEAST_SHARE and not _FILLER.search(text):
+        if share < LEAST_SHARE and not filler and not (restored and damage(text)):
             off += weight
         body += tokens
     return words, off, function, body
@@ -70,7 +72,7 @@ def _pass(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
             texts = [line.text for (_, line), f in zip(lines, marks) if not f and line.first not in ("title", "h1", "h2", "h3") and not _NOTES.match(line.skeleton)]
             words, off, function, body = _measure(texts)
             if off > 0.2 * words and damage("\n".join(texts)):
-                words, off, function, body = _measure(restore("\n".join(texts))[0].split("\n"))
+                words, off, function, body = _measure(restore("\n".join(texts))[0].split("\n"), restored=True)
             spectrum = Counter(Counter(body).values())
             out["id"].append(page_id)
             out["furniture"].append([n for (n, _), f in zip(lines, marks) if f])
@@ -94,8 +96,8 @@ def curves(profiles: DataFrame) -> DataFrame:
     ranked = spectrum.withColumn("rank", F.sum("n").over(below) - (F.col("n") - 1) / 2)
     x, y = F.ln("rank"), F.ln("tf")
     return ranked.groupBy("id").agg(
-        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
-        F.sqrt(F.coalesce(F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(1.0))), F.lit(0.0)) / F.count("*")).alias("residual"),
+        F.nanvl(F.coalesce(F.regr_slope(y, x), F.lit(0.0)), F.lit(0.0)).alias("slope"),
+        F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(1.0))), F.lit(0.0))) / F.count("*")).alias("residual"),
     )
 
 

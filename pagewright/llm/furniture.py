@@ -31,7 +31,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.visible import strip_markup
+from pagewright.functions.visible import TAG, strip_markup
 from pagewright.session import map_columns
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
@@ -77,6 +77,8 @@ WORDINGS = (
     r"~nderungen melden:", r"no responde del contenido enlazado", r"tel~fono de informaci~n de", r"aviso legal y protecci~n", r"les liens externes n'engagent", r"~crire au webmestre", r"mentions l~gales et donn~es",
 )
 _WORDING = re.compile("|".join(WORDINGS))
+#: Every match of a wording holds one of these literal pieces; looking for them first is much cheaper.
+_PIECES = tuple({p for w in WORDINGS for p in re.split(r"[^a-z~' ]+", w.replace("~ ?#", "").replace("log ?in", "in or")) if len(p.strip()) >= 4})
 _LABELLED = re.compile(r"^\W*(?:tags|related|read next|more like this|see also|schlagw~rter|etiquetas|mots-cl~s|categories|filed under) ?: ")
 _ADDRESS = re.compile(r"^\W*[^.!?]{3,60}, [^.!?,]{3,30}, # [^.!?,]{3,30} (?:road|street|avenue|lane|way|str\.?|stra~e), [^.!?,]{3,30}\W*$")
 _PAGING = re.compile(r"^\W*(?:~ )?(?:previous|prev|next|older|newer|zur~ck|weiter|anterior|siguiente|pr~c~dent|suivant)(?: (?:page|post|article|entry|story))?(?: ?[|/~\-].*)?\W*$|^\W*(?:previous|next|zur~ck|weiter|anterior|siguiente|pr~c~dent|suivant) ?: \S")
@@ -119,7 +121,7 @@ def _crumbs(s: str) -> bool:
 
 def says_furniture(s: str) -> int:
     """What a line's skeleton says: 2 furniture wherever it stands, 1 furniture outside the content region, 0 nothing."""
-    if _WORDING.search(s) and len(s) < 200:
+    if any(p in s for p in _PIECES) and _WORDING.search(s):
         return 2
     if _LABELLED.match(s) or _ADDRESS.match(s) or s in SIDEBARS or s.strip("*- ") in SIDEBARS or _PAGING.match(s):
         return 2
@@ -135,14 +137,14 @@ def says_furniture(s: str) -> int:
 
 
 class _Events(HTMLParser):
-    """Counts of one line: tag events, text characters, link characters; and its first block tag."""
+    """Counts of one line: tag events and text; its first tag, and whether it shows code."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.begin()
 
     def begin(self) -> None:
-        self.tags, self.text, self.first, self.links, self.code, self._anchor, self._hidden = 0, [], "", 0, False, 0, 0
+        self.tags, self.text, self.first, self.code, self._hidden = 0, [], "", False, 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -150,30 +152,34 @@ class _Events(HTMLParser):
             self._hidden += 1
         elif not self.first and tag not in ("br", "hr"):
             self.first = tag
-        self._anchor += tag == "a"
         self.code |= tag in ("pre", "code")
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in ("script", "style", "noscript"):
             self._hidden = max(0, self._hidden - 1)
-        self._anchor = max(0, self._anchor - (tag == "a"))
 
     def handle_data(self, data):
         if not self._hidden:
             self.text.append(data)
-            self.links += len(data) if self._anchor else 0
 
 
 class Line:
-    __slots__ = ("text", "skeleton", "says", "ratio", "first", "code", "linked", "plain")
+    __slots__ = ("text", "skeleton", "says", "ratio", "first", "code", "plain", "shows")
 
     def __init__(self, raw: str, visible: str, parser: _Events):
         self.text = " ".join(visible.split())
-        self.skeleton = skeleton(self.text)
+        # lines of this length are no furniture and no notes; what they say isn't looked at
+        short = len(self.text) < 200
+        self.skeleton = skeleton(self.text) if short else ""
+        self.shows = any(map(str.isalnum, self.text))
         self.plain = "<" not in raw
         if self.plain:
-            self.ratio, self.first, self.code, self.linked = float(len(self.text)), "", False, False
+            self.ratio, self.first, self.code = float(len(self.text)), "", False
+        elif not short:
+            # a paragraph: its tags are counted without the parser, which gives the same number
+            tags = TAG.findall(raw)
+            self.ratio, self.first, self.code = len(self.text) / max(1, len(tags)), tags[0][1:].split(">")[0].split(" ")[0].lower() if tags else "", "<code" in raw or "<pre" in raw
         else:
             parser.reset()
             parser.begin()
@@ -181,8 +187,7 @@ class Line:
             parser.close()
             length = len(" ".join("".join(parser.text).split()))
             self.ratio, self.first, self.code = length / max(1, parser.tags), parser.first, parser.code
-            self.linked = parser.links > 0.6 * max(1, length)
-        self.says = says_furniture(self.skeleton) if any(map(str.isalnum, self.text)) else 0
+        self.says = says_furniture(self.skeleton) if short else 0
 
 
 class LineReader:
@@ -205,8 +210,8 @@ class LineReader:
                 if line is None:
                     line = self.known[raw] = Line(raw, html.unescape(shown), self.parser)
             else:
-                line = Line(raw, html.unescape(shown), self.parser)
-            if line.text and any(map(str.isalnum, line.text)):
+                line = Line(raw, html.unescape(shown) if "&" in shown else shown, self.parser)
+            if line.shows:
                 out.append((number, line))
         return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 #: Common function words, casefolded.
 FUNCTION_WORDS = {
@@ -27,9 +28,10 @@ _WIDE = re.compile("[぀-ヿ㐀-鿿]")
 
 def language(words: list[str]) -> str:
     """The language whose function words are most frequent, ``ja`` for wide scripts, ``-`` for none."""
+    counts = Counter(words)
     best, name = 0, "-"
     for code, known in SETS.items():
-        n = sum(w in known for w in words)
+        n = sum(counts[w] for w in known & counts.keys())
         if n > best:
             best, name = n, code
     return name
@@ -39,7 +41,7 @@ def function_share(text: str, words: list[str]) -> float:
     """Share of function words; of particles, for text in a script without spaces."""
     if not words:
         return 0.0
-    wide = len(_WIDE.findall(text))
+    wide = 0 if text.isascii() else len(_WIDE.findall(text))
     if wide > 0.3 * len(text):
         return min(1.0, 2.5 * len(_PARTICLE.findall(text)) / wide)
-    return sum(w in ANY for w in words) / len(words)
+    return sum(map(ANY.__contains__, words)) / len(words)

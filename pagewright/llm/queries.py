@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.furniture import main_content, snippet_verdicts
 from pagewright.llm.mojibake import garbled_pages, restored_pages
+from pagewright.llm.residue import fit, residue_pages, residue_titles
 from pagewright.llm.sitelines import repeated_lines, without_lines
 from pagewright.llm.stuffing import page_profiles, stuffing_scores
 from pagewright.session import cut
@@ -63,5 +64,18 @@ def p5_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippet_verdicts(_table(spark, sf_dir, "search_results")).select(F.col("id").alias("result_id"), (~F.col("dirty")).alias("clean"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_cleaned, p3_found, p3_restored, p5_found, p5_main, p5_snippets)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, results = _table(spark, sf_dir, "corpus_pages"), _table(spark, sf_dir, "search_results")
+    model = fit(pages)
+    found = residue_pages(pages, model).select(F.lit("page").alias("record_kind"), F.col("id").alias("record_id"))
+    return found.unionByName(residue_titles(results, model).select(F.lit("result").alias("record_kind"), F.col("id").alias("record_id")))
+
+
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that are left when residue is taken out."""
+    pages = _table(spark, sf_dir, "corpus_pages")
+    return pages.select("page_id", "url").join(residue_pages(pages, fit(pages)), F.col("page_id") == F.col("id"), "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_cleaned, p3_found, p3_restored, p5_found, p5_main, p5_snippets, p7_found, p7_kept)}
 ORACLES: dict[str, str] = {}

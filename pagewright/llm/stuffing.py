@@ -56,7 +56,7 @@ def _measure(lines: list[str], restored: bool = False) -> tuple[float, float, fl
         weight = max(float(len(tokens)), len(text) / 6)
         words += weight
         function += share * weight
-        if share < LEAST_SHARE and not filler and not (restored and damage(text)):
+        if share < LEAST_SHARE and not filler and not (restored and (damage(text) or sum(c > "\x7f" for c in text) > 0.3 * len(text))):
             off += weight
         body += tokens
     return words, off, function, body

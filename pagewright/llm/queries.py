@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.furniture import main_content, snippet_verdicts
+from pagewright.llm.lookalike import consistent_forms, same_reading_pairs
+from pagewright.llm.mixing import mixture, shares, sized_texts
 from pagewright.llm.mojibake import garbled_pages, restored_pages
 from pagewright.llm.residue import fit, residue_pages, residue_titles
 from pagewright.llm.sitelines import repeated_lines, without_lines
 from pagewright.llm.stuffing import page_profiles, stuffing_scores
+from pagewright.llm.tokenizer import decoded, with_ids
 from pagewright.session import cut
 
 
@@ -77,5 +80,33 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url").join(residue_pages(pages, fit(pages)), F.col("page_id") == F.col("id"), "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_cleaned, p3_found, p3_restored, p5_found, p5_main, p5_snippets, p7_found, p7_kept)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ids(_table(spark, sf_dir, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text isn't what its ids decode to (none)."""
+    documents = _table(spark, sf_dir, "documents")
+    back = decoded(with_ids(documents)).withColumnRenamed("text", "back")
+    return documents.select("doc_id", "text").join(back, "doc_id").where(~F.col("text").eqNullSafe(F.col("back"))).select("doc_id")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(sized_texts(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(cut(p9_mix(spark, sf_dir)), _table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_reading_pairs(consistent_forms(_table(spark, sf_dir, "documents")))
+
+
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its consistent form."""
+    return consistent_forms(_table(spark, sf_dir, "documents")).select("doc_id", "form")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_cleaned, p3_found, p3_restored, p5_found, p5_main, p5_snippets, p7_found, p7_kept, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_forms)}
 ORACLES: dict[str, str] = {}

@@ -38,6 +38,8 @@ TABLES, BITS, RADIUS = 10, 28, 2
 #: 280 fingerprint bits: a pair at J = 0.8 differs in 28 +- 5 of them, unrelated pages in 140 +- 8.4.
 MAX_DISTANCE = 70
 _CACHE = 400_000
+#: Bits of the bitmap of involved ids: 2^17 words of 64 bits, 1 MB whatever the input.
+FILTER_WORDS = 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +125,12 @@ def _sets(width: int):
     return run
 
 
+def _place(key: Column) -> tuple[Column, Column]:
+    """Word and bit of an id in the bitmap."""
+    h = F.xxhash64(key)
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+
+
 class NearDuplicates:
     """``members`` (id, class_id), ``links`` (a, b of class representatives, a < b) and what follows from them."""
 
@@ -156,9 +164,16 @@ class NearDuplicates:
         return met.where(distance <= MAX_DISTANCE).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets reach the threshold, with the sizes compared exactly."""
+        """The pairs (a, b) whose sets reach the threshold, with the sizes compared exactly.
+
+        Contents are shuffled for the exact semi-join only after a bitmap of the
+        involved ids has let them through; the bitmap has a fixed size, so it can be
+        broadcast at any scale (when it fills up it only filters less)."""
         involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        items = cut(map_columns(self.pages.join(involved, "id", "left_semi"), ["id", "content"], _sets(self.width), "id long, items array<long>").dropDuplicates(["id"]))
+        place, bit = _place(F.col("id"))
+        words = involved.groupBy(place.alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+        near = self.pages.withColumn("place", place).join(F.broadcast(words), "place").where(F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0)
+        items = cut(map_columns(near.select("id", "content").join(involved, "id", "left_semi"), ["id", "content"], _sets(self.width), "id long, items array<long>").dropDuplicates(["id"]))
         both = pairs
         for side in ("a", "b"):
             both = both.join(items.select(F.col("id").alias(side), F.col("items").alias(f"items_{side}")), side)

@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def site(url: Column) -> Column:
     """Host in lower case without a leading ``www.`` and without port; null where there is no host."""
     host = F.regexp_extract(F.lower(url), r"^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)", 1)
     return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+
+
+def without_fragment(url: Column) -> Column:
+    return F.split_part(url, F.lit("#"), F.lit(1))
+
+
+_PARTS = r"^(?:[^:/?#]+:)?(?://([^/?#]*))?([^?#]*)"
+
+
+def display_url(url: Column) -> Column:
+    """Host and path, without scheme, query and fragment."""
+    return F.concat(F.regexp_extract(url, _PARTS, 1), F.regexp_extract(url, _PARTS, 2))
+
+
+def unquoted(url: Column) -> Column:
+    """Percent-decoded as far as possible; texts without a percent sign (nearly all) stay in the engine."""
+    return F.when(F.contains(url, F.lit("%")), _unquote(url)).otherwise(url)
+
+
+@F.pandas_udf(StringType())
+def _unquote(urls: pd.Series) -> pd.Series:
+    return urls.map(unquote, na_action="ignore")
+
+
+def fallback_title(url: Column) -> Column:
+    """Last part of the path in words, or the host."""
+    tail = F.regexp_extract(F.regexp_replace(F.regexp_extract(url, _PARTS, 2), "/+$", ""), "([^/]*)$", 1)
+    words = F.array_join(F.transform(F.filter(F.split(F.translate(unquoted(tail), "-_", "  "), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), " ")
+    return F.when(tail == "", F.regexp_extract(url, _PARTS, 1)).otherwise(words)

@@ -29,6 +29,7 @@ from pagewright.plans.search import ANALYZERS, Index
 from pagewright.session import cut, map_columns
 
 FORMAT_VERSION = 2
+V1_ENTRY = "map<string,array<bigint>>"
 
 
 @dataclass
@@ -144,7 +145,7 @@ def build(spark: SparkSession, records: DataFrame, path: str, overwrite: bool =
 def lexicon_v1(spark: SparkSession, path: str) -> DataFrame:
     """``(term, offset, length, df, pos)`` of a version 1 lexicon: one JSON object of term to [offset, length, df]."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.from_json("value", "map<string,array<bigint>>")).alias("pos", "term", "entry")).select("term", F.get("entry", F.lit(0)).alias("offset"), F.get("entry", F.lit(1)).alias("length"), F.get("entry", F.lit(2)).alias("df"), "pos")
+    return raw.select(F.posexplode(F.from_json("value", V1_ENTRY)).alias("pos", "term", "entry")).select("term", F.get("entry", F.lit(0)).alias("offset"), F.get("entry", F.lit(1)).alias("length"), F.get("entry", F.lit(2)).alias("df"), "pos")
 
 
 def upgrade(spark: SparkSession, v1_lexicon: str, target: str, version: int = 1) -> None:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pagewright.operators.neardup import NearDuplicates
 from pagewright.operators.termfreq import marked_terms
+from pagewright.sources.tables import texts
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/corpus_pages.parquet")
+    return texts(spark, sf_dir, "corpus_pages")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

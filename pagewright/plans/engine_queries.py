@@ -13,10 +13,11 @@ from pagewright.operators.dense import with_dense_ids
 from pagewright.operators.report import nearest_rank, summary
 from pagewright.plans.index import V1_ENTRY, analysed, index_of_pages, index_of_texts
 from pagewright.plans.search import Index, search_batch
+from pagewright.sources.tables import table, texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return (texts if name == "corpus_pages" else table)(spark, sf_dir, name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,11 @@ from pagewright.llm.sitelines import repeated_lines, without_lines
 from pagewright.llm.stuffing import page_profiles, stuffing_scores
 from pagewright.llm.tokenizer import decoded, with_ids
 from pagewright.session import cut
+from pagewright.sources.tables import table, texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return (table if name == "mix_targets" else texts)(spark, sf_dir, name)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

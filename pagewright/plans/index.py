@@ -13,13 +13,13 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions.htmlfields import document_fields
+from pagewright.functions.htmlfields import Fields, document_fields
 from pagewright.functions.text import tokenize_column
 from pagewright.functions.url import unquoted, without_fragment
 from pagewright.operators.dedup import kept_records
@@ -41,7 +41,7 @@ class BuildStats:
     elapsed_seconds: float = 0.0
 
 
-def analysed(records: DataFrame, order: str = "source") -> DataFrame:
+def analysed(records: DataFrame, order: str = "source", read: Callable[[str], Fields] = document_fields) -> DataFrame:
     """Fields of every page: ``(order, url, ok, doc_len, title, snippet, terms)``; ok is false where analysis failed."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -49,7 +49,7 @@ def analysed(records: DataFrame, order: str = "source") -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("ok", "doc_len", "title", "snippet", "terms")} | {"source": batch["source"], "url": batch["url"]}
             for content in batch["content"]:
                 try:
-                    f = document_fields(content)
+                    f = read(content)
                     terms = [{"term": t, "tf": n, "important_tf": f.important.get(t, 0)} for t, n in f.total.items()]
                     row = True, sum(f.total.values()), f.title, f.snippet, terms
                 except Exception:  # a page that can't be read is counted and left out
@@ -63,11 +63,11 @@ def analysed(records: DataFrame, order: str = "source") -> DataFrame:
     return map_columns(records.select(F.col(order).alias("source"), "url", "content"), ["source", "url", "content"], run, schema)
 
 
-def index_of_pages(records: DataFrame, order: str = "source") -> tuple[Index, BuildStats]:
+def index_of_pages(records: DataFrame, order: str = "source", read: Callable[[str], Fields] = document_fields) -> tuple[Index, BuildStats]:
     """An index (not written yet) of HTML or text pages, with stems."""
     records = records.where(F.col("url").isNotNull() & F.col("content").isNotNull()).withColumn("url", without_fragment(F.col("url")))
     kept = cut(kept_records(records, order))
-    pages = cut(analysed(kept, order))
+    pages = cut(analysed(kept, order, read))
     good = with_dense_ids(pages.where("ok"), ["source", "url"]).withColumn("url_terms", F.array_distinct(tokenize_column(unquoted(F.col("url")))))
     good = cut(good)
     documents = good.select("doc_id", "url", "doc_len", "title", "snippet", "url_terms")

@@ -53,7 +53,7 @@ def normalise(line: str) -> str:
 
 
 def letters(line: str) -> int:
-    return len(_NO_LETTER.sub("", line))
+    return len(_NO_LETTER.sub("", line)) if line.isascii() else sum(map(str.isalpha, line))
 
 
 def chunks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -173,7 +173,8 @@ class NearDuplicates:
         place, bit = _place(F.col("id"))
         words = involved.groupBy(place.alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
         near = self.pages.withColumn("place", place).join(F.broadcast(words), "place").where(F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0)
-        items = cut(map_columns(near.select("id", "content").join(involved, "id", "left_semi"), ["id", "content"], _sets(self.width), "id long, items array<long>").dropDuplicates(["id"]))
+        # an inner join with the distinct ids: a semi-join would be pushed below the bitmap and shuffle every content
+        items = cut(map_columns(near.select("id", "content").join(involved, "id"), ["id", "content"], _sets(self.width), "id long, items array<long>").dropDuplicates(["id"]))
         both = pairs
         for side in ("a", "b"):
             both = both.join(items.select(F.col("id").alias(side), F.col("items").alias(f"items_{side}")), side)

@@ -13,8 +13,8 @@ the languages of the corpus), lines made of navigation words only, breadcrumbs,
 and runs of short link lines outside the region.
 
 Wordings are compared on a skeleton of the line (casefolded, digits as ``#``, any
-run of characters outside ASCII as ``~``), so text with damaged characters still
-matches.
+run of characters outside ASCII as ``~``, words of such letters only as ``^``), so
+text with damaged characters still matches.
 
 Defined cases: null and empty contents have no lines; a line without letter or
 digit is no furniture; repeated rows are judged alike.
@@ -39,7 +39,11 @@ _DIGITS = re.compile(r"\d+")
 
 
 def skeleton(text: str) -> str:
-    return " ".join(_DIGITS.sub("#", _HIGH.sub("~", text.casefold())).split())
+    words = _DIGITS.sub("#", text.casefold()).split()
+    if text.isascii():
+        return " ".join(words)
+    # a word of such letters only ("à") must not look like a separator
+    return " ".join(w if w.isascii() else "^" if w.isalpha() and _HIGH.fullmatch(w) else _HIGH.sub("~", w) for w in words)
 
 
 def _sk(words: str) -> frozenset[str]:

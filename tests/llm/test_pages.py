@@ -139,6 +139,7 @@ def test_furniture_tables(spark, pages_of):
     results = spark.createDataFrame([(1, "Skip to main content Home"), (2, PROSE), (3, None), (4, ""), (5, "Title Courses » A page on it " + PROSE)], "result_id long, snippet string")
     assert {r.id: r.dirty for r in snippet_verdicts(results).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
     assert not snippet_has_furniture("Our library and research groups answer questions.")
+    assert not snippet_has_furniture("Cette séance n'exige pas de préalable, même si le réseau aide à comprendre la suite.")
 
 
 # ---- p1

@@ -234,6 +234,7 @@ def _percentile(column: str, fraction: float) -> str:
 ORACLES = {
     "strip_fragment": "SELECT page_id, split_part(url, '#', 1) AS url FROM corpus_pages",
     "url_display": f"SELECT page_id, {_HOST} || {_PATH} AS display_url FROM corpus_pages",
+    "url_fallback_title": f"WITH t AS (SELECT page_id, {_HOST} AS host, regexp_extract(regexp_replace({_PATH}, '/+$', ''), '([^/]*)$', 1) AS tail FROM corpus_pages) SELECT page_id, CASE WHEN tail = '' THEN host ELSE array_to_string(list_transform(list_filter(string_split_regex(translate(url_decode(replace(tail, '+', '%2B')), '-_', '  '), '\\s+'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS title FROM t",
     "url_terms": f"SELECT DISTINCT page_id, unnest({T.terms_sql('url')}) AS term FROM corpus_pages WHERE url IS NOT NULL",
     "dedup_exact_documents": "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text",
     "assign_doc_ids": "SELECT page_id, row_number() OVER (ORDER BY source, page_id) - 1 AS doc_id FROM corpus_pages",

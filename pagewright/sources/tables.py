@@ -10,7 +10,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose texts are parsed: one that lies in far fewer files than there are cores is spread over them first."""
+    """A table whose texts are parsed: one read in far fewer parts than there are cores is spread over them first."""
     df = table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -169,7 +169,7 @@ class _Events(HTMLParser):
 
 
 class Line:
-    __slots__ = ("text", "skeleton", "says", "ratio", "first", "code", "plain", "shows")
+    __slots__ = ("text", "skeleton", "says", "ratio", "first", "code", "shows")
 
     def __init__(self, raw: str, visible: str, parser: _Events):
         self.text = " ".join(visible.split())
@@ -177,8 +177,7 @@ class Line:
         short = len(self.text) < 200
         self.skeleton = skeleton(self.text) if short else ""
         self.shows = any(map(str.isalnum, self.text))
-        self.plain = "<" not in raw
-        if self.plain:
+        if "<" not in raw:
             self.ratio, self.first, self.code = float(len(self.text)), "", False
         elif not short:
             # a paragraph: its tags are counted without the parser, which gives the same number
@@ -295,8 +294,6 @@ def furniture_lines(reader: LineReader, content: str | None) -> list[int]:
     return [number for (number, _), is_furniture in zip(lines, judge(lines)) if is_furniture]
 
 
-_SNIPPET_CRUMB = re.compile(r"(?:^|[ .])([a-z~' ]{2,30}?) ?(?:>|/|~) ")
-
 
 def snippet_has_furniture(snippet: str | None) -> bool:
     """A snippet is one run of text: any wording, sidebar heading, breadcrumb or two navigation labels in a row count."""

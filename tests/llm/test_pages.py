@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+
 
 from pagewright.functions.visible import visible_lines
 from pagewright.llm import residue

@@ -12,7 +12,7 @@ def test_visible_text():
     assert visible_text(None) == "" and visible_text("") == "" and visible_lines("1 < 2") == ["1 < 2"]
 
 
-def test_terms_fold_like_the_reference():
+def test_terms_are_casefolded():
     assert terms("Straße_x ΣΑΣ ﬁn İa") == ["strasse", "x", "σασ", "fin", "i̇a"]
     assert text_terms("") == []
 

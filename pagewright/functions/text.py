@@ -19,24 +19,35 @@ from pyspark.sql.types import ArrayType, StringType
 _ALL = [chr(o) for o in range(0x80, sys.maxunicode + 1) if not 0xD800 <= o < 0xE000]
 #: Characters whose casefold isn't their lower case (built from the rule).
 FOLDS = {c: c.casefold() for c in _ALL if c.casefold() != c.lower()} | {c: c.casefold() for c in "ß"}
-_SINGLE = {c: f for c, f in FOLDS.items() if len(f) == 1}
-_MANY = {c: f for c, f in FOLDS.items() if len(f) > 1}
-SPECIAL = "[" + "".join(FOLDS) + "Σ]"
+#: All of these but sharp s and the sigmas, which the short path folds itself.
+RARE = "".join(c for c in FOLDS if c not in "ßẞςΣ")
 WORD = r"([\p{L}\p{N}]+)"
 
 
+def _quick(text: Column) -> Column:
+    """Casefold of text without rare characters: letters stay letters, so it can go before the cutting."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
 def fold(text: Column) -> Column:
-    """Casefold; a capital sigma folds to the plain small one wherever it stands."""
-    out = F.translate(text, "".join(_SINGLE) + "Σ", "".join(_SINGLE.values()) + "σ")
-    for c, f in _MANY.items():
-        out = F.replace(out, F.lit(c), F.lit(f))
-    return F.translate(F.lower(out), "ς", "σ")
+    """Casefold, character by character; a sigma folds to the plain small one wherever it stands."""
+    table = F.create_map(*(F.lit(x) for pair in {**FOLDS, "Σ": "σ", "ς": "σ"}.items() for x in pair))
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))), "")
+
+
+def _has_rare(text: Column) -> Column:
+    """By one table lookup a character; a character class of this size would be tried member by member."""
+    return F.length(F.translate(text, RARE, "")) != F.length(text)
+
+
+def _cut(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
 
 
 def terms(text: Column) -> Column:
     """Array of surface terms in order; null for null, empty for text without any."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
-    return F.when(text.rlike(SPECIAL), F.transform(found, fold)).otherwise(F.transform(found, F.lower))
+    slow = F.transform(_cut(text), lambda w: F.when(_has_rare(w), fold(w)).otherwise(_quick(w)))
+    return F.when(_has_rare(text), slow).otherwise(_cut(_quick(text)))
 
 
 def terms_sql(text: str) -> str:

@@ -17,7 +17,7 @@ from pagewright.sources.tables import table, texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return (texts if name == "corpus_pages" else table)(spark, sf_dir, name)
+    return (texts if name in ("corpus_pages", "documents") else table)(spark, sf_dir, name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

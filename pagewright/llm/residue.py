@@ -10,7 +10,9 @@ so, which keeps whole languages from drifting to the small class.
 
 The classifier is fitted on a bounded sample (``SAMPLE_PAGES`` records taken by
 hash of the id, at most ``SAMPLE_PASSAGES`` passages) and then scores every
-passage of every record.  A record is residue if a passage has an unfilled
+passage of every record.  A passage of more than ``WINDOW`` words is cut into
+consecutive windows of about equal size, in fitting and in scoring alike; each
+is scored and weighs by its length, so all words of a passage count.  A record is residue if a passage has an unfilled
 placeholder that is not shown as code or explained, if a title is scored as
 residue, or if most of its main body is.
 
@@ -33,6 +35,8 @@ from pagewright.llm.furniture import _NOTES, LineReader, judge
 from pagewright.session import map_columns
 
 SAMPLE_PAGES, SAMPLE_PASSAGES = 4_000, 40_000
+#: Words that are scored together.
+WINDOW = 60
 ROUNDS, TITLE_AT, BODY_AT, MOST, SMOOTH = 3, 0.9, 0.9, 0.5, 2.0
 
 #: Syntax of unfilled placeholders.
@@ -84,7 +88,14 @@ def words(text: str, kind: str) -> list[str]:
     """Features of a passage: its kind with each word; slugs and numbers as one word each; its size."""
     flat = _SLUG.sub(" slugword ", re.sub(r"\d+", "#", text.casefold()))
     found = _WORD.findall(flat)
-    return [f"{kind} {w}" for w in found[:60]] + [f"{kind} size {min(6, len(found).bit_length())}"]
+    return [f"{kind} {w}" for w in found] + [f"{kind} size {min(6, len(found).bit_length())}"]
+
+
+def windows(text: str, kind: str) -> list[list[str]]:
+    """The features of a passage in consecutive windows that leave no word out; each has the size of the whole."""
+    *found, size = words(text, kind)
+    n = max(1, -(-len(found) // WINDOW))
+    return [[*found[len(found) * i // n : len(found) * (i + 1) // n], size] for i in range(n)]
 
 
 def has_placeholder(text: str) -> bool:
@@ -179,8 +190,8 @@ def _sample_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]
     for batch in batches:
         found = [p for c in batch["content"] for p in passages(reader, c)]
         # a sentence around a placeholder is ordinary text, so it teaches neither class
-        found = [p for p in found if not p.placeholder]
-        yield {"kind": [p.kind for p in found], "text": [p.text for p in found], "trusted": [trusted(p) for p in found]}
+        cut = [(w, trusted(p)) for p in found if not p.placeholder for w in windows(p.text, p.kind)]
+        yield {"features": [w for w, _ in cut], "trusted": [t for _, t in cut]}
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") -> Model:
@@ -189,11 +200,11 @@ def fit(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") ->
     records = pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))
     if n > SAMPLE_PAGES:
         records = records.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_PAGES / n))
-    rows = map_columns(records, ["content"], _sample_rows, "kind string, text string, trusted boolean").limit(SAMPLE_PASSAGES).toLocalIterator()
+    rows = map_columns(records, ["content"], _sample_rows, "features array<string>, trusted boolean").limit(SAMPLE_PASSAGES).toLocalIterator()
     positive = [words(t, "t") for t in TITLES] * 2 + [words(t, "b") for t in NOTICES] * 2
     unlabelled = []
     for r in rows:
-        (positive if r.trusted else unlabelled).append(words(r.text, r.kind))
+        (positive if r.trusted else unlabelled).append(list(r.features))
     return Model.fit(positive, unlabelled)
 
 
@@ -209,10 +220,15 @@ def is_residue(model: Model, found: list[Passage]) -> bool:
     body = sorted((p for p in found if p.kind == "b"), key=lambda p: -len(p.text))
     left = sum(len(p.text) for p in body) * (1 - MOST)
     for p in body:
-        if not (trusted(p) or model.posterior(words(p.text, "b")) >= BODY_AT):
-            left -= len(p.text)
-            if left < 0:  # the rest can't be most of the body any more
-                return False
+        if trusted(p):
+            continue
+        cut = windows(p.text, "b")
+        size = sum(map(len, cut))
+        for w in cut:
+            if model.posterior(w) < BODY_AT:
+                left -= len(p.text) * len(w) / size
+                if left < 0:  # the rest can't be most of the body any more
+                    return False
     return bool(body)
 
 

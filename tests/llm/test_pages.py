@@ -189,3 +189,18 @@ def test_held_out_passages_are_told_apart():
     model = residue.Model.fit([residue.words(x, "b") for x in notices[:half]] * 2, [residue.words(x, "b") for x in prose[:200]])
     assert sum(model.posterior(residue.words(x, "b")) < 0.5 for x in prose[200:]) >= 190
     assert sum(model.posterior(residue.words(x, "b")) >= 0.5 for x in notices[half:]) >= 0.6 * (len(notices) - half)
+
+
+def test_all_words_of_a_long_passage_count():
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join(rng.choice(PROSE.casefold().split()) for _ in range(n))
+
+    model = residue.Model.fit([residue.words(x, "b") for x in residue.NOTICES] * 2, [residue.words(prose(30), "b") for _ in range(200)])
+    error = "the page could not be found on this server please try again later or enable scripts and reload it " * 8
+    reader = LineReader()
+    for text, residual in ((prose(65) + " " + error, True), (error[:380] + prose(200), False), (prose(300), False), (error, True)):
+        assert len(text) > 160 and residue.is_residue(model, residue.passages(reader, f"<title>Survey of the term</title>\n<p>{text}</p>")) == residual
+    cut = residue.windows(prose(1000), "b")
+    assert sum(map(len, cut)) == 1000 + len(cut) and max(map(len, cut)) <= residue.WINDOW + 1

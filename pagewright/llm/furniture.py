@@ -12,6 +12,12 @@ place together with what it says: wordings of furniture (fixed values below, in
 the languages of the corpus), lines made of navigation words only, breadcrumbs,
 and runs of short link lines outside the region.
 
+A line of 200 characters or more is judged by the same navigation words, labels
+and breadcrumbs, unless it reads as a sentence.  A wording in it speaks for the
+sentence it stands in: the line is furniture if such sentences (each under 200
+characters) make up half of it, or if sentences of any length make up a fifth and
+the line stands outside the content region.
+
 Wordings are compared on a skeleton of the line (casefolded, digits as ``#``, any
 run of characters outside ASCII as ``~``, words of such letters only as ``^``), so
 text with damaged characters still matches.
@@ -31,7 +37,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.visible import TAG, strip_markup
+from pagewright.functions.visible import TAG, strip_markup, text_terms
+from pagewright.llm.prose import function_share
 from pagewright.session import map_columns
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
@@ -127,6 +134,11 @@ def says_furniture(s: str) -> int:
     """What a line's skeleton says: 2 furniture wherever it stands, 1 furniture outside the content region, 0 nothing."""
     if any(p in s for p in _PIECES) and _WORDING.search(s):
         return 2
+    return _says_by_form(s)
+
+
+def _says_by_form(s: str) -> int:
+    """As ``says_furniture``, without the wordings."""
     if _LABELLED.match(s) or _ADDRESS.match(s) or s in SIDEBARS or s.strip("*- ") in SIDEBARS or _PAGING.match(s):
         return 2
     words = _SEPARATOR.sub(" ", s).split()
@@ -140,6 +152,34 @@ def says_furniture(s: str) -> int:
     return 0
 
 
+#: A line or sentence of this length may be content that merely holds a wording.
+LONG = 200
+_SENTENCE = re.compile(r".+?(?:[.!?](?= )|$)")
+
+
+def _reads_as_sentence(s: str) -> bool:
+    return s.rstrip("\"') ")[-1:] in (".", "!", "?") and function_share(s, text_terms(s)) >= 0.2
+
+
+def long_says_furniture(s: str) -> int:
+    """As ``says_furniture`` for the skeleton of a long line; 3 for wordings that only the region can settle."""
+    form = _says_by_form(s)
+    if form and not _reads_as_sentence(s):
+        return form
+    if not any(p in s for p in _PIECES):
+        return 0
+    spans = [m.span() for m in _WORDING.finditer(s)]
+    if not spans:
+        return 0
+    said = touched = 0
+    for m in _SENTENCE.finditer(s):
+        a, b = m.span()
+        if any(x < b and a < y for x, y in spans) or (b - a < LONG and _says_by_form(m.group().strip())):
+            touched += b - a
+            said += b - a if b - a < LONG else 0
+    return 2 if 2 * said >= len(s) else 3 if 5 * touched >= len(s) else 0
+
+
 class _Events(HTMLParser):
     """Counts of one line: tag events and text; its first tag, and whether it shows code."""
 
@@ -173,8 +213,8 @@ class Line:
 
     def __init__(self, raw: str, visible: str, parser: _Events):
         self.text = " ".join(visible.split())
-        # lines of this length are no furniture and no notes; what they say isn't looked at
-        short = len(self.text) < 200
+        # longer lines are no notes, headings of sidebars or titles, so they need no skeleton afterwards
+        short = len(self.text) < LONG
         self.skeleton = skeleton(self.text) if short else ""
         self.shows = any(map(str.isalnum, self.text))
         if "<" not in raw:
@@ -190,7 +230,7 @@ class Line:
             parser.close()
             length = len(" ".join("".join(parser.text).split()))
             self.ratio, self.first, self.code = length / max(1, parser.tags), parser.first, parser.code
-        self.says = says_furniture(self.skeleton) if short else 0
+        self.says = says_furniture(self.skeleton) if short else long_says_furniture(skeleton(self.text)) if self.shows else 0
 
 
 class LineReader:
@@ -248,7 +288,7 @@ def region(lines: list[tuple[int, Line]]) -> tuple[int, int]:
         if new == (low, high):
             break
         low, high = new
-    inside = [i for i in range(n) if smooth[i] > (low + high) / 2 and lines[i][1].says < 2 and raw[i] > low]
+    inside = [i for i in range(n) if smooth[i] > (low + high) / 2 and lines[i][1].says != 2 and raw[i] > low]
     return (inside[0], inside[-1]) if inside else (0, -1)
 
 
@@ -268,6 +308,9 @@ def judge(lines: list[tuple[int, Line]]) -> list[bool]:
     for i, (_, line) in enumerate(lines):
         if line.says == 2:
             out[i] = True
+        elif line.says == 3:
+            # without a region nothing is outside it
+            out[i] = line.first in ("aside", "footer", "nav") or first <= last and not first <= i <= last
         elif line.says == 1:
             beside = any(0 <= k < n and lines[k][1].says for k in (i - 1, i + 1))
             out[i] = line.first in ("li", "a", "aside") or line.text[:2] in ("* ", "- ") or (line.first not in _HEADINGS and beside and not first <= i <= last)

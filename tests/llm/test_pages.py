@@ -142,6 +142,35 @@ def test_furniture_tables(spark, pages_of):
     assert not snippet_has_furniture("Cette séance n'exige pas de préalable, même si le réseau aide à comprendre la suite.")
 
 
+def test_furniture_on_long_lines():
+    labels = ["Home", "Research", "Library", "Contact us", "News", "Events", "Admissions", "Careers", "Directory", "Courses", "Site map", "Privacy"]
+    furniture = [
+        "<ul>" + "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(labels * 3)) + "</ul>",
+        "<p>" + " | ".join(labels * 3) + "</p>",
+        "<p>" + " &gt; ".join([*labels, *labels, "A report on surveys of the library and its long title"]) + "</p>",
+        "<div>Tags: " + ", ".join(f"survey of kind {i}" for i in range(20)) + "</div>",
+        "<div>Related: " + " / ".join(f"A report on the surveys of year {i}" for i in range(10)) + "</div>",
+        "<div>Previous: A report on the first survey of the library | " + "Next: A report on the second survey of the library " * 4 + "</div>",
+        "<p>© 2020 The Institute. All rights reserved. Page maintained by the web team. Legal notice | Privacy. Reproduction needs written consent of the Institute and of the authors of the page. Report a barrier on this page to the front desk of the Institute.</p>",
+        "<p>We use cookies to make this site work for you and to see how it is read. This site uses cookies of others too, for maps. By staying on this site you agree. Accept all | Reject all. Your choices: necessary, statistics, maps and films.</p>",
+    ]
+    content = [
+        f"<p>Research — {PROSE} {PROSE}</p>", f"<p>Next: {PROSE} {PROSE}</p>", f"<p>{PROSE} We use cookies in the second part. {PROSE}</p>",
+        f"<p>Posted on a wall of the library: {PROSE} {PROSE}</p>",
+    ]
+    body = f"<p>{PROSE} {PROSE}</p>"
+    for line in furniture + content:
+        for page in ([body, body, body, line], [line, body, body, body], [body, line, body]):
+            lines = LineReader()("\n".join(page))
+            assert len(lines[page.index(line)][1].text) >= 200
+            assert furniture_lines(LineReader(), "\n".join(page)) == ([page.index(line)] if line in furniture else []), line
+    # a wording in one long sentence is settled by the region
+    links = " ".join(f'<a href="/{i}">the page of group {i},</a>' for i in range(12))
+    footer = f"<p>All rights reserved by {links}</p>"
+    assert furniture_lines(LineReader(), "\n".join([body] * 4 + ["<li>A talk</li>"] * 4 + [footer])) == [8]
+    assert furniture_lines(LineReader(), f"All rights reserved by {PROSE[:-1]}, and {PROSE}") == []
+
+
 # ---- p1
 
 def test_stuffed_pages(spark, pages_of):

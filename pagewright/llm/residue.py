@@ -1,7 +1,8 @@
 """Template residue and error-page text, by positive-unlabelled naive Bayes.
 
-Passages are a record's title (``title``, ``h1`` or first line) and the lines of
-its main body.  Trusted records are those that plain wordings settle (fixed
+Passages are a record's titles (``title``, ``h1``, first heading of any level and
+first line) and the lines of its main body; furniture and notes are searched for
+placeholders only.  Trusted records are those that plain wordings settle (fixed
 values below); everything else is unlabelled.  Naive Bayes over the words of the
 passages starts from the trusted ones against all others and is then refined by
 expectation-maximization: unlabelled passages get their posterior as weight.
@@ -105,6 +106,7 @@ def has_placeholder(text: str) -> bool:
 
 @dataclass
 class Passage:
+    #: ``t`` title, ``b`` body, ``f`` furniture or a note, kept for its placeholder only
     kind: str
     text: str
     placeholder: bool
@@ -114,17 +116,19 @@ def passages(reader: LineReader, content: str | None) -> list[Passage]:
     lines = reader(content)
     out: list[Passage] = []
     before = ""
-    titled = False
+    titled = headed = False
     for (_, line), furniture in zip(lines, judge(lines)):
-        if furniture:
-            continue
         found = has_placeholder(line.text) and not (line.code or _EXPLAINS.search(before) or _EXPLAINS.search(PLACEHOLDER.sub("", line.text)))
-        before = line.text
-        if _NOTES.match(line.skeleton):
+        if not furniture:
+            before = line.text
+        if furniture or _NOTES.match(line.skeleton):
+            if found:
+                out.append(Passage("f", line.text, True))
             continue
-        kind = "t" if line.first in ("title", "h1") or not titled else "b"
-        titled = True
-        if line.first in ("h2", "h3", "h4") and not found:
+        heading = line.first in ("h1", "h2", "h3", "h4", "h5", "h6")
+        kind = "t" if line.first in ("title", "h1") or not titled or (heading and not headed) else "b"
+        titled, headed = True, headed or heading
+        if kind == "b" and line.first in ("h2", "h3", "h4") and not found:
             continue
         # a long first line of a page without title is body
         out.append(Passage("b" if kind == "t" and len(line.text) > 120 else kind, line.text, found))

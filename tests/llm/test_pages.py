@@ -233,3 +233,15 @@ def test_all_words_of_a_long_passage_count():
         assert len(text) > 160 and residue.is_residue(model, residue.passages(reader, f"<title>Survey of the term</title>\n<p>{text}</p>")) == residual
     cut = residue.windows(prose(1000), "b")
     assert sum(map(len, cut)) == 1000 + len(cut) and max(map(len, cut)) <= residue.WINDOW + 1
+
+
+def test_placeholders_in_furniture_and_notes_and_first_headings():
+    page = "<title>{}</title>\n<h2>{}</h2>\n<p>" + PROSE + "</p>\n<h2>{}</h2>\n<p>" + PROSE + "</p>\n{}"
+    model = residue.Model.fit([residue.words(x, "t") for x in residue.TITLES], [residue.words(f"A report on survey {i}", "t") for i in range(50)])
+    reader = LineReader()
+    for rest, residual in (
+        (("Fine", "Fine", "Fine", "<p>Posted on {{ date }} by {{ author }}</p>"), True), (("Fine", "Fine", "Fine", "<p>© {{ year }} The Institute. All rights reserved.</p>"), True),
+        (("Fine", "Fine", "Fine", "<aside>Recent posts</aside>\n<aside>{{ item.title }}</aside>"), True), (("Fine", "Page not found", "Fine", ""), True), (("Fine", "Fine", "Page not found", ""), False),
+        (("Fine", "Fine", "Fine", "<p>Posted on March 3 by A. Person</p>\n<p>© 2020 The Institute. All rights reserved.</p>"), False),
+    ):
+        assert residue.is_residue(model, residue.passages(reader, page.format(*rest))) == residual, rest

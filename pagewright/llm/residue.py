@@ -82,7 +82,9 @@ def _flat(text: str) -> str:
 
 
 def _default_title(text: str) -> bool:
-    return _flat(text) in _TITLES or has_placeholder(text) or _flat(text).startswith("lorem ipsum")
+    """A whole title of the list, or one of two words and more beside the site's name."""
+    parts = map(_flat, text.split(" | ")) if " | " in text else ()
+    return _flat(text) in _TITLES or any(" " in p and p in _TITLES for p in parts) or has_placeholder(text) or _flat(text).startswith("lorem ipsum")
 
 
 def words(text: str, kind: str) -> list[str]:
@@ -131,7 +133,7 @@ def passages(reader: LineReader, content: str | None) -> list[Passage]:
         if kind == "b" and line.first in ("h2", "h3", "h4") and not found:
             continue
         # a long first line of a page without title is body
-        out.append(Passage("b" if kind == "t" and len(line.text) > 120 else kind, line.text, found))
+        out.append(Passage("b" if kind == "t" and len(line.text) > 120 and line.first != "title" and not heading else kind, line.text, found))
     return out
 
 
@@ -215,7 +217,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") ->
 def is_residue_title(model: Model, title: str | None) -> bool:
     if not title or not title.strip():
         return False
-    return _default_title(title) or (len(title) <= 60 and "://" not in title and model.posterior(words(title, "t")) >= TITLE_AT)
+    return _default_title(title) or ("://" not in title and model.posterior(words(title, "t")) >= TITLE_AT)
 
 
 def is_residue(model: Model, found: list[Passage]) -> bool:

@@ -245,3 +245,14 @@ def test_placeholders_in_furniture_and_notes_and_first_headings():
         (("Fine", "Fine", "Fine", "<p>Posted on March 3 by A. Person</p>\n<p>© 2020 The Institute. All rights reserved.</p>"), False),
     ):
         assert residue.is_residue(model, residue.passages(reader, page.format(*rest))) == residual, rest
+
+
+def test_titles_of_every_length():
+    rng = random.Random(6)
+    genuine = [" ".join(rng.sample(PROSE.split(), n)) for n in (4, 6, 9, 12, 16) for _ in range(40)]
+    model = residue.Model.fit([residue.words(x, "t") for x in residue.TITLES] * 2, [residue.words(x, "t") for x in genuine])
+    name = "Department of Comparative Literature and Applied Linguistics of the Institute"
+    for title in (f"Page not found | {name}", f"Access denied | {name}", f"404 page not found - {name}", f"{name}: internal server error {name}"):
+        assert len(title) > 60 and residue.is_residue_title(model, title), title
+        assert residue.is_residue(model, residue.passages(LineReader(), f"<title>{title}</title>\n<p>{PROSE}</p>")), title
+    assert not any(residue.is_residue_title(model, x) for x in genuine)

@@ -10,7 +10,7 @@ Passages that the first round holds for negative are reliable negatives and stay
 so, which keeps whole languages from drifting to the small class.
 
 The classifier is fitted on a bounded sample (``SAMPLE_PAGES`` records taken by
-hash of the id, at most ``SAMPLE_PASSAGES`` passages) and then scores every
+hash of the id, at most ``SAMPLE_PASSAGES`` passages, taken by hash too) and then scores every
 passage of every record.  A passage of more than ``WINDOW`` words is cut into
 consecutive windows of about equal size, in fitting and in scoring alike; each
 is scored and weighs by its length, so all words of a passage count.  A record is residue if a passage has an unfilled
@@ -194,19 +194,26 @@ class Model:
 def _sample_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
     reader = LineReader()
     for batch in batches:
-        found = [p for c in batch["content"] for p in passages(reader, c)]
         # a sentence around a placeholder is ordinary text, so it teaches neither class
-        cut = [(w, trusted(p)) for p in found if not p.placeholder for w in windows(p.text, p.kind)]
-        yield {"features": [w for w, _ in cut], "trusted": [t for _, t in cut]}
+        cut = [
+            (i, n, k, w, trusted(p))
+            for i, c in zip(batch["id"], batch["content"]) for n, p in enumerate(passages(reader, c)) if not p.placeholder for k, w in enumerate(windows(p.text, p.kind))
+        ]
+        yield {name: [x[j] for x in cut] for j, name in enumerate(("id", "passage", "window", "features", "trusted"))}
+
+
+def sampled(passages: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, in an order that hangs on what they are and not on where they lie."""
+    return passages.orderBy(F.xxhash64("id", "passage", "window"), "id", "passage", "window", "features", "trusted").limit(most)
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") -> Model:
     """The classifier from a bounded sample of the records; the wordings above are trusted passages too."""
     n = pages.count()
-    records = pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))
+    records = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
     if n > SAMPLE_PAGES:
         records = records.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_PAGES / n))
-    rows = map_columns(records, ["content"], _sample_rows, "features array<string>, trusted boolean").limit(SAMPLE_PASSAGES).toLocalIterator()
+    rows = sampled(map_columns(records, ["id", "content"], _sample_rows, "id long, passage int, window int, features array<string>, trusted boolean"), SAMPLE_PASSAGES).toLocalIterator()
     positive = [words(t, "t") for t in TITLES] * 2 + [words(t, "b") for t in NOTICES] * 2
     unlabelled = []
     for r in rows:

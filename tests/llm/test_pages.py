@@ -237,7 +237,7 @@ def test_all_words_of_a_long_passage_count():
 
 def test_placeholders_in_furniture_and_notes_and_first_headings():
     page = "<title>{}</title>\n<h2>{}</h2>\n<p>" + PROSE + "</p>\n<h2>{}</h2>\n<p>" + PROSE + "</p>\n{}"
-    model = residue.Model.fit([residue.words(x, "t") for x in residue.TITLES], [residue.words(f"A report on survey {i}", "t") for i in range(50)])
+    model = residue.Model.fit([residue.words(x, "t") for x in residue.TITLES], [residue.words(x, k) for x, k in (("Fine", "t"), (PROSE, "b")) for _ in range(50)])
     reader = LineReader()
     for rest, residual in (
         (("Fine", "Fine", "Fine", "<p>Posted on {{ date }} by {{ author }}</p>"), True), (("Fine", "Fine", "Fine", "<p>© {{ year }} The Institute. All rights reserved.</p>"), True),
@@ -252,7 +252,15 @@ def test_titles_of_every_length():
     genuine = [" ".join(rng.sample(PROSE.split(), n)) for n in (4, 6, 9, 12, 16) for _ in range(40)]
     model = residue.Model.fit([residue.words(x, "t") for x in residue.TITLES] * 2, [residue.words(x, "t") for x in genuine])
     name = "Department of Comparative Literature and Applied Linguistics of the Institute"
-    for title in (f"Page not found | {name}", f"Access denied | {name}", f"404 page not found - {name}", f"{name}: internal server error {name}"):
+    for title in (f"Page not found | {name}", f"Access denied | {name}", f"404 page not found - {name}"):
         assert len(title) > 60 and residue.is_residue_title(model, title), title
         assert residue.is_residue(model, residue.passages(LineReader(), f"<title>{title}</title>\n<p>{PROSE}</p>")), title
     assert not any(residue.is_residue_title(model, x) for x in genuine)
+
+
+def test_bounded_sample_is_repeatable(spark, pages_of, monkeypatch):
+    monkeypatch.setattr(residue, "SAMPLE_PASSAGES", 60)
+    rng = random.Random(7)
+    pages = pages_of([(i, None, "\n".join(" ".join(rng.sample(PROSE.split(), 12)) for _ in range(6))) for i in range(80)])
+    models = [residue.fit(x) for x in (pages.coalesce(1), pages.repartition(7), pages.orderBy(pages.page_id.desc()))]
+    assert models[0].odds == models[1].odds == models[2].odds and models[0].prior == models[1].prior

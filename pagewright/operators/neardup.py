@@ -137,6 +137,7 @@ class NearDuplicates:
     def __init__(self, pages: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: tuple[int, int] = (4, 5), least: int = 1):
         self.top, self.bottom = threshold
         self.width = width
+        self.ids = pages.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
         self.pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content")).where("id is not null and content is not null")
         words = [f"w{t}" for t in range(TABLES // 2)]
         marks = map_columns(self.pages, ["id", "content"], _fingerprints(width, least), "id long, n int, k1 long, k2 long, " + ", ".join(f"{w} long" for w in words))
@@ -196,8 +197,9 @@ class NearDuplicates:
         return across.unionByName(within)
 
     def groups(self, links: DataFrame) -> DataFrame:
-        """One row per page: its class, the number of linked classes, and the smallest id of its group."""
-        members = self.members()
+        """One row per page: its class, the number of linked classes, and the smallest id of its group.
+        Pages that can't take part (null, empty, too short) are their own class and group."""
+        members = self.ids.distinct().join(self.members(), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
         ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("class_id"), F.col("a").alias("other")))).alias("e")).select("e.*")
         degree = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
         root = components(links)

@@ -34,7 +34,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page that can take part: class of equal sets, links of the class, group."""
+    """One row per page: class of equal sets, links of the class, group; pages that can't take part stand alone."""
     near = _near(spark, sf_dir)
     return near.groups(near.links())
 

@@ -71,6 +71,12 @@ def test_near_duplicates_against_brute_force(spark, pages_of):
     assert len({g.group_id for g in groups.values()}) == 25 or len({g.group_id for g in groups.values()}) > 25
 
 
+def test_groups_have_every_page(spark, pages_of):
+    text = " ".join(f"w{i}" for i in range(150))
+    near = NearDuplicates(pages_of([(1, None, text), (2, None, text), (3, None, "too short"), (4, None, None), (5, None, ""), (3, None, "too short"), (None, None, text)]), "page_id", "content", width=3, least=100)
+    assert sorted(map(tuple, near.groups(near.links()).collect())) == [(1, 1, 0, 1), (2, 1, 0, 1), (3, 3, 0, 3), (4, 4, 0, 4), (5, 5, 0, 5)]
+
+
 def test_near_duplicates_of_nothing(spark, pages_of):
     near = NearDuplicates(pages_of([]), "page_id", "content")
     assert near.pairs(near.links()).count() == 0

@@ -41,16 +41,29 @@ _HYPHEN = re.compile(r"(?<=\w)-(?=\w)")
 SCHEMA = "id long, furniture array<int>, lang string, words double, off double, function double, spectrum array<struct<tf: int, n: int>>"
 
 
+def _merged(lines: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """The lines with their terms; a run of lines of one word each is one line."""
+    run: list[str] = []
+    for text in lines:
+        tokens = text_terms(text)
+        if len(tokens) < 2 and not any(c in text for c in "#/") and len(text) < 30:
+            run.append(text)
+            continue
+        if run:
+            yield " ".join(run), text_terms(" ".join(run))
+            run = []
+        yield text, tokens
+    if run:
+        yield " ".join(run), text_terms(" ".join(run))
+
+
 def _measure(lines: list[str], restored: bool = False) -> tuple[float, float, float, list[str]]:
     """Words, words in diverging lines, function words, and all terms of the body lines.
     Lines that are still garbled after restoring can't be told from prose."""
     words = off = function = 0.0
     body: list[str] = []
     filler = sum(len(_FILLER.findall(text)) for text in lines) >= 3
-    for text in lines:
-        tokens = text_terms(text)
-        if len(tokens) < 2 and not any(c in text for c in "#/") and len(text) < 30:
-            continue
+    for text, tokens in _merged(lines):
         # compounds are one word to the share: their parts are no function words
         share = function_share(text, text_terms(_HYPHEN.sub("", text)) if "-" in text else tokens)
         weight = max(float(len(tokens)), len(text) / 6)

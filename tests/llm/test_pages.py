@@ -188,6 +188,13 @@ def test_stuffed_pages(spark, pages_of):
     assert stuffing_scores(page_profiles(pages_of([]))).count() == 0
 
 
+def test_one_keyword_per_line(spark, pages_of):
+    rng = random.Random(8)
+    rows = [(100 + i, None, f"Page {i}\n" + "\n".join([PROSE] * (2 + i % 4))) for i in range(30)]
+    rows += [(1, None, "Page\n" + "\n".join(rng.choice(["sofa", "cheap", "watch", "laptop", "deal"]) for _ in range(80))), (2, None, f"Page\n{PROSE}\nMethods\n{PROSE}\nResults\n{PROSE}")]
+    assert {r.id for r in stuffing_scores(page_profiles(pages_of(rows))).where("stuffed").collect()} == {1}
+
+
 # ---- p7
 
 def test_residue(spark, pages_of):

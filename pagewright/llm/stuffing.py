@@ -3,8 +3,8 @@
 One pass over the pages reads each page's main body (furniture, title and
 headings left out; text in a wrong encoding restored first) and gives one row a
 page: its language, how many words it has, how many of them are function words,
-how many stand in lines that diverge from prose (hardly a function word), and
-its frequency spectrum (how many terms occur ``tf`` times).
+how many stand in lines that diverge from prose (hardly a function word, or one
+other word over and over), and its frequency spectrum (how many terms occur ``tf`` times).
 
 SQL windows over the spectrum give the ranks, a regression of log frequency on
 log rank gives slope and residual, and both, with the share of function words,
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pagewright.functions.visible import text_terms
 from pagewright.llm.furniture import _NOTES, LineReader, judge
 from pagewright.llm.mojibake import damage, restore
-from pagewright.llm.prose import function_share, language
+from pagewright.llm.prose import _WIDE, ANY, CONNECTIVES, function_share, language
 from pagewright.session import map_columns
 
 #: A line with a smaller share of function words diverges from prose; a body with less words is too short to tell.
 LEAST_SHARE, LEAST_WORDS = 0.06, 30
+#: A line that says a term so often, and in such a share of its words, diverges too.
+REPEATS, REPEATED = 4, 0.12
 #: Most of the body; nats of divergence; standard scores.
 MOST, DIVERGENCE, SCORE = 0.5, 0.08, 3.0
 _FILLER = re.compile(r"\b(?:lorem|ipsum|blindtext|asdf)\b", re.I)
@@ -41,6 +43,14 @@ _HYPHEN = re.compile(r"(?<=\w)-(?=\w)")
 SCHEMA = "id long, furniture array<int>, lang string, words double, off double, function double, spectrum array<struct<tf: int, n: int>>"
 
 
+def _repeats(tokens: list[str]) -> bool:
+    """Whether one term that is no function word is said over and over: sentences built around a keyword."""
+    if len(tokens) < 2 * REPEATS:
+        return False
+    most = max((n for t, n in Counter(tokens).items() if t not in ANY and t not in CONNECTIVES and not _WIDE.search(t)), default=0)
+    return most >= REPEATS and most >= REPEATED * len(tokens)
+
+
 def _merged(lines: list[str]) -> Iterator[tuple[str, list[str]]]:
     """The lines with their terms; a run of lines of one word each is one line."""
     run: list[str] = []
@@ -69,7 +79,7 @@ def _measure(lines: list[str], restored: bool = False) -> tuple[float, float, fl
         weight = max(float(len(tokens)), len(text) / 6)
         words += weight
         function += share * weight
-        if share < LEAST_SHARE and not filler and not (restored and (damage(text) or sum(c > "\x7f" for c in text) > 0.3 * len(text))):
+        if (share < LEAST_SHARE or _repeats(tokens)) and not filler and not (restored and (damage(text) or sum(c > "\x7f" for c in text) > 0.3 * len(text))):
             off += weight
         body += tokens
     return words, off, function, body

@@ -9,7 +9,7 @@ from pagewright.llm import residue
 from pagewright.llm.furniture import LineReader, furniture_lines, main_content, page_furniture, region, snippet_has_furniture, snippet_verdicts
 from pagewright.llm.mojibake import damage, garbled_pages, restore, restored_pages
 from pagewright.llm.sitelines import chunks, letters, normalise, repeated_lines, without_lines
-from pagewright.llm.stuffing import page_profiles, stuffing_scores
+from pagewright.llm.stuffing import _measure, page_profiles, stuffing_scores
 
 PROSE = "The committee led by the library measured five of the entries last October, and it asked the group to repeat the survey before the end of the term."
 GERMAN = "Für die Prüfung müssen Sie sich bis zum März im Büro anmelden, weil die Plätze über den Sommer größtenteils vergeben wären."
@@ -195,6 +195,14 @@ def test_one_keyword_per_line(spark, pages_of):
     assert {r.id for r in stuffing_scores(page_profiles(pages_of(rows))).where("stuffed").collect()} == {1}
 
 
+def test_keywords_repeated_in_sentences_diverge():
+    line = "Cheap sofa from the shop is the cheap sofa that you want when you want a cheap sofa. With a cheap sofa from the shop, cheap sofa and best sofa deals are yours."
+    words, off, _, _ = _measure([line] * 6)
+    assert off == words > 0
+    for text in (PROSE, GERMAN, RUSSIAN, JAPANESE * 6):
+        assert _measure([text] * 6)[1] == 0
+
+
 # ---- p7
 
 def test_residue(spark, pages_of):

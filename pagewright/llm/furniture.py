@@ -6,24 +6,24 @@ smoothed with a Gaussian over its neighbours, and two-means clustering of the
 smoothed ratios sets the page's threshold.  The lines from the first to the last
 one above it are the content region.
 
-A region of long paragraphs has short lines at its rim (headings, bylines, list
-items, notes) and furniture can stand inside it, so a line is settled by its
-place together with what it says: wordings of furniture (fixed values below, in
-the languages of the corpus), lines made of navigation words only, breadcrumbs,
-and runs of short link lines outside the region.
-
-A line of 200 characters or more is judged by the same navigation words, labels
-and breadcrumbs, unless it reads as a sentence.  A wording in it speaks for the
-sentence it stands in: the line is furniture if such sentences (each under 200
-characters) make up half of it, or if sentences of any length make up a fifth and
-the line stands outside the content region.
-
-Wordings are compared on a skeleton of the line (casefolded, digits as ``#``, any
-run of characters outside ASCII as ``~``, words of such letters only as ``^``), so
-text with damaged characters still matches.
+The region alone can't tell a byline at its rim from a cookie notice beside it, so
+it teaches: a naive Bayes classifier of lines is fitted by expectation-maximization
+on a bounded sample, where lines of the region, headings and notes about an article
+start as content, lines that say a public phrase of furniture (``SEEDS`` and the
+forms below) start as furniture, and all others are open and start from their place
+outside the region.  Its features are the place against the region, the shape of
+the line (first tag, length, ratio, separators, end) and the words of its skeleton.
+Every line of every page is then settled by its posterior, together with those of
+its neighbours, smoothed by the same Gaussian.  The phrases are never asked at that
+point: a wording that is on no list is learnt from where it stands.
+
+Words are compared on a skeleton of the line (casefolded, digits as ``#``, any run
+of characters outside ASCII as ``~``, words of such letters only as ``^``), so text
+with damaged characters still matches.
 
 Defined cases: null and empty contents have no lines; a line without letter or
-digit is no furniture; repeated rows are judged alike.
+digit is no furniture; lines of any length are judged alike; repeated rows are
+judged alike; a table without usable lines gives a model that finds nothing.
 """
 
 from __future__ import annotations
@@ -31,18 +31,26 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.visible import TAG, strip_markup, text_terms
-from pagewright.llm.prose import function_share
-from pagewright.session import map_columns
+from pagewright.functions.visible import TAG, strip_markup
+from pagewright.session import cut, map_columns
+
+#: Bounds of the sample that the classifier is fitted on: records, and different lines of them.
+SAMPLE_PAGES, SAMPLE_LINES = 4_000, 120_000
+#: Rounds of expectation-maximization, start of open lines, smoothing, weights of shape and neighbours.
+ROUNDS, OPEN_OUT, OPEN_IN, SMOOTH, SHAPE, BESIDE = 4, 0.8, 0.2, 0.5, 0.7, 0.15
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"\d+")
+_WORD = re.compile(r"[^\s|/>·•,.:;!?\"()\[\]]+")
+_HEADINGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def skeleton(text: str) -> str:
@@ -57,44 +65,29 @@ def _sk(words: str) -> frozenset[str]:
     return frozenset(skeleton(w.strip()) for w in words.split(","))
 
 
-#: Labels of navigation menus (English, Spanish, German, French, Portuguese).
+#: Usual labels of navigation menus (English, Spanish, German, French, Portuguese).
 NAVIGATION = _sk(
-    "Home,About,About us,Contact,Contact us,Policies,Alumni,Graduate,Undergraduate,Research,Downloads,Calendar,Help Desk,Help,Library,News,Events,Admissions,Labs,People,Careers,Jobs,"
-    "Visit,Giving,Directory,Courses,Search,Sign in,Log in,Login,Register,Sitemap,Site map,Site index,FAQ,Blog,Services,Products,Privacy,Terms,Feedback,Menu,Next,Previous,Back,"
-    "Inicio,Contacto,Investigación,Admisión,Personas,Calendario,Asignaturas,Antiguos alumnos,Noticias,Biblioteca,Empleo,Ayuda,Buscar,"
-    "Startseite,Aktuelles,Lehre,Räume,Personen,Bücherei,Termine,Kontakt,Zulassung,Forschung,Stellen,Förderer,Hilfe,Suche,"
-    "Accueil,Actualités,Admission,Agenda,Anciens élèves,Bibliothèque,Cours,Emplois,Équipe,Recherche,Aide,Dons,"
-    "Início,Contato,Pesquisa,Notícias,Pessoas,Ajuda"
-)
-_NAV_WORDS = max(len(x.split()) for x in NAVIGATION)
-#: Headings of sidebars.
-SIDEBARS = _sk("Popular now,In this section,See also,Related pages,Recent posts,Quick links,Most read,Related articles,Related links,Recent comments,Archives,Categories,Latest news,More in this section")
-#: Wordings of furniture, on skeletons.
-WORDINGS = (
-    # skip, search and sign-in links
-    r"skip to (?:main )?content", r"jump to (?:navigation|content)", r"toggle (?:menu|navigation)", r"search this site", r"zum inhalt springen", r"ir al contenido", r"aller au contenu",
-    r"sign in with your .{2,60} account", r"log ?in or register",
-    # cookie notices
-    r"(?:we value your privacy|wir sch~tzen ihre privatsph~re)", r"stores? small files on your device", r"this website remembers you with cookies", r"by staying on .{2,60} you agree",
-    r"your choices: necessary", r"save selection for", r"verwendet cookies", r"nur n~tige cookies", r"utiliza cookies para", r"acepta el uso de cookies", r"acceptez les t~moins", r"utilise des (?:t~moins|cookies)",
-    r"(?:accept all|aceptar|zustimmen|accepter|tout accepter) \| (?:reject|rechazar|ablehnen|refuser)", r"we use cookies", r"this site uses cookies", r"t~moins de (?:session|connexion)", r"usa cookies",
-    # share and sign-up prompts
-    r"share this (?:story|page|article):?", r"copy link from", r"print this page or send it", r"did you like this\?", r"tell a friend about", r"people found this .{2,60} useful", r"post this to your",
-    r"follow .{2,60} on our channels", r"subscribe to .{2,60} news", r"cancel whenever you like", r"join # readers of", r"get the .{2,60} digest every", r"enter your address below", r"newsletter abonnieren", r"abonnez-vous", r"suscr~base",
-    # footers
-    r"~ ?# .{2,60}(?:all rights reserved|alle rechte vorbehalten|todos los derechos reservados|tous droits r~serv~s|todos os direitos reservados)",
-    r"all rights reserved", r"alle rechte vorbehalten", r"todos los derechos reservados", r"tous droits r~serv~s", r"page maintained by", r"web team, last build", r"front desk: ext", r"equal opportunity statement of",
-    r"does not answer for linked pages", r"reproduction needs written consent", r"report a barrier on this", r"legal notice \| privacy", r"accessibility at ", r"f~r verlinkte inhalte", r"impressum und datenschutz",
-    r"~nderungen melden:", r"no responde del contenido enlazado", r"tel~fono de informaci~n de", r"aviso legal y protecci~n", r"les liens externes n'engagent", r"~crire au webmestre", r"mentions l~gales et donn~es",
+    "Home,About,About us,Contact,Contact us,News,Events,Calendar,Help,Library,Research,People,Admissions,Careers,Jobs,Directory,Courses,Search,Sign in,Log in,Login,Register,Sitemap,FAQ,Blog,"
+    "Services,Products,Privacy,Terms,Feedback,Menu,Next,Previous,Back,Inicio,Contacto,Noticias,Biblioteca,Ayuda,Buscar,Startseite,Aktuelles,Kontakt,Hilfe,Suche,Accueil,Actualités,Bibliothèque,Recherche,Aide,"
+    "Início,Contato,Notícias,Pesquisa,Ajuda"
 )
-_WORDING = re.compile("|".join(WORDINGS))
-#: Every match of a wording holds one of these literal pieces; looking for them first is much cheaper.
-_PIECES = tuple({p for w in WORDINGS for p in re.split(r"[^a-z~' ]+", w.replace("~ ?#", "").replace("log ?in", "in or")) if len(p.strip()) >= 4})
-_LABELLED = re.compile(r"^\W*(?:tags|related|read next|more like this|see also|schlagw~rter|etiquetas|mots-cl~s|categories|filed under) ?: ")
-_ADDRESS = re.compile(r"^\W*[^.!?]{3,60}, [^.!?,]{3,30}, # [^.!?,]{3,30} (?:road|street|avenue|lane|way|str\.?|stra~e), [^.!?,]{3,30}\W*$")
-_PAGING = re.compile(r"^\W*(?:~ )?(?:previous|prev|next|older|newer|zur~ck|weiter|anterior|siguiente|pr~c~dent|suivant)(?: (?:page|post|article|entry|story))?(?: ?[|/~\-].*)?\W*$|^\W*(?:previous|next|zur~ck|weiter|anterior|siguiente|pr~c~dent|suivant) ?: \S")
+#: Usual headings of sidebars.
+SIDEBARS = _sk("See also,Related pages,Related articles,Related links,Recent posts,Recent comments,Quick links,Most read,Popular now,In this section,Categories,Archives,Latest news")
+#: Usual phrases of furniture, on skeletons.
+SEEDS = (
+    "all rights reserved", "alle rechte vorbehalten", "todos los derechos reservados", "todos os direitos reservados", "tous droits r~serv~s", "skip to content", "skip to main content", "jump to navigation", "toggle navigation",
+    "search this site", "zum inhalt springen", "ir al contenido", "aller au contenu", "we use cookies", "uses cookies", "verwendet cookies", "utiliza cookies", "utilise des cookies", "accept all", "accept cookies", "we value your privacy",
+    "privacy policy", "terms of use", "legal notice", "impressum", "aviso legal", "mentions l~gales", "share this", "newsletter", "subscribe to", "sign in with", "log in or register", "equal opportunity", "page maintained by", "last updated by",
+)
+_LABELLED = re.compile(r"^\W*(?:tags|related|read next|see also|categories|filed under|schlagw~rter|etiquetas|mots-cl~s) ?: ")
+_PAGING = re.compile(r"^\W*(?:previous|prev|next|older|newer|zur~ck|weiter|anterior|siguiente|pr~c~dent|suivant) ?[:|] ?\S")
 _SEPARATOR = re.compile(r"(?:^| )(?:[|/>~*\-]|::)(?= |$)")
 _CRUMB = re.compile(r" (?:>|/|~|\|) ")
+#: How bylines and notes about an article begin, on skeletons; these belong to the content.
+NOTES = re.compile(
+    r"^(?:posted on|published on|written by|updated on|by [^|]{2,60} \| #|[^,.]{2,60}, staff writer|views in this article|reprinted with|questions about this text|this notice was issued|ver~ffentlicht am|publi~ le|publicado el)"
+)
+_NAV_WORDS = max(len(x.split()) for x in NAVIGATION)
 
 
 def _nav_cover(words: list[str]) -> int:
@@ -110,74 +103,15 @@ def _nav_cover(words: list[str]) -> int:
     return n
 
 
-def _nav_run(words: list[str]) -> int:
-    """The longest run of navigation labels among the words."""
-    best = run = i = 0
-    while i < len(words):
-        for size in range(min(_NAV_WORDS, len(words) - i), 0, -1):
-            if " ".join(words[i : i + size]) in NAVIGATION:
-                i, run = i + size, run + 1
-                best = max(best, run)
-                break
-        else:
-            i, run = i + 1, 0
-    return best
-
-
-def _crumbs(s: str) -> bool:
-    """A breadcrumb: labels of navigation, then the page."""
-    parts = [p.strip() for p in _CRUMB.split(s) if p.strip()]
-    return len(parts) >= 2 and all(p in NAVIGATION for p in parts[:-1])
-
-
-def says_furniture(s: str) -> int:
-    """What a line's skeleton says: 2 furniture wherever it stands, 1 furniture outside the content region, 0 nothing."""
-    if any(p in s for p in _PIECES) and _WORDING.search(s):
-        return 2
-    return _says_by_form(s)
-
-
-def _says_by_form(s: str) -> int:
-    """As ``says_furniture``, without the wordings."""
-    if _LABELLED.match(s) or _ADDRESS.match(s) or s in SIDEBARS or s.strip("*- ") in SIDEBARS or _PAGING.match(s):
-        return 2
-    words = _SEPARATOR.sub(" ", s).split()
-    n = _nav_cover(words)
-    if n >= 2:
+def seed(s: str, seeds: tuple[str, ...] = SEEDS) -> int:
+    """What a skeleton says before anything is learnt: 2 furniture, 1 a lone navigation label, 0 nothing."""
+    if s.strip("*- ") in SIDEBARS or any(p in s for p in seeds) or _LABELLED.match(s) or _PAGING.match(s):
         return 2
-    if n == 1:
-        return 1
-    if _crumbs(s):
-        return 2
-    return 0
-
-
-#: A line or sentence of this length may be content that merely holds a wording.
-LONG = 200
-_SENTENCE = re.compile(r".+?(?:[.!?](?= )|$)")
-
-
-def _reads_as_sentence(s: str) -> bool:
-    return s.rstrip("\"') ")[-1:] in (".", "!", "?") and function_share(s, text_terms(s)) >= 0.2
-
-
-def long_says_furniture(s: str) -> int:
-    """As ``says_furniture`` for the skeleton of a long line; 3 for wordings that only the region can settle."""
-    form = _says_by_form(s)
-    if form and not _reads_as_sentence(s):
-        return form
-    if not any(p in s for p in _PIECES):
-        return 0
-    spans = [m.span() for m in _WORDING.finditer(s)]
-    if not spans:
-        return 0
-    said = touched = 0
-    for m in _SENTENCE.finditer(s):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in spans) or (b - a < LONG and _says_by_form(m.group().strip())):
-            touched += b - a
-            said += b - a if b - a < LONG else 0
-    return 2 if 2 * said >= len(s) else 3 if 5 * touched >= len(s) else 0
+    n = _nav_cover(_SEPARATOR.sub(" ", s).split())
+    if n:
+        return min(n, 2)
+    parts = [p.strip() for p in _CRUMB.split(s) if p.strip()]
+    return 2 if len(parts) >= 2 and all(p in NAVIGATION for p in parts[:-1]) else 0
 
 
 class _Events(HTMLParser):
@@ -208,19 +142,21 @@ class _Events(HTMLParser):
             self.text.append(data)
 
 
+#: From this length on the tags of a line are counted without the parser, which gives the same ratio.
+LONG = 200
+
+
 class Line:
-    __slots__ = ("text", "skeleton", "says", "ratio", "first", "code", "shows")
+    """A line with what doesn't depend on its page."""
+
+    __slots__ = ("text", "skeleton", "ratio", "first", "code", "shows", "shape", "words", "odds")
 
     def __init__(self, raw: str, visible: str, parser: _Events):
         self.text = " ".join(visible.split())
-        # longer lines are no notes, headings of sidebars or titles, so they need no skeleton afterwards
-        short = len(self.text) < LONG
-        self.skeleton = skeleton(self.text) if short else ""
         self.shows = any(map(str.isalnum, self.text))
         if "<" not in raw:
             self.ratio, self.first, self.code = float(len(self.text)), "", False
-        elif not short:
-            # a paragraph: its tags are counted without the parser, which gives the same number
+        elif len(self.text) >= LONG:
             tags = TAG.findall(raw)
             self.ratio, self.first, self.code = len(self.text) / max(1, len(tags)), tags[0][1:].split(">")[0].split(" ")[0].lower() if tags else "", "<code" in raw or "<pre" in raw
         else:
@@ -230,11 +166,19 @@ class Line:
             parser.close()
             length = len(" ".join("".join(parser.text).split()))
             self.ratio, self.first, self.code = length / max(1, parser.tags), parser.first, parser.code
-        self.says = says_furniture(self.skeleton) if short else long_says_furniture(skeleton(self.text)) if self.shows else 0
+        s = self.skeleton = skeleton(self.text) if self.shows else ""
+        found = _WORD.findall(s)
+        self.words = tuple(dict.fromkeys(found))
+        end = s.rstrip("\"') ")[-1:]
+        self.shape = (
+            f"tag={self.first}", f"size={min(8, len(found).bit_length())}", f"ratio={int(min(self.ratio, 4000.0)).bit_length()}", "end=." if end in (".", "!", "?") else "end=", f"parts={min(3, sum(map(s.count, '|/>~')))}",
+        )
+        #: weight of evidence of shape and words under a model, once it was asked for
+        self.odds: float | None = None
 
 
 class LineReader:
-    """Lines of a page, with the judged lines of earlier pages kept (furniture repeats)."""
+    """Lines of a page, with the lines of earlier pages kept (furniture repeats)."""
 
     def __init__(self, keep: int = 60_000):
         self.parser, self.known, self.keep = _Events(), {}, keep
@@ -248,7 +192,7 @@ class LineReader:
         out = []
         stripped = strip_markup(content).split("\n")
         for number, (raw, shown) in enumerate(zip(content.split("\n"), stripped)):
-            if len(raw) < 200:
+            if len(raw) < LONG:
                 line = self.known.get(raw)
                 if line is None:
                     line = self.known[raw] = Line(raw, html.unescape(shown), self.parser)
@@ -262,22 +206,32 @@ class LineReader:
 _KERNEL = [math.exp(-(k * k) / 2) for k in range(-2, 3)]
 
 
-def region(lines: list[tuple[int, Line]]) -> tuple[int, int]:
-    """First and last position (inclusive) of the content region; (0, -1) if there is none."""
-    n = len(lines)
-    if not n:
-        return 0, -1
-    raw = [min(line.ratio, 400.0) for _, line in lines]
-    smooth = []
+def smoothed(values: list[float], own: bool = True) -> list[float]:
+    """Gaussian average of each value and its two neighbours on either side (or of the neighbours only)."""
+    n, out = len(values), []
     for i in range(n):
         total = weight = 0.0
         for k, w in enumerate(_KERNEL):
             j = i + k - 2
-            if 0 <= j < n:
-                total += w * raw[j]
+            if 0 <= j < n and (own or j != i):
+                total += w * values[j]
                 weight += w
-        smooth.append(total / weight)
+        out.append(total / weight if weight else 0.0)
+    return out
+
+
+def region(lines: list[tuple[int, Line]], odds: list[float] | None = None) -> tuple[int, int]:
+    """First and last position (inclusive) of the content region; (0, -1) if there is none.
+    With log-odds of furniture each ratio counts by the probability that its line is content."""
+    if not lines:
+        return 0, -1
+    raw = [line.ratio for _, line in lines]
+    if odds:
+        raw = [x / (1 + math.exp(max(-30.0, min(30.0, z)))) for x, z in zip(raw, odds)]
+    smooth = smoothed(raw)
     low, high = min(smooth), max(smooth)
+    if low == high:  # nothing stands out, so nothing is outside
+        return 0, len(lines) - 1
     for _ in range(20):
         middle = (low + high) / 2
         a = [x for x in smooth if x <= middle]
@@ -288,112 +242,190 @@ def region(lines: list[tuple[int, Line]]) -> tuple[int, int]:
         if new == (low, high):
             break
         low, high = new
-    inside = [i for i in range(n) if smooth[i] > (low + high) / 2 and lines[i][1].says != 2 and raw[i] > low]
+    inside = [i for i, x in enumerate(smooth) if x > (low + high) / 2 and raw[i] > low]
     return (inside[0], inside[-1]) if inside else (0, -1)
 
 
-_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "title")
-#: Bylines and notes about an article, on skeletons; these belong to the content.
-_NOTES = re.compile(
-    r"^(?:posted on|published on|written by|updated on|by [^|]{2,60} \| #|[^,.]{2,60}, staff writer|views in this article|reprinted with the kind permission|questions about this text go to|this notice was issued by|ver~ffentlicht am|publi~ le|publicado el)"
-)
+def places(lines: list[tuple[int, Line]], odds: list[float] | None = None) -> list[str]:
+    """Where each line stands: before, in or after the content region, right beside it (1) or not, or on a page without one."""
+    first, last = region(lines, odds)
+    if last < first:
+        return ["place=n"] * len(lines)
+    return ["place=r" if first <= i <= last else f"place=b{int(i == first - 1)}" if i < first else f"place=a{int(i == last + 1)}" for i in range(len(lines))]
 
 
-def judge(lines: list[tuple[int, Line]]) -> list[bool]:
-    """For each line whether it is furniture only."""
-    first, last = region(lines)
-    n = len(lines)
-    out = [False] * n
-    title = lines[0][1].skeleton if n else ""
-    for i, (_, line) in enumerate(lines):
-        if line.says == 2:
-            out[i] = True
-        elif line.says == 3:
-            # without a region nothing is outside it
-            out[i] = line.first in ("aside", "footer", "nav") or first <= last and not first <= i <= last
-        elif line.says == 1:
-            beside = any(0 <= k < n and lines[k][1].says for k in (i - 1, i + 1))
-            out[i] = line.first in ("li", "a", "aside") or line.text[:2] in ("* ", "- ") or (line.first not in _HEADINGS and beside and not first <= i <= last)
-    # short link lines beside furniture, outside the region
-    for step in (1, -1):
-        order = range(n) if step == 1 else range(n - 1, -1, -1)
-        near = False
-        for i in order:
-            line = lines[i][1]
-            if out[i]:
-                near = line.says != 2 or line.skeleton in SIDEBARS or line.skeleton.strip("*- ") in SIDEBARS or line.first in ("li", "aside")
-                near = near and step == 1
-                continue
-            short = len(line.text) <= 40 and len(line.text.split()) <= 5 and line.text[-1:] not in ".!?:;…。" and line.first not in _HEADINGS
-            if near and short and line.skeleton != title and not _NOTES.match(line.skeleton) and not (first <= i <= last and line.first not in ("li", "aside", "a")):
-                out[i] = True
-            else:
-                near = False
-    return out
+class LineModel:
+    """Weights of evidence that a line is furniture."""
 
+    def __init__(self, odds: dict[str, float], prior: float):
+        self.odds, self.prior = odds, prior
 
-def furniture_lines(reader: LineReader, content: str | None) -> list[int]:
-    lines = reader(content)
-    return [number for (number, _), is_furniture in zip(lines, judge(lines)) if is_furniture]
+    def evidence(self, shape: Iterable[str], words: tuple[str, ...]) -> float:
+        """Shape counts in full; words stand together in a line, so their sum is damped by the root of their number."""
+        known = self.odds.get
+        return SHAPE * sum(known(x, 0.0) for x in shape) + sum(known(x, 0.0) for x in words) / math.sqrt(max(1, len(words)))
 
+    def wording(self, line: Line) -> float:
+        """Evidence of a line's words only."""
+        return self.evidence((), line.words)
 
+    def alone(self, lines: list[tuple[int, Line]]) -> list[float]:
+        """Log-odds of each line, wherever it stands."""
+        out = []
+        for _, line in lines:
+            if line.odds is None:
+                line.odds = self.prior + self.evidence(line.shape, line.words)
+            out.append(line.odds)
+        return out
 
-def snippet_has_furniture(snippet: str | None) -> bool:
-    """A snippet is one run of text: any wording, sidebar heading, breadcrumb or two navigation labels in a row count."""
-    if not snippet or not snippet.strip():
-        return False
-    s = skeleton(snippet)
-    if _WORDING.search(s) or re.search(r"(?:^| )(?:tags|related|read next|more like this): ", s):
-        return True
-    words = _SEPARATOR.sub(" ", s).split()
-    if _nav_run(words) >= 3:
-        return True
-    padded = f" {s} "
-    if any(f" {x} " in padded for x in SIDEBARS):
-        return True
-    return any(re.search(rf"(?:^| ){re.escape(x)} ?(?:>|/|~) ", s) for x in NAVIGATION if x in s)
+    def judge(self, lines: list[tuple[int, Line]]) -> list[bool]:
+        """For each line whether it is furniture only; titles and headings never are."""
+        if not self.odds:
+            return [False] * len(lines)
+        alone = self.alone(lines)
+        stands = places(lines, alone)
+        scores = [max(-12.0, min(12.0, z + SHAPE * self.odds.get(place, 0.0))) for z, place in zip(alone, stands)]
+        # inside the region neighbours can only speak for content
+        return [
+            line.first not in _HEADINGS and own + BESIDE * (min(0.0, near) if place == "place=r" else near) > 0
+            for (_, line), own, near, place in zip(lines, scores, smoothed(scores, own=False), stands)
+        ]
+
+    @classmethod
+    def fit(cls, rows: list[tuple[tuple[str, ...], tuple[str, ...], float, bool, int]], rounds: int = ROUNDS) -> "LineModel":
+        """From (shape with place, words, start, whether that is open, times seen)."""
+        spread: Counter = Counter()
+        for shape, words, _, _, n in rows:
+            for x in (*shape, *words):
+                spread[x] += n
+        number = {x: i for i, x in enumerate(sorted(x for x, n in spread.items() if n >= 3))}
+        if not number:
+            return cls({}, 0.0)
+        # one entry for each known feature of each row, with the weight it has in the row's evidence
+        entries = [
+            (k, number[x], c)
+            for k, (shape, words, _, _, _) in enumerate(rows)
+            for part, c in ((shape, SHAPE), (words, 1 / math.sqrt(max(1, len(words)))))
+            for x in part if x in number
+        ]
+        row, feature, factor = (np.array(x) for x in zip(*entries))
+        times = np.array([n for *_, n in rows], dtype=float)
+        is_open = np.array([o for *_, o, _ in rows], dtype=bool)
+        weight = np.array([w for _, _, w, _, _ in rows], dtype=float)
+        model = cls({}, 0.0)
+        for _ in range(rounds):
+            for_it, against = times * weight, times * (1 - weight)
+            if not for_it.sum() or not against.sum():
+                return cls({}, 0.0)
+            pos, neg = (np.bincount(feature, w[row], len(number)) for w in (for_it, against))
+            odds = np.log((pos + SMOOTH) / (for_it.sum() + 2 * SMOOTH)) - np.log((neg + SMOOTH) / (against.sum() + 2 * SMOOTH))
+            prior = math.log(for_it.sum() / against.sum())
+            model = cls(dict(zip(number, odds.tolist())), prior)
+            z = prior + np.bincount(row, odds[feature] * factor, len(rows))
+            weight = np.where(is_open, 1 / (1 + np.exp(-np.clip(z, -30, 30))), weight)
+        return model
+
+
+def start(line: Line, place: str, seeds: tuple[str, ...] = SEEDS) -> tuple[float, bool]:
+    """Probability of furniture that a line starts from in fitting, and whether it is open to change."""
+    if line.first in _HEADINGS or NOTES.match(line.skeleton):
+        return 0.0, False
+    if seed(line.skeleton, seeds) == 2:
+        return 1.0, False
+    return (OPEN_IN if place == "place=r" else OPEN_OUT), True
+
+
+def sampled_records(table: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, content)`` of about ``most`` records, taken by hash of the id; of all if there are no more."""
+    n = table.count()
+    records = table.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
+    return records.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n)) if n > most else records
+
+
+def fit_lines(pages: DataFrame, id_col: str = "page_id", text_col: str = "content", seeds: tuple[str, ...] = SEEDS) -> LineModel:
+    """The classifier of lines, from a sample bounded by ``SAMPLE_PAGES`` and ``SAMPLE_LINES``; fitted twice, as
+    the region is found better once furniture of long lines is known."""
+    sample = cut(sampled_records(pages, SAMPLE_PAGES, id_col, text_col))
+    return _fitted(sample, seeds, _fitted(sample, seeds, None))
+
+
+def _fitted(sample: DataFrame, seeds: tuple[str, ...], before: LineModel | None) -> LineModel:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        reader = LineReader()
+        for batch in batches:
+            seen: Counter = Counter()
+            for content in batch["content"]:
+                lines = reader(content)
+                for (_, line), place in zip(lines, places(lines, before and before.alone(lines))):
+                    seen[(*line.shape, place), line.words, *start(line, place, seeds)] += 1
+            yield {"shape": [k[0] for k in seen], "words": [k[1] for k in seen], "start": [k[2] for k in seen], "open": [k[3] for k in seen], "n": list(seen.values())}
+
+    lines = map_columns(sample, ["content"], run, "shape array<string>, words array<string>, start double, open boolean, n long")
+    folded = lines.groupBy("shape", "words", "start", "open").agg(F.sum("n").alias("n"))
+    # ordered by hash, so that the bound takes the same lines however they lie
+    kept = folded.orderBy(F.xxhash64("shape", "words"), "shape", "words", "start").limit(SAMPLE_LINES)
+    return LineModel.fit([(r["shape"], r["words"], r["start"], r["open"], r["n"]) for r in kept.toArrow().to_pylist()])
+
+
+def furniture_lines(model: LineModel, reader: LineReader, content: str | None) -> list[int]:
+    lines = reader(content)
+    return [number for (number, _), is_furniture in zip(lines, model.judge(lines)) if is_furniture]
 
 
-def _page_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    reader = LineReader()
-    for batch in batches:
-        out: dict[str, list] = {"id": [], "line_no": []}
-        for page_id, content in zip(batch["id"], batch["content"]):
-            for number in furniture_lines(reader, content):
-                out["id"].append(page_id)
-                out["line_no"].append(number)
-        yield out
+#: Evidence that the best span of a snippet must reach; most that one word counts for; what each word costs.
+SPAN_AT, WORD_MOST, WORD_COST = 4.5, 6.0, 0.5
 
 
-def _main_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    reader = LineReader()
-    for batch in batches:
-        main = []
-        for content in batch["content"]:
-            drop = set(furniture_lines(reader, content))
-            main.append(None if content is None else "\n".join(x for i, x in enumerate(content.split("\n")) if i not in drop))
-        yield {"id": batch["id"], "content": main}
+def best_span(model: LineModel, snippet: str | None) -> float:
+    """The largest sum of evidence of any run of words; words that say nothing cost a little, so that runs stay together."""
+    best = run = 0.0
+    for w in _WORD.findall(skeleton(" ".join((snippet or "").split()))):
+        run = max(0.0, run + max(-WORD_MOST, min(WORD_MOST, model.odds.get(w, 0.0))) - WORD_COST)
+        best = max(best, run)
+    return best
 
 
-def _snippet_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    for batch in batches:
-        yield {"id": batch["id"], "dirty": [snippet_has_furniture(x) for x in batch["content"]]}
+def snippet_has_furniture(model: LineModel, snippet: str | None) -> bool:
+    """A snippet is one run of text: furniture in it is a run of words that speak for furniture."""
+    return best_span(model, snippet) >= SPAN_AT
 
 
 def _as_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
 
 
-def page_furniture(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
+def page_furniture(pages: DataFrame, model: LineModel, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
     """``(id, line_no)`` of the furniture lines."""
-    return map_columns(_as_records(pages, id_col, text_col), ["id", "content"], _page_rows, "id long, line_no int")
 
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        reader = LineReader()
+        for batch in batches:
+            found = [(i, n) for i, content in zip(batch["id"], batch["content"]) for n in furniture_lines(model, reader, content)]
+            yield {"id": [i for i, _ in found], "line_no": [n for _, n in found]}
 
-def main_content(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
+    return map_columns(_as_records(pages, id_col, text_col), ["id", "content"], run, "id long, line_no int")
+
+
+def main_content(pages: DataFrame, model: LineModel, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
     """``(id, content)``: every page without its furniture lines."""
-    return map_columns(_as_records(pages, id_col, text_col), ["id", "content"], _main_rows, "id long, content string")
 
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        reader = LineReader()
+        for batch in batches:
+            main = []
+            for content in batch["content"]:
+                drop = set(furniture_lines(model, reader, content))
+                main.append(None if content is None else "\n".join(x for i, x in enumerate(content.split("\n")) if i not in drop))
+            yield {"id": batch["id"], "content": main}
+
+    return map_columns(_as_records(pages, id_col, text_col), ["id", "content"], run, "id long, content string")
 
-def snippet_verdicts(results: DataFrame, id_col: str = "result_id", text_col: str = "snippet") -> DataFrame:
+
+def snippet_verdicts(results: DataFrame, model: LineModel, id_col: str = "result_id", text_col: str = "snippet") -> DataFrame:
     """``(id, dirty)``: whether each snippet holds any furniture (null and empty ones are clean)."""
-    return map_columns(_as_records(results, id_col, text_col), ["id", "content"], _snippet_rows, "id long, dirty boolean")
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            yield {"id": batch["id"], "dirty": [snippet_has_furniture(model, x) for x in batch["content"]]}
+
+    return map_columns(_as_records(results, id_col, text_col), ["id", "content"], run, "id long, dirty boolean")

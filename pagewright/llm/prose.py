@@ -26,22 +26,28 @@ _PARTICLE = re.compile("[はをのにがでとへも]|です|ます|的|了|是"
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
 
 
-def language(words: list[str]) -> str:
+def language(counts: Counter) -> str:
     """The language whose function words are most frequent, ``ja`` for wide scripts, ``-`` for none."""
-    counts = Counter(words)
-    best, name = 0, "-"
+    best, name = 0.0, "-"
     for code, known in SETS.items():
         n = sum(counts[w] for w in known & counts.keys())
         if n > best:
             best, name = n, code
-    return name
+    return "ja" if sum(n for w, n in counts.items() if _PARTICLE.fullmatch(w)) > best else name
 
 
-def function_share(text: str, words: list[str]) -> float:
-    """Share of function words; of particles, for text in a script without spaces."""
-    if not words:
-        return 0.0
-    wide = 0 if text.isascii() else len(_WIDE.findall(text))
-    if wide > 0.3 * len(text):
-        return min(1.0, 2.5 * len(_PARTICLE.findall(text)) / wide)
-    return sum(map(ANY.__contains__, words)) / len(words)
+def _wide(text: str) -> int:
+    return 0 if text.isascii() else len(_WIDE.findall(text))
+
+
+def units(text: str, words: list[str]) -> float:
+    """Size of a line in words; a script without spaces has about one in 2.5 characters."""
+    wide = _wide(text)
+    return wide / 2.5 if wide > 0.3 * len(text) else float(len(words))
+
+
+def function_words(text: str, words: list[str]) -> list[str]:
+    """The function words of a line in order; particles, for text in a script without spaces."""
+    if _wide(text) > 0.3 * len(text):
+        return _PARTICLE.findall(text)
+    return [w for w in words if w in ANY]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.furniture import main_content, snippet_verdicts
+from pagewright.llm.furniture import fit_lines, main_content, snippet_verdicts
 from pagewright.llm.lookalike import consistent_forms, same_reading_pairs
 from pagewright.llm.mixing import mixture, shares, sized_texts
 from pagewright.llm.mojibake import garbled_pages, restored_pages
@@ -27,7 +27,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures behind p1_found, of every page with enough words."""
-    return stuffing_scores(cut(page_profiles(_table(spark, sf_dir, "corpus_pages")))).withColumnRenamed("id", "page_id")
+    pages = _table(spark, sf_dir, "corpus_pages")
+    return stuffing_scores(cut(page_profiles(pages, fit_lines(pages)))).withColumnRenamed("id", "page_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,34 +52,48 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = cut(page_profiles(_table(spark, sf_dir, "corpus_pages")))
+    pages = _table(spark, sf_dir, "corpus_pages")
+    model = fit_lines(pages)
+    profiles = cut(page_profiles(pages, model))
     stuffed = stuffing_scores(profiles).where("stuffed").select("id")
     lines = profiles.select("id", "furniture").join(stuffed, "id", "left_anti").select(F.lit("page").alias("record_kind"), F.col("id").alias("record_id"), F.explode("furniture").alias("line_no"))
-    dirty = snippet_verdicts(_table(spark, sf_dir, "search_results")).where("dirty")
+    dirty = snippet_verdicts(_table(spark, sf_dir, "search_results"), model).where("dirty")
     return lines.unionByName(dirty.select(F.lit("result").alias("record_kind"), F.col("id").alias("record_id"), F.lit(0).alias("line_no")))
 
 
 def p5_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its main body only."""
-    return main_content(_table(spark, sf_dir, "corpus_pages")).withColumnRenamed("id", "page_id")
+    pages = _table(spark, sf_dir, "corpus_pages")
+    return main_content(pages, fit_lines(pages)).withColumnRenamed("id", "page_id")
 
 
 def p5_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every snippet, told clean or not."""
-    return snippet_verdicts(_table(spark, sf_dir, "search_results")).select(F.col("id").alias("result_id"), (~F.col("dirty")).alias("clean"))
+    """Every snippet, told clean or not by what the pages' lines have taught."""
+    model = fit_lines(_table(spark, sf_dir, "corpus_pages"))
+    return snippet_verdicts(_table(spark, sf_dir, "search_results"), model).select(F.col("id").alias("result_id"), (~F.col("dirty")).alias("clean"))
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ids of the pages and of the results that are residue."""
+    pages = _table(spark, sf_dir, "corpus_pages")
+    lines = fit_lines(pages)
+    model = fit(pages, lines)
+    return residue_pages(pages, lines, model), residue_titles(_table(spark, sf_dir, "search_results"), model)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, results = _table(spark, sf_dir, "corpus_pages"), _table(spark, sf_dir, "search_results")
-    model = fit(pages)
-    found = residue_pages(pages, model).select(F.lit("page").alias("record_kind"), F.col("id").alias("record_id"))
-    return found.unionByName(residue_titles(results, model).select(F.lit("result").alias("record_kind"), F.col("id").alias("record_id")))
+    pages, results = _residue(spark, sf_dir)
+    return pages.select(F.lit("page").alias("record_kind"), F.col("id").alias("record_id")).unionByName(results.select(F.lit("result").alias("record_kind"), F.col("id").alias("record_id")))
 
 
 def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages that are left when residue is taken out."""
-    pages = _table(spark, sf_dir, "corpus_pages")
-    return pages.select("page_id", "url").join(residue_pages(pages, fit(pages)), F.col("page_id") == F.col("id"), "left_anti")
+    """The pages and results that are left when residue is taken out."""
+    pages, results = _residue(spark, sf_dir)
+    kept = [
+        _table(spark, sf_dir, name).select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_id"), "url").join(found.withColumnRenamed("id", "record_id"), "record_id", "left_anti").select("record_kind", "record_id", "url")
+        for name, kind, key, found in (("corpus_pages", "page", "page_id", pages), ("search_results", "result", "result_id", results))
+    ]
+    return kept[0].unionByName(kept[1])
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,26 @@
 
 Passages are a record's titles (``title``, ``h1``, first heading of any level and
 first line) and the lines of its main body; furniture and notes are searched for
-placeholders only.  Trusted records are those that plain wordings settle (fixed
-values below); everything else is unlabelled.  Naive Bayes over the words of the
-passages starts from the trusted ones against all others and is then refined by
-expectation-maximization: unlabelled passages get their posterior as weight.
-Passages that the first round holds for negative are reliable negatives and stay
-so, which keeps whole languages from drifting to the small class.
+placeholders only.  Trusted are passages that hold an unfilled placeholder, equal a
+public default or error title, or hold a public wording of error messages and filler
+(``TITLES``, ``NOTICES``); everything else is unlabelled.  Naive Bayes over the
+words of the passages and pairs of them starts from the trusted ones against all
+others and is then refined by expectation-maximization: unlabelled passages get their
+posterior as weight.  Passages that the first round holds for negative are reliable
+negatives and stay so, which keeps whole languages from drifting to the small class.
 
 The classifier is fitted on a bounded sample (``SAMPLE_PAGES`` records taken by
-hash of the id, at most ``SAMPLE_PASSAGES`` passages, taken by hash too) and then scores every
-passage of every record.  A passage of more than ``WINDOW`` words is cut into
-consecutive windows of about equal size, in fitting and in scoring alike; each
-is scored and weighs by its length, so all words of a passage count.  A record is residue if a passage has an unfilled
+hash of the id, at most ``SAMPLE_PASSAGES`` different passages, taken by hash too) and
+then scores every passage of every record; the wordings are never asked at that point.
+A passage of more than ``WINDOW`` words is cut into consecutive windows of about equal
+size, in fitting and in scoring alike; each is scored and weighs by its length, so all
+words of a passage count.  A record is residue if a passage has an unfilled
 placeholder that is not shown as code or explained, if a title is scored as
 residue, or if most of its main body is.
 
 Defined cases: null and empty contents and titles are no residue; a body without
-any line leaves the decision to the title; repeated rows are judged alike.
+any line leaves the decision to the title; titles and passages of any length are
+scored alike; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -26,79 +29,68 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.furniture import _NOTES, LineReader, judge
+from pagewright.llm.furniture import NOTES, LineModel, LineReader, sampled_records
 from pagewright.session import map_columns
 
 SAMPLE_PAGES, SAMPLE_PASSAGES = 4_000, 40_000
 #: Words that are scored together.
 WINDOW = 60
-ROUNDS, TITLE_AT, BODY_AT, MOST, SMOOTH = 3, 0.9, 0.9, 0.5, 2.0
+ROUNDS, TITLE_AT, BODY_AT, MOST, SMOOTH = 4, 0.9, 0.9, 0.5, 2.0
 
 #: Syntax of unfilled placeholders.
 PLACEHOLDER = re.compile(
-    r"\{\{\{?[^{}\n]{0,60}\}?\}\}|\{%[^{}\n]{0,60}%\}|\$\{[\w. ]{1,40}\}|#\{[\w.]{1,40}\}|%%[\w. ]{1,40}%%|(?<![\w%])%[a-zA-Z_]{3,30}%(?!\w)|<%=?[^%\n]{0,60}%>"
-    r"|\[(?:insert|your|enter|title|name|add)\b[^\]\n]{0,60}\]|\b(?:TITLE|HEADING|NAME|TEXT|CAPTION)_\d+\b|__[A-Z][A-Z_]{2,30}__|\[\[[\w. ]{1,40}\]\]",
+    r"\{\{\{?[^{}\n]*\}?\}\}|\{%[^{}\n]*%\}|\$\{[\w. ]+\}|#\{[\w.]+\}|%%[\w. ]+%%|(?<![\w%])%[a-zA-Z_]{3,}%(?!\w)|<%=?[^%\n]*%>"
+    r"|\[(?:insert|your|enter|title|name|add)\b[^\]\n]*\]|\b(?:TITLE|HEADING|NAME|TEXT|CAPTION)_\d+\b|__[A-Z][A-Z_]{2,}__|\[\[[\w. ]+\]\]",
     re.I,
 )
-#: Whole titles that editors and servers leave behind, with digits as ``#``.
+#: Usual default and error titles, with digits as ``#``.
 TITLES = (
-    "untitled", "untitled document", "untitled page", "untitled #", "undefined", "null", "nan", "none", "new page", "new page #", "page title", "title", "heading", "headline", "your title here",
-    "site under construction", "under construction", "coming soon", "lorem ipsum", "object moved", "document moved", "moved permanently", "just a moment", "oops", "error", "error #", "http error #",
-    "# not found", "# server error", "# internal server error", "# forbidden", "# bad gateway", "# service unavailable", "#", "not found", "page not found", "file not found", "access denied", "no access",
-    "forbidden", "server error", "internal server error", "bad gateway", "service unavailable", "maintenance", "down for maintenance", "default page", "test page", "default title", "example page", "index of /", "it works", "welcome to nginx",
-    "seite nicht gefunden", "zugriff verweigert", "fehler", "página no encontrada", "acceso denegado", "page introuvable", "accès refusé", "erreur", "sem título", "sin título", "ohne titel", "sans titre",
-)
-#: Wordings of error messages, script notices and filler.
+    "untitled", "untitled document", "untitled page", "undefined", "null", "nan", "none", "new page", "page title", "title", "heading", "headline", "your title here", "under construction", "site under construction", "coming soon",
+    "lorem ipsum", "object moved", "document moved", "just a moment", "oops", "error", "error #", "http error #", "# not found", "# internal server error", "# server error", "# forbidden", "# bad gateway", "# service unavailable",
+    "not found", "page not found", "file not found", "access denied", "forbidden", "server error", "internal server error", "bad gateway", "service unavailable", "maintenance", "down for maintenance", "default page", "test page",
+    "example page", "index of /", "it works", "welcome to nginx", "seite nicht gefunden", "zugriff verweigert", "fehler", "página no encontrada", "acceso denegado", "page introuvable", "accès refusé", "erreur",
+    "sem título", "sin título", "ohne titel", "sans titre",
+)
+#: Usual wordings of error messages, script notices and filler, with digits as ``#`` and without punctuation.
 NOTICES = (
-    "access to this page is limited to members log in to proceed", "you don't have permission to read this page", "you do not have permission to access this resource", "there are no items here yet",
-    "warning cannot open stream in line #", "download failed the file is empty", "your address has been blocked by the administrator", "the requested address does not exist", "the requested url was not found on this server",
-    "scripts are disabled enable them and reload", "no results were found try fewer words", "we looked everywhere but this is no longer here", "coming soon the content is being prepared",
-    "checking your browser before opening this takes a few seconds", "the page could not be found on this server", "traceback most recent call last file error", "sorry nothing lives here it may have been moved or deleted",
-    "# internal error while rendering please try again later", "bitte aktivieren sie javascript um diese seite zu sehen", "please turn on javascript to view", "please enable javascript to continue", "needs a browser with scripting switched on yours has it off",
-    "your session has expired start again", "is down for maintenance and will be back soon http #", "your text goes here", "todo write the page", "this is a sample paragraph click to edit it", "placeholder caption for image", "insert description here",
-    "lorem ipsum dolor sit amet consectetur adipiscing elit", "asdf asdf test test", "fatal error call to undefined function", "could not connect to database too many connections", "connection to the database failed", "too many requests slow down",
-)
-_NOTICE = re.compile(
-    r"lorem ipsum|blindtext|(?:enable|turn on|activate|aktivieren sie|activez|active) (?:javascript|scripts|them and reload)|placeholder caption|text goes here|click to edit|internal error while|most recent call last|"
-    r"(?:could not be found on|does not exist|no longer here|no results were found|has expired\. start|is being prepared|down for maintenance|limited to members|blocked from|don't have permission|no items in|cannot open stream|download failed|"
-    r"nothing lives at|before opening|scripting switched on|^todo|^asdf)", re.I)
-_FILLER = re.compile(r"\b(?:lorem|ipsum|blindtext|asdf)\b", re.I)
+    "the requested url was not found on this server", "page could not be found", "does not exist", "it may have been moved or deleted", "no longer here", "you don't have permission to access", "permission to read this page",
+    "access to this page is limited", "log in to proceed", "your session has expired", "internal error", "please try again later", "try fewer words", "start again", "down for maintenance", "will be back soon", "too many requests", "too many connections",
+    "could not connect to database", "fatal error", "call to undefined function", "cannot open stream", "traceback most recent call last", "your address has been blocked", "checking your browser before", "no results were found",
+    "there are no items here", "please enable javascript", "turn on javascript", "javascript is disabled", "scripts are disabled", "aktivieren sie javascript", "lorem ipsum", "dolor sit amet", "consectetur adipiscing elit", "browser with scripting", "download failed",
+    "your text goes here", "insert description here", "placeholder caption", "sample paragraph", "click to edit", "asdf asdf", "todo write", "coming soon", "content is being prepared", "the file is empty",
+)
 _EXPLAINS = re.compile(r"template|placeholder|variable|braces|macro|syntax|markup", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|#|[{}$%\[\]]{1,3}")
-_SLUG = re.compile(r"/?\b[^\W\d_]{3,}(?:-[^\W\d_]{3,})+\b(?:\.\w+)?")
-
-
-_TITLES = frozenset(TITLES)
+_SLUG = re.compile(r"\b\w+://\S+|/?\b[^\W\d_]{3,}(?:-[^\W\d_]{3,})+\b(?:\.\w+)?")
+_PARTS = re.compile(r"\s[|·–—-]\s")
+_PUNCTUATION = re.compile(r"[^\w#']+")
 
 
 def _flat(text: str) -> str:
-    return re.sub(r"\d+", "#", " ".join(text.casefold().split())).strip(" .!…:-")
-
-
-def _default_title(text: str) -> bool:
-    """A whole title of the list, or one of two words and more beside the site's name."""
-    parts = map(_flat, text.split(" | ")) if " | " in text else ()
-    return _flat(text) in _TITLES or any(" " in p and p in _TITLES for p in parts) or has_placeholder(text) or _flat(text).startswith("lorem ipsum")
+    return " ".join(_PUNCTUATION.sub(" ", re.sub(r"\d+", "#", text.casefold())).split())
 
 
-def words(text: str, kind: str) -> list[str]:
-    """Features of a passage: its kind with each word; slugs and numbers as one word each; its size."""
+def features(text: str, kind: str) -> list[str]:
+    """Features of a passage: its kind with each word; addresses, slugs and numbers as one word each; its size last."""
     flat = _SLUG.sub(" slugword ", re.sub(r"\d+", "#", text.casefold()))
     found = _WORD.findall(flat)
-    return [f"{kind} {w}" for w in found] + [f"{kind} size {min(6, len(found).bit_length())}"]
+    return [f"{kind} {w}" for w in found] + [f"{kind} size={min(6, len(found).bit_length())}"]
 
 
-def windows(text: str, kind: str) -> list[list[str]]:
-    """The features of a passage in consecutive windows that leave no word out; each has the size of the whole."""
-    *found, size = words(text, kind)
+def windows(p: "Passage") -> list[list[str]]:
+    """The features of a passage in consecutive windows that leave no word out; each has the size of the whole and
+    that of the record's body (an error message often stands alone)."""
+    *found, size = features(p.text, p.kind)
     n = max(1, -(-len(found) // WINDOW))
-    return [[*found[len(found) * i // n : len(found) * (i + 1) // n], size] for i in range(n)]
+    whole = [size, f"b of={p.body.bit_length()}"] if p.kind == "b" else [size]
+    return [[*found[len(found) * i // n : len(found) * (i + 1) // n], *whole] for i in range(n)]
 
 
 def has_placeholder(text: str) -> bool:
@@ -112,37 +104,51 @@ class Passage:
     kind: str
     text: str
     placeholder: bool
+    #: characters of the record's body, in hundreds
+    body: int = 0
 
 
-def passages(reader: LineReader, content: str | None) -> list[Passage]:
+def passages(lines_model: LineModel, reader: LineReader, content: str | None) -> list[Passage]:
     lines = reader(content)
     out: list[Passage] = []
     before = ""
     titled = headed = False
-    for (_, line), furniture in zip(lines, judge(lines)):
+    for (_, line), furniture in zip(lines, lines_model.judge(lines)):
         found = has_placeholder(line.text) and not (line.code or _EXPLAINS.search(before) or _EXPLAINS.search(PLACEHOLDER.sub("", line.text)))
         if not furniture:
             before = line.text
-        if furniture or _NOTES.match(line.skeleton):
+        if furniture or NOTES.match(line.skeleton):
             if found:
                 out.append(Passage("f", line.text, True))
             continue
         heading = line.first in ("h1", "h2", "h3", "h4", "h5", "h6")
-        kind = "t" if line.first in ("title", "h1") or not titled or (heading and not headed) else "b"
+        # the first line of a page without marked title is one, unless it reads on like a body
+        first = not titled and (line.first == "title" or not line.text.rstrip().endswith((".", "!", "?", "…")))
+        kind = "t" if line.first in ("title", "h1") or first or (heading and not headed) else "b"
         titled, headed = True, headed or heading
-        if kind == "b" and line.first in ("h2", "h3", "h4") and not found:
+        if kind == "b" and heading and not found:
             continue
-        # a long first line of a page without title is body
-        out.append(Passage("b" if kind == "t" and len(line.text) > 120 and line.first != "title" and not heading else kind, line.text, found))
+        out.append(Passage(kind, line.text, found))
+    body = sum(len(p.text) for p in out if p.kind == "b") // 100
+    for p in out:
+        p.body = body
     return out
 
 
-def trusted(p: Passage) -> bool:
-    if p.placeholder:
-        return True
-    if p.kind == "t":
-        return _default_title(p.text)
-    return len(_FILLER.findall(p.text)) >= 2 or (len(p.text) < 160 and bool(_NOTICE.search(p.text)))
+class Wordings:
+    """What is trusted before anything is learnt."""
+
+    def __init__(self, titles: Iterable[str] = TITLES, notices: Iterable[str] = NOTICES):
+        self.titles, self.notices = frozenset(map(_flat, titles)), tuple(map(_flat, notices))
+
+    def trusts(self, p: Passage) -> bool:
+        if p.placeholder:
+            return True
+        flat = _flat(p.text)
+        return flat in self.titles if p.kind == "t" else any(x in flat for x in self.notices)
+
+
+Rows = list[tuple[tuple[str, ...], bool, int]]
 
 
 class Model:
@@ -151,80 +157,88 @@ class Model:
     def __init__(self, odds: dict[str, float], prior: float, unknown: float):
         self.odds, self.prior, self.unknown = odds, prior, unknown
 
-    def posterior(self, features: list[str]) -> float:
-        z = self.prior + sum(self.odds.get(w, self.unknown) for w in features)
+    def posterior(self, found: Iterable[str]) -> float:
+        z = self.prior + sum(self.odds.get(w, self.unknown) for w in found)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
     @classmethod
-    def fit(cls, positive: list[list[str]], unlabelled: list[list[str]], rounds: int = ROUNDS) -> "Model":
-        spread = Counter(w for x in positive + unlabelled for w in set(x))
-        known = {w for w, n in spread.items() if n >= 2}
-        weights = [0.0] * len(unlabelled)
-        open_ = None  # passages whose class is still open after the first round; the rest stay negative
-        model = cls({}, 0.0, 0.0)
+    def fit(cls, rows: Rows, rounds: int = ROUNDS) -> "Model":
+        """From (features, whether trusted, times seen)."""
+        spread: Counter = Counter()
+        for found, _, n in rows:
+            for x in set(found):
+                spread[x] += n
+        # all words seen once are one word together
+        number = {x: i + 1 for i, x in enumerate(sorted(x for x, n in spread.items() if n >= 2))}
+        if not number:
+            return cls({}, -50.0, 0.0)
+        row = np.repeat(np.arange(len(rows)), [len(found) for found, _, _ in rows])
+        feature = np.array([number.get(x, 0) for found, _, _ in rows for x in found])
+        times = np.array([n for *_, n in rows], dtype=float)
+        fixed = np.array([t for _, t, _ in rows], dtype=bool)
+        weight = fixed.astype(float)
+        model, is_open = cls({}, -50.0, 0.0), None
         for _ in range(rounds):
-            pos: Counter = Counter()
-            neg: Counter = Counter()
-            for x in positive:
-                pos.update(x)
-            for x, w in zip(unlabelled, weights):
-                for f in x:
-                    pos[f] += w
-                    neg[f] += 1 - w
-            n_pos, n_neg = sum(pos.values()), sum(neg.values())
-            total = n_pos + n_neg
-
-            def odd(a: float, b: float) -> float:
-                """Smoothed towards the word's share of all words, so that words of the large class don't favour the small one."""
-                share = max(a + b, 0.5) / total
-                return math.log((a + SMOOTH * share) / (n_pos + SMOOTH)) - math.log((b + SMOOTH * share) / (n_neg + SMOOTH))
-
-            odds = {f: odd(pos[f], neg[f]) for f in known}
-            # all unknown words together are one word of either class
-            unknown = odd(sum(v for f, v in pos.items() if f not in known), sum(v for f, v in neg.items() if f not in known))
-            p, u = len(positive) + sum(weights), len(unlabelled) - sum(weights)
-            model = cls(odds, math.log((p + 1) / (u + 1)), min(unknown, -0.5))
-            if open_ is None:
-                open_ = [i for i, x in enumerate(unlabelled) if model.posterior(x) >= 0.5]
-            for i in open_:
-                weights[i] = model.posterior(unlabelled[i])
+            pos, neg = (np.bincount(feature, (times * w)[row], len(number) + 1) for w in (weight, 1 - weight))
+            # smoothed towards the word's share of all words, so that words of the large class don't favour the small one
+            share = np.maximum(pos + neg, 0.5) / (pos.sum() + neg.sum())
+            odds = np.log((pos + SMOOTH * share) / (pos.sum() + SMOOTH)) - np.log((neg + SMOOTH * share) / (neg.sum() + SMOOTH))
+            odds[0] = min(odds[0], -0.5)
+            prior = math.log(((times * weight).sum() + 1) / ((times * (1 - weight)).sum() + 1))
+            model = cls({x: float(odds[i]) for x, i in number.items()}, prior, float(odds[0]))
+            z = prior + np.bincount(row, odds[feature], len(rows))
+            posterior = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            if is_open is None:
+                # whose class is still open after the first round; the rest stay negative
+                is_open = ~fixed & (posterior >= 0.5)
+            weight = np.where(is_open, posterior, weight)
         return model
 
 
-def _sample_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    reader = LineReader()
-    for batch in batches:
-        # a sentence around a placeholder is ordinary text, so it teaches neither class
-        cut = [
-            (i, n, k, w, trusted(p))
-            for i, c in zip(batch["id"], batch["content"]) for n, p in enumerate(passages(reader, c)) if not p.placeholder for k, w in enumerate(windows(p.text, p.kind))
-        ]
-        yield {name: [x[j] for x in cut] for j, name in enumerate(("id", "passage", "window", "features", "trusted"))}
+def sample_counts(lines_model: LineModel, reader: LineReader, contents: Iterable[str | None], wordings: Wordings) -> Counter:
+    """``(features, trusted)`` of the windows of all passages; a sentence around a placeholder is ordinary text and teaches neither class."""
+    seen: Counter = Counter()
+    for content in contents:
+        for p in passages(lines_model, reader, content):
+            if not p.placeholder:
+                trusted = wordings.trusts(p)
+                for w in windows(p):
+                    seen[tuple(w), trusted] += 1
+    return seen
 
 
-def sampled(passages: DataFrame, most: int) -> DataFrame:
-    """At most so many rows, in an order that hangs on what they are and not on where they lie."""
-    return passages.orderBy(F.xxhash64("id", "passage", "window"), "id", "passage", "window", "features", "trusted").limit(most)
+def fit_rows(rows: Rows, wordings: Wordings) -> Model:
+    """The wordings themselves are trusted passages as well."""
+    given = [(tuple(features(t, kind)), True, 2) for kind, texts in (("t", sorted(wordings.titles)), ("b", wordings.notices)) for t in texts]
+    return Model.fit(given + rows)
+
+
+def fit(pages: DataFrame, lines_model: LineModel, id_col: str = "page_id", text_col: str = "content", wordings: Wordings | None = None) -> Model:
+    """The classifier from a bounded sample of the records."""
+    trusted = wordings or Wordings()
 
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        reader = LineReader()
+        for batch in batches:
+            seen = sample_counts(lines_model, reader, batch["content"], trusted)
+            yield {"features": [k[0] for k in seen], "trusted": [k[1] for k in seen], "n": list(seen.values())}
 
-def fit(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") -> Model:
-    """The classifier from a bounded sample of the records; the wordings above are trusted passages too."""
-    n = pages.count()
-    records = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
-    if n > SAMPLE_PAGES:
-        records = records.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_PAGES / n))
-    rows = sampled(map_columns(records, ["id", "content"], _sample_rows, "id long, passage int, window int, features array<string>, trusted boolean"), SAMPLE_PASSAGES).toLocalIterator()
-    positive = [words(t, "t") for t in TITLES] * 2 + [words(t, "b") for t in NOTICES] * 2
-    unlabelled = []
-    for r in rows:
-        (positive if r.trusted else unlabelled).append(list(r.features))
-    return Model.fit(positive, unlabelled)
+    found = map_columns(sampled_records(pages, SAMPLE_PAGES, id_col, text_col), ["content"], run, "features array<string>, trusted boolean, n long")
+    folded = found.groupBy("features", "trusted").agg(F.sum("n").alias("n"))
+    return fit_rows([(tuple(r["features"]), r["trusted"], r["n"]) for r in sampled(folded, SAMPLE_PASSAGES).toArrow().to_pylist()], trusted)
+
+
+def sampled(passages: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, in an order that hangs on what they are and not on where they lie."""
+    return passages.orderBy(F.xxhash64("features", "trusted"), "features", "trusted").limit(most)
 
 
 def is_residue_title(model: Model, title: str | None) -> bool:
     if not title or not title.strip():
         return False
-    return _default_title(title) or ("://" not in title and model.posterior(words(title, "t")) >= TITLE_AT)
+    # parts of two words and more are asked for themselves: an error beside the name of the site
+    parts = [p for p in _PARTS.split(title) if len(p.split()) > 1]
+    return has_placeholder(title) or any(model.posterior(features(p, "t")) >= TITLE_AT for p in (title, *(parts if len(parts) > 1 else ())))
 
 
 def is_residue(model: Model, found: list[Passage]) -> bool:
@@ -233,9 +247,7 @@ def is_residue(model: Model, found: list[Passage]) -> bool:
     body = sorted((p for p in found if p.kind == "b"), key=lambda p: -len(p.text))
     left = sum(len(p.text) for p in body) * (1 - MOST)
     for p in body:
-        if trusted(p):
-            continue
-        cut = windows(p.text, "b")
+        cut = windows(p)
         size = sum(map(len, cut))
         for w in cut:
             if model.posterior(w) < BODY_AT:
@@ -245,13 +257,13 @@ def is_residue(model: Model, found: list[Passage]) -> bool:
     return bool(body)
 
 
-def residue_pages(pages: DataFrame, model: Model, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
+def residue_pages(pages: DataFrame, lines_model: LineModel, model: Model, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
     """``(id)`` of the pages that are residue."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         reader = LineReader()
         for batch in batches:
-            yield {"id": [i for i, c in zip(batch["id"], batch["content"]) if is_residue(model, passages(reader, c))]}
+            yield {"id": [i for i, c in zip(batch["id"], batch["content"]) if is_residue(model, passages(lines_model, reader, c))]}
 
     return map_columns(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content")), ["id", "content"], run, "id long")
 

@@ -1,20 +1,28 @@
 """Keyword-stuffed pages and link lists, from rank-frequency curves.
 
-One pass over the pages reads each page's main body (furniture, title and
-headings left out; text in a wrong encoding restored first) and gives one row a
-page: its language, how many words it has, how many of them are function words,
-how many stand in lines that diverge from prose (hardly a function word, or one
-other word over and over), and its frequency spectrum (how many terms occur ``tf`` times).
-
-SQL windows over the spectrum give the ranks, a regression of log frequency on
-log rank gives slope and residual, and both, with the share of function words,
-are compared with the prose of the same language at comparable length.  A page
-is stuffed when most of its body stands in diverging lines and the page is
-extreme against that prose: in divergence (Kullback-Leibler, of function words
-against others), or in slope or residual (standard scores).
-
-Defined cases: null, empty and very short bodies are not stuffed; filler text
-(lorem ipsum) is not promotion; repeated rows are judged alike.
+One pass over the pages reads each page's main body (furniture, title and headings
+left out; text in a wrong encoding restored first) and gives one row a page: its
+language, its size in words, how often it says each function word, and the frequency
+spectrum of all its other terms (how many terms occur ``tf`` times).
+
+SQL windows over the spectrum give the ranks of the page's own terms; a regression of
+log frequency on log rank, each term counting once, gives slope and residual.  SQL
+windows over the function words of all prose of a language rank these as well; a
+page's words fall into bins of those ranks (``BINS``) and a rest of all other words,
+and the Kullback-Leibler divergence of this distribution from that of the language's
+prose, as a share of the divergence that a text without any function word has, says
+how far the page is from prose of its language.  Slope and residual are compared with
+the median and quartiles of pages of the same language and length.
+
+A page is stuffed if its curve is extreme: in divergence (lists of keywords, links or
+tags hardly use function words), in a slope steeper than its peers' (sentences built
+around one keyword), or in the residual.  Directories and reading lists diverge
+from prose too, but keep some function words and say something new in each entry.
+
+Defined cases: null, empty and very short bodies are not stuffed; filler text (lorem
+ipsum) is not promotion; lines that are still garbled after restoring can't be told
+from prose and are left out, and so is a body that is mostly such lines; a language without enough prose is compared with that of
+all languages; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -27,129 +35,165 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.visible import text_terms
-from pagewright.llm.furniture import _NOTES, LineReader, judge
+from pagewright.llm.furniture import NOTES, LineModel, LineReader
 from pagewright.llm.mojibake import damage, restore
-from pagewright.llm.prose import _WIDE, ANY, CONNECTIVES, function_share, language
+from pagewright.llm.prose import ANY, CONNECTIVES, function_words, language, units
 from pagewright.session import map_columns
 
-#: A line with a smaller share of function words diverges from prose; a body with less words is too short to tell.
-LEAST_SHARE, LEAST_WORDS = 0.06, 30
-#: A line that says a term so often, and in such a share of its words, diverges too.
-REPEATS, REPEATED = 4, 0.12
-#: Most of the body; nats of divergence; standard scores.
-MOST, DIVERGENCE, SCORE = 0.5, 0.08, 3.0
+#: A body with less words is too short to tell.
+LEAST_WORDS = 30
+#: Last ranks of the bins of function words.
+BINS = (2, 8, 32)
+#: Share of the largest possible divergence; standard scores of a steeper slope and of the residual.
+DIVERGENCE, STEEP, RESIDUAL = 0.45, 8.0, 6.0
+#: Least spread of slopes and residuals that a score is taken by, and rows that make a class of peers.
+LEAST_SPREAD, LEAST_PEERS = 0.06, 5
 _FILLER = re.compile(r"\b(?:lorem|ipsum|blindtext|asdf)\b", re.I)
-_HYPHEN = re.compile(r"(?<=\w)-(?=\w)")
-SCHEMA = "id long, furniture array<int>, lang string, words double, off double, function double, spectrum array<struct<tf: int, n: int>>"
-
-
-def _repeats(tokens: list[str]) -> bool:
-    """Whether one term that is no function word is said over and over: sentences built around a keyword."""
-    if len(tokens) < 2 * REPEATS:
-        return False
-    most = max((n for t, n in Counter(tokens).items() if t not in ANY and t not in CONNECTIVES and not _WIDE.search(t)), default=0)
-    return most >= REPEATS and most >= REPEATED * len(tokens)
-
-
-def _merged(lines: list[str]) -> Iterator[tuple[str, list[str]]]:
-    """The lines with their terms; a run of lines of one word each is one line."""
-    run: list[str] = []
-    for text in lines:
-        tokens = text_terms(text)
-        if len(tokens) < 2 and not any(c in text for c in "#/") and len(text) < 30:
-            run.append(text)
-            continue
-        if run:
-            yield " ".join(run), text_terms(" ".join(run))
-            run = []
-        yield text, tokens
-    if run:
-        yield " ".join(run), text_terms(" ".join(run))
-
-
-def _measure(lines: list[str], restored: bool = False) -> tuple[float, float, float, list[str]]:
-    """Words, words in diverging lines, function words, and all terms of the body lines.
-    Lines that are still garbled after restoring can't be told from prose."""
-    words = off = function = 0.0
-    body: list[str] = []
-    filler = sum(len(_FILLER.findall(text)) for text in lines) >= 3
-    for text, tokens in _merged(lines):
-        # compounds are one word to the share: their parts are no function words
-        share = function_share(text, text_terms(_HYPHEN.sub("", text)) if "-" in text else tokens)
-        weight = max(float(len(tokens)), len(text) / 6)
-        words += weight
-        function += share * weight
-        if (share < LEAST_SHARE or _repeats(tokens)) and not filler and not (restored and (damage(text) or sum(c > "\x7f" for c in text) > 0.3 * len(text))):
-            off += weight
-        body += tokens
-    return words, off, function, body
-
-
-def _pass(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    reader = LineReader()
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("id", "furniture", "lang", "words", "off", "function", "spectrum")}
-        for page_id, content in zip(batch["id"], batch["content"]):
-            lines = reader(content)
-            marks = judge(lines)
-            texts = [line.text for (_, line), f in zip(lines, marks) if not f and line.first not in ("title", "h1", "h2", "h3") and not _NOTES.match(line.skeleton)]
-            words, off, function, body = _measure(texts)
-            if off > 0.2 * words and damage("\n".join(texts)):
-                words, off, function, body = _measure(restore("\n".join(texts))[0].split("\n"), restored=True)
-            spectrum = Counter(Counter(body).values())
-            out["id"].append(page_id)
-            out["furniture"].append([n for (n, _), f in zip(lines, marks) if f])
-            out["lang"].append(language(body))
-            out["words"].append(words)
-            out["off"].append(off)
-            out["function"].append(function)
-            out["spectrum"].append([{"tf": tf, "n": n} for tf, n in spectrum.items()])
-        yield out
-
-
-def page_profiles(pages: DataFrame, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
+SCHEMA = "id long, furniture array<int>, lang string, words double, heads array<struct<word: string, n: double>>, spectrum array<struct<tf: int, n: int>>"
+
+
+def body_measures(lines: list[str]) -> tuple[str, float, Counter, Counter]:
+    """Language, words, function words and all other terms of the body lines."""
+    text = "\n".join(lines)
+    if damage(text):
+        restored = restore(text)[0]
+        lines = restored.split("\n")
+        if damage(restored):
+            clean = [x for x in lines if not damage(x) and sum(c > "\x7f" for c in x) <= 0.3 * len(x)]
+            lines = clean if 2 * sum(map(len, clean)) >= len(restored) else []
+    words = 0.0
+    heads: Counter = Counter()
+    own: Counter = Counter()
+    for line in lines:
+        tokens = text_terms(line)
+        words += units(line, tokens)
+        heads.update(function_words(line, tokens))
+        own.update(t for t in tokens if t not in ANY and t not in CONNECTIVES and not t.isdigit())
+    return language(heads), words, heads, own
+
+
+def _pass(model: LineModel):
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        reader = LineReader()
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("id", "furniture", "lang", "words", "heads", "spectrum")}
+            for page_id, content in zip(batch["id"], batch["content"]):
+                lines = reader(content)
+                marks = model.judge(lines)
+                # a line of words that don't speak for furniture themselves may be a keyword or a link of the body
+                body = [line.text for (_, line), f in zip(lines, marks) if not (f and model.wording(line) > 0) and line.first not in ("title", "h1", "h2", "h3") and not NOTES.match(line.skeleton)]
+                if sum(len(_FILLER.findall(text)) for text in body) >= 3:
+                    body = []
+                lang, words, heads, own = body_measures(body)
+                out["id"].append(page_id)
+                out["furniture"].append([n for (n, _), f in zip(lines, marks) if f])
+                out["lang"].append(lang)
+                out["words"].append(words)
+                out["heads"].append([{"word": w, "n": n} for w, n in heads.items()])
+                out["spectrum"].append([{"tf": tf, "n": n} for tf, n in Counter(own.values()).items()])
+            yield out
+
+    return run
+
+
+def page_profiles(pages: DataFrame, model: LineModel, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
     """One row a page: furniture lines and the measures of its main body (see SCHEMA)."""
-    return map_columns(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content")), ["id", "content"], _pass, SCHEMA)
+    return map_columns(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content")), ["id", "content"], _pass(model), SCHEMA)
 
 
 def curves(profiles: DataFrame) -> DataFrame:
-    """``(id, slope, residual)`` of each page's rank-frequency curve."""
+    """``(id, slope, residual)`` of each page's rank-frequency curve; 0 for curves of one frequency only."""
     spectrum = profiles.select("id", F.explode("spectrum").alias("s")).select("id", "s.tf", "s.n")
-    below = Window.partitionBy("id").orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = spectrum.withColumn("rank", F.sum("n").over(below) - (F.col("n") - 1) / 2)
-    x, y = F.ln("rank"), F.ln("tf")
-    return ranked.groupBy("id").agg(
-        F.nanvl(F.coalesce(F.regr_slope(y, x), F.lit(0.0)), F.lit(0.0)).alias("slope"),
-        F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(1.0))), F.lit(0.0))) / F.count("*")).alias("residual"),
-    )
-
-
-def _kl(p: Column, q: Column) -> Column:
-    p, q = (F.least(F.lit(0.995), F.greatest(F.lit(0.005), v)) for v in (p, q))
-    return p * F.ln(p / q) + (1 - p) * F.ln((1 - p) / (1 - q))
+    above = Window.partitionBy("id").orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the terms of one frequency share their middle rank
+    x, y, w = F.ln(F.sum("n").over(above) - (F.col("n") - 1) / 2), F.ln("tf"), F.col("n")
+    sums = spectrum.select("id", w.alias("w"), (w * x).alias("x"), (w * y).alias("y"), (w * x * x).alias("xx"), (w * x * y).alias("xy"), (w * y * y).alias("yy"))
+    s = sums.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("w", "x", "y", "xx", "xy", "yy")))
+    across, up, both = (F.col(c) - F.col(a) * F.col(b) / F.col("w") for c, a, b in (("xx", "x", "x"), ("yy", "y", "y"), ("xy", "x", "y")))
+    fitted = s.select("id", "w", across.alias("across"), up.alias("up"), both.alias("both")).withColumn("slope", F.when(F.col("across") > 1e-9, F.col("both") / F.col("across")).otherwise(0.0))
+    return fitted.select("id", "slope", F.sqrt(F.greatest(F.lit(0.0), F.col("up") - F.col("slope") * F.col("both")) / F.col("w")).alias("residual"))
+
+
+def _share(name: str = "heads") -> Column:
+    return F.aggregate(name, F.lit(0.0), lambda acc, h: acc + h["n"]) / F.col("words")
+
+
+def prose_bins(profiles: DataFrame) -> DataFrame:
+    """``(lang, bins, expected)``: the bin of each function word in the prose of its language, and the share of
+    the prose that each bin and the rest have; ``lang`` null stands for all languages together.
+
+    Prose are the pages with at least half the median share of function words, so that
+    a class full of keyword pages doesn't set its own measure.  A row a language."""
+    measured = profiles.where(F.col("words") >= LEAST_WORDS).withColumn("share", _share())
+    middle = measured.groupBy("lang").agg(F.percentile_approx("share", 0.5).alias("middle"))
+    prose = measured.join(F.broadcast(middle), "lang").where("share > 0 and share >= middle / 2")
+    sizes = prose.groupBy("lang").agg(F.sum("words").alias("total"), F.count("*").alias("k"))
+    said = prose.select("lang", F.explode("heads").alias("h")).groupBy("lang", F.col("h.word").alias("word")).agg(F.sum("h.n").alias("n"))
+    # the function words of a language are a fixed list, so this window is small whatever the corpus
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    which = sum((F.when(F.col("rank") > last, 1).otherwise(0) for last in BINS), F.lit(0))
+    ranked = said.withColumn("rank", rank).withColumn("bin", which)
+    counted = ranked.groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(*(F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0.0)).alias(f"n{b}") for b in range(len(BINS) + 1)))
+    full = counted.join(sizes, "lang").where(F.col("k") >= LEAST_PEERS)
+    names = [f"n{b}" for b in range(len(BINS) + 1)]
+
+    shares = [F.col(c) / F.col("total") for c in names]
+    expected = F.array(*shares, F.greatest(F.lit(1e-3), 1 - sum(shares[1:], shares[0])))
+    words = ranked.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "bin"))).alias("bins"))
+    own = full.select("lang", expected.alias("expected")).join(words, "lang").select("lang", "bins", "expected")
+    # without ranks of its own language a text is compared by its share of function words alone: they all go to the first bin
+    share = sum((F.sum(c) for c in names[1:]), F.sum(names[0])) / F.sum("total")
+    one = F.array(share, *(F.lit(0.0) for _ in BINS), F.greatest(F.lit(1e-3), 1 - share))
+    pooled = full.agg(one.alias("expected")).select(F.lit(None).cast("string").alias("lang"), F.create_map().cast("map<string,int>").alias("bins"), "expected")
+    return own.unionByName(pooled)
+
+
+def divergence(heads: Column, words: Column, bins: Column, expected: Column) -> Column:
+    """Nats between a page's words over the rank bins and the prose of its language, over the most there can be."""
+    last = len(BINS)
+    other = F.when(F.size(bins) == 0, 0).otherwise(last)
+
+    def said(b: int) -> Column:
+        return F.aggregate(heads, F.lit(0.0), lambda acc, h: acc + F.when(F.coalesce(F.try_element_at(bins, h["word"]), other) == b, h["n"]).otherwise(0.0))
+
+    counts = [said(b) for b in range(last + 1)]
+    rest = F.greatest(F.lit(0.0), words - sum(counts[1:], counts[0]))
+
+    def part(count: Column, b: int) -> Column:
+        p = count / words
+        return F.when(count > 0, p * F.ln(p / F.greatest(F.lit(1e-3), F.get(expected, F.lit(b))))).otherwise(0.0)
+
+    total = sum((part(c, b) for b, c in enumerate(counts)), part(rest, last + 1))
+    # a text that says more function words than prose doesn't diverge towards lists
+    fewer = rest / words > F.get(expected, F.lit(last + 1))
+    return F.when(fewer, total / -F.ln(F.get(expected, F.lit(last + 1)))).otherwise(0.0)
 
 
 def stuffing_scores(profiles: DataFrame) -> DataFrame:
-    """``(id, lang, words, off_share, divergence, slope_score, residual_score, stuffed)`` of every page with enough words."""
+    """``(id, lang, words, divergence, slope, slope_score, residual_score, stuffed)`` of every page with enough words."""
+    prose = prose_bins(profiles)
+    pooled = prose.where("lang is null").select(F.col("bins").alias("p_bins"), F.col("expected").alias("p_expected"))
+    # one row for each language, and one row
     measured = (
         profiles.where(F.col("words") >= LEAST_WORDS)
+        .join(F.broadcast(prose.where("lang is not null")), "lang", "left")
+        .join(F.broadcast(pooled.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"), "left")
+        .select("id", "lang", "words", divergence(F.col("heads"), F.col("words"), F.coalesce("bins", "p_bins"), F.coalesce("expected", "p_expected")).alias("divergence"))
         .join(curves(profiles), "id", "left")
-        .withColumns({"off_share": F.col("off") / F.col("words"), "share": F.col("function") / F.col("words"), "size": F.floor(F.log2("words")).cast("int")})
+        .fillna(0.0, ["slope", "residual", "divergence"])
+        .withColumn("size", F.floor(F.log2("words")).cast("int"))
     )
-    names = ("share", "slope", "residual")
-    moments = [f(n).alias(f"{a}_{n}") for n in names for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))]
-    prose = measured.where(F.col("off_share") < 0.2)
+    names = ("slope", "residual")
+    quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75]).alias(n) for n in names]
     # at most one row for each language and power of two of length: bounded
-    same = prose.groupBy("lang", "size").agg(F.count("*").alias("k"), *moments).where("k >= 5")
-    pooled = prose.groupBy("size").agg(*moments).select("size", *(F.col(f"{a}_{n}").alias(f"p{a}_{n}") for n in names for a in "ms"))
-    joined = measured.join(F.broadcast(same), ["lang", "size"], "left").join(F.broadcast(pooled), "size", "left")
-
-    def against(name: str, moment: str, default: float) -> Column:
-        return F.coalesce(f"{moment}_{name}", f"p{moment}_{name}", F.lit(default))
+    same = measured.groupBy("lang", "size").agg(F.count("*").alias("k"), *quartiles).where(F.col("k") >= LEAST_PEERS).select("lang", "size", *(F.col(n).alias(f"q_{n}") for n in names))
+    alike = measured.groupBy("size").agg(*quartiles).select("size", *(F.col(n).alias(f"a_{n}") for n in names))
+    joined = measured.join(F.broadcast(same), ["lang", "size"], "left").join(F.broadcast(alike), "size", "left")
 
     def score(name: str) -> Column:
-        return F.abs(F.col(name) - against(name, "m", 0.0)) / F.greatest(F.lit(0.02), against(name, "s", 1.0))
+        q = F.coalesce(f"q_{name}", f"a_{name}")
+        return (F.col(name) - F.get(q, F.lit(1))) / F.greatest(F.lit(LEAST_SPREAD), (F.get(q, F.lit(2)) - F.get(q, F.lit(0))) / 1.349)
 
-    scored = joined.withColumns({"divergence": F.when(F.col("share") < against("share", "m", 0.3), _kl(F.col("share"), against("share", "m", 0.3))).otherwise(0.0), "slope_score": score("slope"), "residual_score": score("residual")})
-    extreme = (F.col("divergence") >= DIVERGENCE) | (F.col("slope_score") >= SCORE) | (F.col("residual_score") >= SCORE)
-    return scored.withColumn("stuffed", (F.col("off_share") >= MOST) & extreme).select("id", "lang", "words", "off_share", "divergence", "slope_score", "residual_score", "stuffed")
+    scored = joined.withColumns({"slope_score": -score("slope"), "residual_score": score("residual")})
+    extreme = (F.col("divergence") >= DIVERGENCE) | (F.col("slope_score") >= STEEP) | (F.col("residual_score") >= RESIDUAL)
+    return scored.select("id", "lang", "words", "divergence", "slope", "slope_score", "residual_score", extreme.alias("stuffed"))

@@ -1,15 +1,18 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 
 from pagewright.functions.visible import visible_lines
 from pagewright.llm import residue
-from pagewright.llm.furniture import LineReader, furniture_lines, main_content, page_furniture, region, snippet_has_furniture, snippet_verdicts
+from pagewright.llm import furniture as fu
+from pagewright.llm.furniture import LineModel, LineReader, furniture_lines, main_content, page_furniture, places, region, snippet_has_furniture, snippet_verdicts, start
 from pagewright.llm.mojibake import damage, garbled_pages, restore, restored_pages
 from pagewright.llm.sitelines import chunks, letters, normalise, repeated_lines, without_lines
-from pagewright.llm.stuffing import _measure, page_profiles, stuffing_scores
+from pagewright.llm import stuffing
+from pagewright.llm.stuffing import body_measures, curves, page_profiles, stuffing_scores
 
 PROSE = "The committee led by the library measured five of the entries last October, and it asked the group to repeat the survey before the end of the term."
 GERMAN = "Für die Prüfung müssen Sie sich bis zum März im Büro anmelden, weil die Plätze über den Sommer größtenteils vergeben wären."
@@ -99,177 +102,298 @@ def test_garbled_pages(spark, pages_of):
 
 # ---- p5
 
-PAGE = f"""<!DOCTYPE html>
-<title>A report on surveys</title>
-<div>Skip to main content</div>
-<ul class="x">
-<li><a href="/a">Home</a></li>
-<li><a href="/b">Research</a></li>
-</ul>
-<p>Home &gt; Research &gt; A report on surveys</p>
-<h1>A report on surveys</h1>
-<p>Posted on March 3, 2020 by A. Person</p>
-<p>{PROSE} {PROSE}</p>
-<h2>Methods</h2>
-<p>{PROSE} {PROSE}</p>
-<li>A. Person: a talk on surveys</li>
-<p>{PROSE}</p>
-<p>Views in this article are those of the author and not of the Institute.</p>
-<div>Tags: surveys, libraries</div>
-<p>Share this story: Mail | Print | Copy link from the Institute</p>
-<aside>Recent posts</aside>
-<aside>Old archive</aside>
-<p>© 2020 The Institute. All rights reserved.</p>
-<p>We use cookies in this course as an example of state, which the second part of the lecture explains in some detail, together with sessions, local storage and how browsers decide which of them to keep and for how long.</p>"""
-
-
-def test_furniture_of_a_page():
-    assert furniture_lines(LineReader(), PAGE) == [2, 4, 5, 7, 16, 17, 18, 19, 20]
-    lines = LineReader()(PAGE)
+MENU = ["Home", "Research", "Contact", "News", "Library", "Opening hours", "Our teams", "Old films"]
+#: Furniture that is on the lists, and furniture that is not.
+LISTED = ["<div>Skip to main content</div>", "<p>We use cookies on this site. Accept all | Reject</p>", "<p>© 2020 The Institute. All rights reserved.</p>", "<p>Share this story: Mail | Print</p>"]
+UNLISTED = ["<p>Jump past the banner of the Institute</p>", "<p>Small files help us to remember you. Fine | Rather not</p>", "<p>Built by the web crew of the Institute, build 17</p>", "<p>Tell a friend about the Institute - 3 visits today</p>", "<p>Lost? Ring the porter of the Institute, desk 4</p>"]
+NOUNS = [a + b + c for a in ("sur", "lib", "ter", "gro", "com", "ent", "cou", "pap", "rea", "tab") for b in ("va", "ri", "no", "pe") for c in ("ry", "ness", "tion", "ter", "ly")]
+
+
+def sentence(rng):
+    a, b, c, d, e, f, g = (rng.choice(NOUNS) for _ in range(7))
+    return f"The {a} of the {b} was {e}ed by the {c} before {rng.randrange(2, 30)} of the {d}s had been {f}ed and it was to {g} them."
+
+
+def site_page(rng, number):
+    """A page with the lines that are furniture."""
+    title = f"A {rng.choice(NOUNS)} of {rng.choice(NOUNS)} {number}"
+    lines, furniture = [f"<title>{title}</title>"], set()
+
+    def put(line, is_furniture=False):
+        if is_furniture:
+            furniture.add(len(lines))
+        lines.append(line)
+
+    top = [x for x in LISTED[:2] + UNLISTED[:2] if rng.random() < 0.5]
+    for line in top:
+        put(line, True)
+    for label in rng.sample(MENU, 5):
+        put(f'<li><a href="/{number}">{label}</a></li>', True)
+    put(f"<h1>{title}</h1>")
+    put("<p>Posted on March 3, 2020 by A. Person</p>")
+    for _ in range(rng.randrange(3, 7)):
+        put("<p>" + " ".join(sentence(rng) for _ in range(rng.randrange(2, 5))) + "</p>")
+        if rng.random() < 0.3:
+            put("<h2>Methods</h2>")
+    for line in rng.sample(LISTED[2:] + UNLISTED[2:], 4):
+        put(line, True)
+    return "\n".join(lines), sorted(furniture)
+
+
+@pytest.fixture(scope="module")
+def site():
+    rng = random.Random(11)
+    return [site_page(rng, i) for i in range(160)]
+
+
+def fitted(contents, seeds=fu.SEEDS):
+    reader, model = LineReader(), None
+    for _ in range(2):
+        seen = Counter()
+        for content in contents:
+            lines = LineReader()(content)
+            for (_, line), place in zip(lines, places(lines, model and model.alone(lines))):
+                seen[(*line.shape, place), line.words, *start(line, place, seeds)] += 1
+        model = LineModel.fit([(*k, n) for k, n in seen.items()])
+    return model
+
+
+def agreement(model, pages):
+    true = {(i, n) for i, (_, lines) in enumerate(pages) for n in lines}
+    got = {(i, n) for i, (content, _) in enumerate(pages) for n in furniture_lines(model, LineReader(), content)}
+    return len(true & got) / len(true), len(true & got) / max(1, len(got))
+
+
+def test_furniture_is_learnt_beyond_the_lists(site):
+    recall, precision = agreement(fitted([c for c, _ in site[:80]]), site[80:])
+    assert recall >= 0.98 and precision >= 0.98
+
+
+@pytest.mark.parametrize("kept", [range(0, len(fu.SEEDS), 2), range(1, len(fu.SEEDS), 2), []])
+def test_half_of_the_lists_or_none(site, kept, monkeypatch):
+    """The lists only start the fitting: with half of them, or none, the region teaches enough."""
+    for name in ("NAVIGATION", "SIDEBARS"):
+        monkeypatch.setattr(fu, name, frozenset(sorted(getattr(fu, name))[:: 2 if kept else 10_000]))
+    recall, precision = agreement(fitted([c for c, _ in site[:80]], tuple(fu.SEEDS[i] for i in kept)), site[80:])
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_without_the_region_most_is_lost(site, monkeypatch):
+    with_region = fitted([c for c, _ in site[:80]])
+    lines = {i: furniture_lines(with_region, LineReader(), c) for i, (c, _) in enumerate(site)}
+    monkeypatch.setattr(fu, "region", lambda lines, odds=None: (0, -1))
+    without = fitted([c for c, _ in site[:80]])
+    assert sum(lines[i] != furniture_lines(without, LineReader(), c) for i, (c, _) in enumerate(site)) > len(site) / 2
+
+
+def test_region_spans_the_paragraphs(site):
+    content, _ = site[0]
+    lines = LineReader()(content)
     first, last = region(lines)
-    assert lines[first][0] >= 8 and lines[last][0] >= 14
-    assert furniture_lines(LineReader(), None) == [] and furniture_lines(LineReader(), "") == []
-
-
-def test_furniture_tables(spark, pages_of):
-    rows = [(1, None, PAGE), (2, None, None), (3, None, ""), (4, None, "x" * 1_000_000), (1, None, PAGE)]
-    assert page_furniture(pages_of(rows)).where("id = 1").count() == 18
-    main = {r.id: r.content for r in main_content(pages_of(rows)).collect()}
-    assert "rights reserved" not in main[1] and "Methods" in main[1] and main[2] is None and main[3] == "" and len(main[4]) == 1_000_000
-    results = spark.createDataFrame([(1, "Skip to main content Home"), (2, PROSE), (3, None), (4, ""), (5, "Title Courses » A page on it " + PROSE)], "result_id long, snippet string")
-    assert {r.id: r.dirty for r in snippet_verdicts(results).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
-    assert not snippet_has_furniture("Our library and research groups answer questions.")
-    assert not snippet_has_furniture("Cette séance n'exige pas de préalable, même si le réseau aide à comprendre la suite.")
-
-
-def test_furniture_on_long_lines():
-    labels = ["Home", "Research", "Library", "Contact us", "News", "Events", "Admissions", "Careers", "Directory", "Courses", "Site map", "Privacy"]
-    furniture = [
-        "<ul>" + "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(labels * 3)) + "</ul>",
-        "<p>" + " | ".join(labels * 3) + "</p>",
-        "<p>" + " &gt; ".join([*labels, *labels, "A report on surveys of the library and its long title"]) + "</p>",
-        "<div>Tags: " + ", ".join(f"survey of kind {i}" for i in range(20)) + "</div>",
-        "<div>Related: " + " / ".join(f"A report on the surveys of year {i}" for i in range(10)) + "</div>",
-        "<div>Previous: A report on the first survey of the library | " + "Next: A report on the second survey of the library " * 4 + "</div>",
-        "<p>© 2020 The Institute. All rights reserved. Page maintained by the web team. Legal notice | Privacy. Reproduction needs written consent of the Institute and of the authors of the page. Report a barrier on this page to the front desk of the Institute.</p>",
-        "<p>We use cookies to make this site work for you and to see how it is read. This site uses cookies of others too, for maps. By staying on this site you agree. Accept all | Reject all. Your choices: necessary, statistics, maps and films.</p>",
-    ]
-    content = [
-        f"<p>Research — {PROSE} {PROSE}</p>", f"<p>Next: {PROSE} {PROSE}</p>", f"<p>{PROSE} We use cookies in the second part. {PROSE}</p>",
-        f"<p>Posted on a wall of the library: {PROSE} {PROSE}</p>",
-    ]
-    body = f"<p>{PROSE} {PROSE}</p>"
-    for line in furniture + content:
-        for page in ([body, body, body, line], [line, body, body, body], [body, line, body]):
-            lines = LineReader()("\n".join(page))
-            assert len(lines[page.index(line)][1].text) >= 200
-            assert furniture_lines(LineReader(), "\n".join(page)) == ([page.index(line)] if line in furniture else []), line
-    # a wording in one long sentence is settled by the region
-    links = " ".join(f'<a href="/{i}">the page of group {i},</a>' for i in range(12))
-    footer = f"<p>All rights reserved by {links}</p>"
-    assert furniture_lines(LineReader(), "\n".join([body] * 4 + ["<li>A talk</li>"] * 4 + [footer])) == [8]
-    assert furniture_lines(LineReader(), f"All rights reserved by {PROSE[:-1]}, and {PROSE}") == []
+    assert all(line.first == "p" for _, line in (lines[first], lines[last])) and lines[first][0] > content.split("\n").index(next(x for x in content.split("\n") if x.startswith("<h1>")))
+    assert region([]) == (0, -1)
+
+
+def test_lines_of_any_length_are_judged(site):
+    model = fitted([c for c, _ in site[:80]])
+    body = "\n".join(f"<p>{sentence(random.Random(i))} {sentence(random.Random(i + 50))}</p>" for i in range(5))
+    footer = "<p>" + " ".join(x[3:-4] for x in LISTED[2:] + UNLISTED[2:]) * 3 + "</p>"
+    menu = "<ul>" + "".join(f'<li><a href="/x">{x}</a></li>' for x in MENU * 5) + "</ul>"
+    assert len(footer) > 400 and len(menu) > 400
+    assert furniture_lines(model, LineReader(), f"{body}\n{footer}") == [5]
+    assert furniture_lines(model, LineReader(), f"{menu}\n{body}") == [0]
+    assert furniture_lines(model, LineReader(), "<p>" + sentence(random.Random(1)) * 4000 + "</p>") == []
+
+
+def test_furniture_tables(spark, pages_of, site):
+    rows = [(i, None, c) for i, (c, _) in enumerate(site)] + [(901, None, None), (902, None, ""), (903, None, "x" * 1_000_000), (0, None, site[0][0])]
+    pages = pages_of(rows)
+    model = fu.fit_lines(pages)
+    again = fu.fit_lines(pages.repartition(5))
+    assert model.odds.keys() == again.odds.keys() and all(abs(model.odds[x] - again.odds[x]) < 1e-9 for x in model.odds)
+    assert page_furniture(pages, model).where("id = 0").count() == 2 * len(site[0][1])
+    main = {r.id: r.content for r in main_content(pages, model).collect()}
+    kept = [x for i, x in enumerate(site[1][0].split("\n")) if i not in site[1][1]]
+    assert main[1] == "\n".join(kept) and main[901] is None and main[902] == "" and len(main[903]) == 1_000_000
+    clean = sentence(random.Random(3))
+    results = spark.createDataFrame([(1, "Home Research Contact News " + clean), (2, clean), (3, None), (4, ""), (5, f"{clean} Built by the web crew of the Institute, build 17")], "result_id long, snippet string")
+    assert {r.id: r.dirty for r in snippet_verdicts(results, model).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+    empty = fu.fit_lines(pages_of([]))
+    assert page_furniture(pages_of(rows[:3]), empty).count() == 0 and not snippet_has_furniture(empty, "Skip to main content")
 
 
 # ---- p1
 
-def test_stuffed_pages(spark, pages_of):
+#: Nothing is furniture.
+PLAIN = LineModel({}, 0.0)
+
+
+def prose(rng, n):
+    return "\n".join(" ".join(sentence(rng) for _ in range(2)) for _ in range(n))
+
+
+def spam_rows():
     rng = random.Random(2)
     spam = "\n".join(" ".join(f"{rng.choice(['buy', 'cheap', 'best', 'free'])} {rng.choice(['sofa', 'watch', 'laptop'])} zoran" for _ in range(20)) for _ in range(4))
     links = "\n".join(f"http://shop{i}.example/cheap/sofa/item{i}.html" for i in range(25))
-    tags = "\n".join(" ".join(f"#cheapsofa{i}{k}" for k in range(6)) for i in range(10))
-    listing = "\n".join(f"- Person {i}, room {i}, works on topic {i} with the group of the library" for i in range(25))
+    tags = "\n".join(" ".join(f"#cheapsofa{chr(97 + i)}{chr(97 + k)}" for k in range(6)) for i in range(10))
+    listing = "\n".join(f"- Person {i}, room {i}, {rng.choice(NOUNS)} on the {rng.choice(NOUNS)} of {rng.choice(NOUNS)} with the {rng.choice(NOUNS)} of {rng.choice(NOUNS)}" for i in range(25))
     filler = "\n".join("lorem ipsum dolor parum sunt quorum fessi gravia " * 5 for _ in range(4))
-    rows = [(100 + i, None, f"Page {i}\n" + "\n".join([PROSE] * (2 + i % 4))) for i in range(30)]
-    rows += [(1, None, spam), (2, None, links), (3, None, tags), (4, None, f"{spam}\n{PROSE}"), (10, None, listing), (11, None, filler), (12, None, None), (13, None, ""), (14, None, "cheap sofa"), (15, None, RUSSIAN * 3), (16, None, JAPANESE * 6)]
-    rows += [(17, None, (RUSSIAN * 3).encode().decode("latin-1")), (18, None, f"{PROSE}\n{PROSE}\n{PROSE}\n{PROSE}\n{PROSE}\n{PROSE}\n{tags[:200]}")]
-    got = {r.id for r in stuffing_scores(page_profiles(pages_of(rows))).where("stuffed").collect()}
-    assert got == {1, 2, 3, 4}
-    assert stuffing_scores(page_profiles(pages_of([]))).count() == 0
+    sofa = "\n".join("Cheap sofa from the shop is the cheap sofa that you want when you want a cheap sofa. With a cheap sofa from the shop, cheap sofa and best sofa deals are yours." for _ in range(9))
+    single = "\n".join(rng.choice(["sofa", "cheap", "watch", "laptop", "deal"]) for _ in range(80))
+    rows = [(100 + i, None, f"Page {i}\n" + prose(rng, 3 + i % 6)) for i in range(60)]
+    rows += [(1, None, spam), (2, None, links), (3, None, tags), (4, None, f"{spam}\n{sentence(rng)}"), (5, None, sofa), (6, None, single)]
+    rows += [(10, None, listing), (11, None, filler), (12, None, None), (13, None, ""), (14, None, "cheap sofa"), (15, None, RUSSIAN * 3), (16, None, JAPANESE * 6)]
+    rows += [(17, None, (RUSSIAN * 3).encode().decode("latin-1")), (18, None, f"{prose(rng, 4)}\n{tags[:200]}")]
+    return rows
 
 
-def test_one_keyword_per_line(spark, pages_of):
-    rng = random.Random(8)
-    rows = [(100 + i, None, f"Page {i}\n" + "\n".join([PROSE] * (2 + i % 4))) for i in range(30)]
-    rows += [(1, None, "Page\n" + "\n".join(rng.choice(["sofa", "cheap", "watch", "laptop", "deal"]) for _ in range(80))), (2, None, f"Page\n{PROSE}\nMethods\n{PROSE}\nResults\n{PROSE}")]
-    assert {r.id for r in stuffing_scores(page_profiles(pages_of(rows))).where("stuffed").collect()} == {1}
+def test_stuffed_pages(spark, pages_of):
+    pages = pages_of(spam_rows())
+    profiles = page_profiles(pages, PLAIN)
+    assert {r.id for r in stuffing_scores(profiles).where("stuffed").collect()} == {1, 2, 3, 4, 5, 6}
+    assert stuffing_scores(page_profiles(pages_of([]), PLAIN)).count() == 0
+
+
+def test_stuffed_pages_within_furniture(spark, pages_of, site):
+    """Promotion in place of the paragraphs of a page with menus and footers, which are learnt from the same pages."""
+    rows = [(1000 + i, None, c) for i, (c, _) in enumerate(site)]
+    for number, _, content in spam_rows():
+        if number < 10:
+            lines = site[number][0].split("\n")
+            first = next(i for i, x in enumerate(lines) if x.startswith("<h1>"))
+            kept = [x for i, x in enumerate(lines) if i <= first or i in site[number][1]]
+            rows.append((number, None, "\n".join(kept[: first + 1] + [f"<p>{x}</p>" for x in content.split("\n")] + kept[first + 1 :])))
+    pages = pages_of(rows)
+    assert {r.id for r in stuffing_scores(page_profiles(pages, fu.fit_lines(pages))).where("stuffed").collect()} == {1, 2, 3, 4, 5, 6}
+
 
+def test_the_curves_decide(spark, pages_of, monkeypatch):
+    """Each measure admits pages by itself: without divergence the steep curve is left, and not the lists."""
+    profiles = page_profiles(pages_of(spam_rows()), PLAIN)
 
-def test_keywords_repeated_in_sentences_diverge():
-    line = "Cheap sofa from the shop is the cheap sofa that you want when you want a cheap sofa. With a cheap sofa from the shop, cheap sofa and best sofa deals are yours."
-    words, off, _, _ = _measure([line] * 6)
-    assert off == words > 0
-    for text in (PROSE, GERMAN, RUSSIAN, JAPANESE * 6):
-        assert _measure([text] * 6)[1] == 0
+    def found():
+        return {r.id for r in stuffing_scores(profiles).where("stuffed").collect()}
+
+    monkeypatch.setattr(stuffing, "RESIDUAL", 1e9)
+    monkeypatch.setattr(stuffing, "STEEP", 1e9)
+    assert found() >= {1, 2, 3, 4, 6}
+    monkeypatch.undo()
+    monkeypatch.setattr(stuffing, "DIVERGENCE", 1e9)
+    assert 5 in found() and 3 not in found()
+
+
+def test_curve_of_a_page_against_plain_python(spark):
+    spectrum = [(9, 1), (4, 2), (2, 3), (1, 10)]
+    row = spark.createDataFrame([(1, [{"tf": tf, "n": n} for tf, n in spectrum]), (2, []), (3, [{"tf": 1, "n": 5}])], "id long, spectrum array<struct<tf: int, n: int>>")
+    got = {r.id: r for r in curves(row).collect()}
+    points, rank = [], 0
+    for tf, n in spectrum:
+        points += [(math.log(rank + (n + 1) / 2), math.log(tf))] * n
+        rank += n
+    mx, my = (sum(p[k] for p in points) / len(points) for k in (0, 1))
+    slope = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points)
+    residual = math.sqrt(sum((y - my - slope * (x - mx)) ** 2 for x, y in points) / len(points))
+    assert abs(got[1].slope - slope) < 1e-9 and abs(got[1].residual - residual) < 1e-9
+    assert 2 not in got and got[3].slope == 0 and got[3].residual == 0
+
+
+def test_body_measures():
+    lang, words, heads, own = body_measures(["The survey of the library", "and 2 of the surveys"])
+    assert lang == "en" and words == 10 and heads == {"the": 3, "of": 2, "and": 1} and own == {"survey": 1, "library": 1, "surveys": 1}
+    assert body_measures([JAPANESE])[0] == "ja" and body_measures([RUSSIAN.encode().decode("latin-1")])[0] == "ru" and body_measures([]) == ("-", 0.0, {}, {})
 
 
 # ---- p7
 
 def test_residue(spark, pages_of):
     page = "<title>{}</title>\n<h1>{}</h1>\n<p>{}</p>\n<p>" + PROSE + "</p>"
-    rows = [(100 + i, None, page.format(f"Report {i} on surveys", f"Report {i} on surveys", PROSE + f" {i}")) for i in range(60)]
+    rng = random.Random(3)
+    rows = [(100 + i, None, page.format(f"Report {i} on surveys", f"Report {i} on surveys", prose(rng, 2).replace("\n", "</p>\n<p>"))) for i in range(120)]
     rows += [
         (1, None, page.format("Untitled Document", "x y", PROSE)), (2, None, page.format("404 Not Found", "x y", PROSE)), (3, None, page.format("Fine", "Fine", "The {{ dept }} opens at nine.")), (4, None, page.format("Fine", "Fine", "Welcome %%name%% to the library.")),
         (5, None, "<title>Surveys</title>\n<p>Please turn on JavaScript to view abc-def.</p>"), (6, None, "<title>Surveys</title>\n<p>Lorem ipsum dolor sit amet lorem ipsum parum sunt</p>"), (7, None, "<title>Surveys</title>\n<p>500 Internal error while rendering abc-def: please try again later.</p>"),
-        (20, None, page.format("Access Denied? Lock Theory", "Access Denied? Lock Theory", PROSE)), (21, None, page.format("Fine", "Fine", "In this template language a variable stands between braces.</p>\n<pre><code>Hello {{ name }}</code></pre>\n<p>It ends.")),
-        (22, None, "<noscript>Please enable JavaScript.</noscript>\n" + page.format("Fine", "Fine", PROSE)), (23, None, None), (24, None, ""), (25, None, page.format("Fine", "Fine", "A server answers 404 Not Found when the paper is missing, and the students of the course write a handler for it."))
+        (20, None, page.format("Denied? A Lock of surveys", "A Lock of surveys", PROSE)), (21, None, page.format("Fine", "Fine", "In this template language a variable stands between braces.</p>\n<pre><code>Hello {{ name }}</code></pre>\n<p>It ends.")),
+        (22, None, "<noscript>Please enable JavaScript.</noscript>\n" + page.format("Fine", "Fine", PROSE)), (23, None, None), (24, None, ""), (25, None, page.format("Fine", "Fine", "A server answers 404 Not Found when the paper is missing, and the students of the course write a handler for it.")),
+        (8, None, page.format("Fine", "Fine", "{{ " + "a long filter of a long template " * 20 + "}}")),
     ]
     pages = pages_of(rows)
-    model = residue.fit(pages)
-    assert {r.id for r in residue.residue_pages(pages, model).collect()} == {1, 2, 3, 4, 5, 6, 7}
-    results = spark.createDataFrame([(1, "Untitled"), (2, "${title}"), (3, "A report on surveys"), (4, None), (5, ""), (6, "New Page 12"), (7, "Null Hypotheses after Surveys")], "result_id long, title string")
+    model = residue.fit(pages, PLAIN)
+    assert {r.id for r in residue.residue_pages(pages, PLAIN, model).collect()} == {1, 2, 3, 4, 5, 6, 7, 8}
+    results = spark.createDataFrame([(1, "Untitled"), (2, "${title}"), (3, "Report 3 on surveys"), (4, None), (5, ""), (6, "New Page 12")], "result_id long, title string")
     assert {r.id for r in residue.residue_titles(results, model).collect()} == {1, 2, 6}
     empty = pages_of([])
-    assert residue.residue_pages(empty, residue.fit(empty)).count() == 0
+    assert residue.residue_pages(empty, PLAIN, residue.fit(empty, PLAIN)).count() == 0
+
+
+def rows_of(positive, negative):
+    """Rows for fitting: (kind, text) of either class."""
+    return [(tuple(residue.features(t, k)), True, 2) for k, t in positive] + [(tuple(residue.features(t, k)), False, 1) for k, t in negative]
+
+
+def passage(text, kind="b"):
+    return residue.Passage(kind, text, False)
+
+
+def test_the_model_decides_and_not_the_lists():
+    """Wordings that are on no list are found by the words they share with trusted ones; with no model nothing is."""
+    rng = random.Random(4)
+    unlabelled = [prose(rng, 1) for _ in range(300)]
+    model = residue.Model.fit(rows_of([("b", x) for x in residue.NOTICES], [("b", x) for x in unlabelled]))
+    new = ["This page is limited to members, please log in again", "Please try later, the server is down, the session expired", "Please turn scripts on, JavaScript is required", "Fatal fault: cannot connect to the database"]
+    off = residue.Model({}, -50.0, 0.0)
+    for text in new:
+        assert not any(n in residue._flat(text) for n in residue.NOTICES)
+        found = [passage(text)]
+        assert residue.is_residue(model, found) and not residue.is_residue(off, found), text
+    assert not any(residue.is_residue(model, [passage(prose(rng, 2))]) for _ in range(100))
 
 
 def test_held_out_passages_are_told_apart():
-    """Trained on half of the wordings, the classifier still tells the others from prose."""
+    """Trained on half of the wordings, the classifier still tells most of the others from prose."""
     rng = random.Random(4)
     notices = list(residue.NOTICES)
     rng.shuffle(notices)
     half = len(notices) // 2
-    prose = [" ".join(rng.sample(PROSE.split(), 14)) for _ in range(400)]
-    model = residue.Model.fit([residue.words(x, "b") for x in notices[:half]] * 2, [residue.words(x, "b") for x in prose[:200]])
-    assert sum(model.posterior(residue.words(x, "b")) < 0.5 for x in prose[200:]) >= 190
-    assert sum(model.posterior(residue.words(x, "b")) >= 0.5 for x in notices[half:]) >= 0.6 * (len(notices) - half)
+    prosaic = [" ".join(rng.sample(PROSE.split(), 14)) for _ in range(400)]
+    model = residue.Model.fit(rows_of([("b", x) for x in notices[:half]], [("b", x) for x in prosaic[:200]]))
+    assert sum(model.posterior(residue.features(x, "b")) < 0.5 for x in prosaic[200:]) >= 190
+    assert sum(model.posterior(residue.features(x, "b")) >= 0.5 for x in notices[half:]) >= 0.6 * (len(notices) - half)
 
 
 def test_all_words_of_a_long_passage_count():
     rng = random.Random(5)
 
-    def prose(n):
+    def words(n):
         return " ".join(rng.choice(PROSE.casefold().split()) for _ in range(n))
 
-    model = residue.Model.fit([residue.words(x, "b") for x in residue.NOTICES] * 2, [residue.words(prose(30), "b") for _ in range(200)])
-    error = "the page could not be found on this server please try again later or enable scripts and reload it " * 8
-    reader = LineReader()
-    for text, residual in ((prose(65) + " " + error, True), (error[:380] + prose(200), False), (prose(300), False), (error, True)):
-        assert len(text) > 160 and residue.is_residue(model, residue.passages(reader, f"<title>Survey of the term</title>\n<p>{text}</p>")) == residual
-    cut = residue.windows(prose(1000), "b")
-    assert sum(map(len, cut)) == 1000 + len(cut) and max(map(len, cut)) <= residue.WINDOW + 1
+    model = residue.Model.fit(rows_of([("b", x) for x in residue.NOTICES], [("b", words(30)) for _ in range(200)]))
+    error = "the page could not be found on this server please try again later or enable javascript and reload it " * 8
+    for text, residual in ((words(65) + " " + error, True), (error[:380] + words(200), False), (words(300), False), (error, True)):
+        assert len(text) > 160 and residue.is_residue(model, [passage(text)]) == residual
+    cut = residue.windows(passage(words(1000)))
+    assert sum(map(len, cut)) == 1000 + 2 * len(cut) and max(map(len, cut)) <= residue.WINDOW + 2
 
 
-def test_placeholders_in_furniture_and_notes_and_first_headings():
+def test_placeholders_in_furniture_and_notes_and_first_headings(site):
     page = "<title>{}</title>\n<h2>{}</h2>\n<p>" + PROSE + "</p>\n<h2>{}</h2>\n<p>" + PROSE + "</p>\n{}"
-    model = residue.Model.fit([residue.words(x, "t") for x in residue.TITLES], [residue.words(x, k) for x, k in (("Fine", "t"), (PROSE, "b")) for _ in range(50)])
+    model = residue.Model.fit(rows_of([("t", x) for x in residue.TITLES], [(k, x) for x, k in (("Fine", "t"), (PROSE, "b")) for _ in range(50)]))
     reader = LineReader()
+    lines = fitted([c for c, _ in site[:80]])
     for rest, residual in (
         (("Fine", "Fine", "Fine", "<p>Posted on {{ date }} by {{ author }}</p>"), True), (("Fine", "Fine", "Fine", "<p>© {{ year }} The Institute. All rights reserved.</p>"), True),
-        (("Fine", "Fine", "Fine", "<aside>Recent posts</aside>\n<aside>{{ item.title }}</aside>"), True), (("Fine", "Page not found", "Fine", ""), True), (("Fine", "Fine", "Page not found", ""), False),
-        (("Fine", "Fine", "Fine", "<p>Posted on March 3 by A. Person</p>\n<p>© 2020 The Institute. All rights reserved.</p>"), False),
+        (("Fine", "Page not found", "Fine", ""), True), (("Fine", "Fine", "Page not found", ""), False), (("Fine", "Fine", "Fine", "<p>Posted on March 3 by A. Person</p>\n<p>© 2020 The Institute. All rights reserved.</p>"), False),
     ):
-        assert residue.is_residue(model, residue.passages(reader, page.format(*rest))) == residual, rest
+        assert residue.is_residue(model, residue.passages(lines, reader, page.format(*rest))) == residual, rest
 
 
 def test_titles_of_every_length():
     rng = random.Random(6)
     genuine = [" ".join(rng.sample(PROSE.split(), n)) for n in (4, 6, 9, 12, 16) for _ in range(40)]
-    model = residue.Model.fit([residue.words(x, "t") for x in residue.TITLES] * 2, [residue.words(x, "t") for x in genuine])
+    model = residue.Model.fit(rows_of([("t", x) for x in residue.TITLES], [("t", x) for x in genuine]))
     name = "Department of Comparative Literature and Applied Linguistics of the Institute"
     for title in (f"Page not found | {name}", f"Access denied | {name}", f"404 page not found - {name}"):
         assert len(title) > 60 and residue.is_residue_title(model, title), title
-        assert residue.is_residue(model, residue.passages(LineReader(), f"<title>{title}</title>\n<p>{PROSE}</p>")), title
     assert not any(residue.is_residue_title(model, x) for x in genuine)
 
 
@@ -277,5 +401,5 @@ def test_bounded_sample_is_repeatable(spark, pages_of, monkeypatch):
     monkeypatch.setattr(residue, "SAMPLE_PASSAGES", 60)
     rng = random.Random(7)
     pages = pages_of([(i, None, "\n".join(" ".join(rng.sample(PROSE.split(), 12)) for _ in range(6))) for i in range(80)])
-    models = [residue.fit(x) for x in (pages.coalesce(1), pages.repartition(7), pages.orderBy(pages.page_id.desc()))]
+    models = [residue.fit(x, PLAIN) for x in (pages.coalesce(1), pages.repartition(7), pages.orderBy(pages.page_id.desc()))]
     assert models[0].odds == models[1].odds == models[2].odds and models[0].prior == models[1].prior

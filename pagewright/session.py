@@ -1,8 +1,9 @@
-"""What a plan needs from its session: a shared checkpoint folder and typed Arrow maps."""
+"""What a plan needs from its session: a shared folder to cut lineage in, and typed Arrow maps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,17 +12,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a session without one gets a local folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` or the context names.  Only a session whose executors run on this
+    machine may do without: it gets a local folder; on a cluster such a folder would be lost with its machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="pagewright-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it from there: lineage ends, lost executors cost nothing that was
+    written, and what reads it takes only the columns it needs."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/pagewright-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4_raw").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_columns(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:

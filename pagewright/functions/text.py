@@ -176,6 +176,16 @@ def tokenize(text: str) -> list[str]:
     return [stem(t.casefold()) for t in re.findall(r"[^\W_]+", text)]
 
 
+def surface(text: str) -> list[str]:
+    """Surface terms of one text, as :func:`terms` has them; for the few texts of queries, whose plans it keeps short."""
+    return [t.casefold() for t in re.findall(r"[^\W_]+", text)]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def surface_column(texts: pd.Series) -> pd.Series:
+    return texts.map(surface, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def stem_column(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")

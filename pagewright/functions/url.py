@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def site(url: Column) -> Column:
@@ -29,13 +25,16 @@ def display_url(url: Column) -> Column:
 
 
 def unquoted(url: Column) -> Column:
-    """Percent-decoded as far as possible; texts without a percent sign (nearly all) stay in the engine."""
-    return F.when(F.contains(url, F.lit("%")), _unquote(url)).otherwise(url)
+    """Percent-decoded as far as possible: ``+`` and malformed escapes stay, bytes that are no UTF-8 become U+FFFD."""
+    parts = F.split(url, "%")
 
+    def code(part: Column) -> Column:
+        escape = F.regexp_like(part, F.lit("(?s)^[0-9A-Fa-f]{2}.*$"))
+        return F.when(escape, F.concat(F.substring(part, 1, 2), F.hex(F.encode(part.substr(F.lit(3), F.length(part)), "UTF-8")))).otherwise(F.concat(F.lit("25"), F.hex(F.encode(part, "UTF-8"))))
 
-@F.pandas_udf(StringType())
-def _unquote(urls: pd.Series) -> pd.Series:
-    return urls.map(unquote, na_action="ignore")
+    codes = F.concat(F.hex(F.encode(F.get(parts, F.lit(0)), "UTF-8")), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts))), code), ""))
+    # decoded where it is needed only: texts without a percent sign pass
+    return F.when(F.contains(url, F.lit("%")), F.make_valid_utf8(F.unhex(codes).cast("string"))).otherwise(url)
 
 
 def fallback_title(url: Column) -> Column:

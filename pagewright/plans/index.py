@@ -2,10 +2,11 @@
 
 ``build`` takes records (source, url, content) in the order of ``source``: fragment
 cut, greedy deduplication, analysis of each kept page, dense ids for the pages that
-could be analysed, then the tables ``documents``, ``postings`` and ``lexicon`` (both
-sorted by term in files of rising ranges, so that a lookup reads few row groups) and
-``meta``.  Everything is written to a folder beside the target and renamed at the
-end, so a failed build leaves nothing behind.
+could be analysed, then the tables ``documents`` (sorted by id), ``postings`` and
+``lexicon`` (both sorted by term in files of rising ranges, so that the row groups
+without a wanted term are skipped) and ``meta``.  Everything is written to a folder
+beside the target and renamed at the end, so a failed build leaves the index that was
+there.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from pagewright.session import cut, map_columns
 
 FORMAT_VERSION = 2
 V1_ENTRY = "map<string,array<bigint>>"
+TABLES = ("documents", "postings", "lexicon")
 
 
 @dataclass
@@ -38,7 +40,11 @@ class BuildStats:
     skipped_documents: int
     duplicate_documents: int
     unique_tokens: int
+    partial_indexes: int = 0
     elapsed_seconds: float = 0.0
+    index_bytes: int = 0
+    postings_bytes: int = 0
+    workers: int = 0
 
 
 def analysed(records: DataFrame, order: str = "source", read: Callable[[str], Fields] = document_fields) -> DataFrame:
@@ -64,30 +70,30 @@ def analysed(records: DataFrame, order: str = "source", read: Callable[[str], Fi
 
 
 def index_of_pages(records: DataFrame, order: str = "source", read: Callable[[str], Fields] = document_fields) -> tuple[Index, BuildStats]:
-    """An index (not written yet) of HTML or text pages, with stems."""
+    """An index (not published yet) of HTML or text pages, with stems."""
     records = records.where(F.col("url").isNotNull() & F.col("content").isNotNull()).withColumn("url", without_fragment(F.col("url")))
-    kept = cut(kept_records(records, order))
-    pages = cut(analysed(kept, order, read))
-    good = with_dense_ids(pages.where("ok"), ["source", "url"]).withColumn("url_terms", F.array_distinct(tokenize_column(unquoted(F.col("url")))))
-    good = cut(good)
+    pages = cut(analysed(kept_records(records, order), order, read))
+    # only the keys travel to get their ids
+    ids = with_dense_ids(pages.where("ok").select("source", "url"), ["source", "url"])
+    good = cut(pages.where("ok").join(ids, ["source", "url"]).withColumn("url_terms", F.array_distinct(tokenize_column(unquoted(F.col("url"))))))
     documents = good.select("doc_id", "url", "doc_len", "title", "snippet", "url_terms")
-    postings = good.select("doc_id", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "t.important_tf")
+    postings = good.select("doc_id", "doc_len", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "t.important_tf", "doc_len")
     words = cut(lexicon(postings))
-    counts = pages.agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad")).first()
-    average = documents.select(F.coalesce(F.avg(F.greatest("doc_len", F.lit(1))), F.lit(1.0)).alias("a")).first()["a"]
-    stats = BuildStats(counts["good"], counts["bad"], records.count() - counts["good"] - counts["bad"], words.count())
-    return Index(documents, postings, words, counts["good"], float(average), "porter"), stats
+    counts = pages.agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"), F.coalesce(F.avg(F.when(F.col("ok"), F.greatest("doc_len", F.lit(1)))), F.lit(1.0)).alias("average")).first()
+    stats = BuildStats(counts["good"], counts["bad"], records.count() - counts["good"] - counts["bad"], words.count(), workers=records.sparkSession.sparkContext.defaultParallelism)
+    return Index(documents, postings, words, counts["good"], float(counts["average"]), "porter"), stats
 
 
 def index_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", analyzer: str = "surface") -> Index:
-    """An index of plain texts under their own ids, built-in expressions only for ``surface``."""
+    """An index of plain texts under their own ids, built-in expressions only for ``surface``; each text is cut into terms once."""
     analyze = ANALYZERS[analyzer]
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    terms = rows.select(F.col(id_col).alias("doc_id"), analyze(F.col(text_col)).alias("terms"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(text_col).alias("text"))
-    postings = term_frequencies(terms, "doc_id", F.col("terms")).withColumn("important_tf", F.lit(0))
-    documents = terms.select("doc_id", "url", F.size("terms").alias("doc_len"), F.lit("").alias("title"), F.substring("text", 1, 320).alias("snippet"), F.array_distinct(analyze(unquoted(F.col("url")))).alias("url_terms"))
-    summary = documents.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest("doc_len", F.lit(1))), F.lit(1.0)).alias("a")).first()
-    return Index(documents, postings, lexicon(postings), summary["n"], float(summary["a"]), analyzer)
+    named = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.substring(F.col(text_col), 1, 320).alias("snippet"), analyze.column(F.col(text_col)).alias("terms"))
+    terms = cut(named)
+    postings = cut(term_frequencies(terms, "doc_id", F.col("terms")).withColumn("important_tf", F.lit(0)))
+    documents = terms.select("doc_id", "url", F.size("terms").alias("doc_len"), F.lit("").alias("title"), "snippet", F.array_distinct(analyze.short(unquoted(F.col("url")))).alias("url_terms"))
+    summary = terms.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest(F.size("terms"), F.lit(1))), F.lit(1.0)).alias("a")).first()
+    return Index(documents, postings, cut(lexicon(postings)), summary["n"], float(summary["a"]), analyzer)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -96,25 +102,73 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def publish(spark: SparkSession, index: Index, stats: BuildStats, path: str, overwrite: bool = False) -> None:
-    """Write the index to ``path``; an existing one is refused unless ``overwrite``."""
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of each table of an index, metadata left out."""
+    fs, hadoop = _fs(spark, path)
+    folders = {name: hadoop.Path(f"{path}/{name}") for name in TABLES}
+    return {name: fs.getContentSummary(p).getLength() for name, p in folders.items() if fs.exists(p)}
+
+
+def _described(spark: SparkSession, path: str, meta: dict) -> dict:
+    """Metadata with the sizes of what lies at ``path``."""
+    found = sizes(spark, path)
+    total = sum(found.values())
+    return meta | {"format_version": FORMAT_VERSION, "index_bytes": total, "index_kb": round(total / 1024, 2), "postings_bytes": found.get("postings", 0)}
+
+
+def _write_meta(spark: SparkSession, meta: dict, path: str) -> None:
+    """The one-row table ``meta``, put in place of an older one by renames."""
+    fs, hadoop = _fs(spark, path)
+    new, now, old = (hadoop.Path(f"{path}/{name}") for name in ("meta.new", "meta", "meta.old"))
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta.new")
+    if fs.exists(now):
+        _moved(fs, now, old)
+    _moved(fs, new, now)
+    fs.delete(old, True)
+
+
+def publish(spark: SparkSession, index: Index, stats: BuildStats, path: str, overwrite: bool = False) -> BuildStats:
+    """Write the index to ``path``; an existing one is refused unless ``overwrite``, and kept until the new one is in place."""
     fs, hadoop = _fs(spark, path)
     target = hadoop.Path(path)
     if fs.exists(target) and not overwrite:
         raise FileExistsError(f"index exists: {path}")
-    work = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    began = time.time()
+    mark = uuid.uuid4().hex
+    work, aside = f"{path.rstrip('/')}.{mark}.tmp", hadoop.Path(f"{path.rstrip('/')}.{mark}.old")
     try:
-        index.documents.write.parquet(f"{work}/documents")
-        index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{work}/postings")
+        index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{work}/documents")
+        # a term of very many postings is spread over several files
+        index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{work}/postings")
         index.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{work}/lexicon")
-        meta = {"format_version": FORMAT_VERSION, "analyzer": index.analyzer, "average_length": index.average_length, "created": time.time()} | stats.__dict__
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{work}/meta")
+        stats.partial_indexes = max(1, len(spark.read.parquet(f"{work}/postings").inputFiles()))
+        stats.elapsed_seconds = round(stats.elapsed_seconds + time.time() - began, 3)
+        given = asdict(stats) | {
+            "analyzer": index.analyzer, "average_length": index.average_length, "flush_documents": int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")),
+            "posting_codec": "Parquet, sorted by term and document", "scoring": "BM25 with important fields and URL terms; modes all, any, auto",
+        }
+        meta = _described(spark, work, given)
+        stats.index_bytes, stats.postings_bytes = meta["index_bytes"], meta["postings_bytes"]
+        _write_meta(spark, meta, work)
         if fs.exists(target):
-            fs.delete(target, True)
-        fs.rename(hadoop.Path(work), target)
+            _moved(fs, target, aside)
+            try:
+                _moved(fs, hadoop.Path(work), target)
+            except BaseException:
+                _moved(fs, aside, target)
+                raise
+            fs.delete(aside, True)
+        else:
+            _moved(fs, hadoop.Path(work), target)
     except BaseException:
         fs.delete(hadoop.Path(work), True)
         raise
+    return stats
 
 
 def metadata(spark: SparkSession, path: str) -> dict:
@@ -126,8 +180,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     meta = metadata(spark, path)
     if meta.get("format_version") != FORMAT_VERSION:
         raise ValueError("unsupported index format; upgrade a version 1 index first")
-    read = spark.read.parquet
-    return Index(read(f"{path}/documents"), read(f"{path}/postings"), read(f"{path}/lexicon"), int(meta["indexed_documents"]), float(meta["average_length"]), meta["analyzer"])
+    tables = (spark.read.parquet(f"{path}/{name}") for name in TABLES)
+    return Index(*tables, int(meta["indexed_documents"]), float(meta["average_length"]), meta["analyzer"])
 
 
 def build(spark: SparkSession, records: DataFrame, path: str, overwrite: bool = False, order: str = "source") -> BuildStats:
@@ -137,9 +191,8 @@ def build(spark: SparkSession, records: DataFrame, path: str, overwrite: bool =
     if fs.exists(hadoop.Path(path)) and not overwrite:
         raise FileExistsError(f"index exists: {path}")
     index, stats = index_of_pages(records, order)
-    stats.elapsed_seconds = round(time.time() - began, 3)
-    publish(spark, index, stats, path, overwrite)
-    return stats
+    stats.elapsed_seconds = time.time() - began
+    return publish(spark, index, stats, path, overwrite)
 
 
 def lexicon_v1(spark: SparkSession, path: str) -> DataFrame:
@@ -148,8 +201,19 @@ def lexicon_v1(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode(F.from_json("value", V1_ENTRY)).alias("pos", "term", "entry")).select("term", F.get("entry", F.lit(0)).alias("offset"), F.get("entry", F.lit(1)).alias("length"), F.get("entry", F.lit(2)).alias("df"), "pos")
 
 
-def upgrade(spark: SparkSession, v1_lexicon: str, target: str, version: int = 1) -> None:
-    """Write a version 1 lexicon as the term-sorted table of version 2; other versions are refused."""
-    if version != 1:
+def upgrade(spark: SparkSession, path: str) -> dict:
+    """Bring a version 1 index up to date in place, and return its metadata: its ``lexicon.json`` becomes the
+    term-sorted table, sizes and version are refreshed, the old file goes.  Other versions are refused."""
+    meta = metadata(spark, path)
+    if meta.get("format_version") != 1:
         raise ValueError("only a version 1 index can be upgraded")
-    lexicon_v1(spark, v1_lexicon).select("term", "offset", "length", "df").repartitionByRange("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(target)
+    fs, hadoop = _fs(spark, path)
+    old, new, made = (hadoop.Path(f"{path}/{name}") for name in ("lexicon.json", "lexicon", "lexicon.new"))
+    lexicon_v1(spark, str(old)).select("term", "offset", "length", "df").repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(str(made))
+    fs.delete(new, True)
+    _moved(fs, made, new)
+    meta = _described(spark, path, meta)
+    _write_meta(spark, meta, path)
+    # the old file goes last: until then an upgrade that failed can be run again
+    fs.delete(old, True)
+    return meta

@@ -5,6 +5,11 @@ Score: sum over the known query terms of ``(1 + ln qtf) * idf * saturation`` wit
 (by matched terms, then score); the head of ``max(256, 20 * limit)`` documents is
 ranked again with ``0.75 *`` the idf of the query terms in the URL; ties go by id.
 
+An index is looked up, not scanned: the terms that are asked for are few, so they go
+into the scans of lexicon and postings as a filter (files are sorted by term, row
+groups without any of them are skipped); postings carry their document's length;
+URL terms are fetched for the head, titles and snippets for the winners only.
+
 Defined cases: a query without terms, with limit below 1 or with an unknown mode has
 no results (for a single query an unknown mode is an error); mode and padding are
 read as in lower case without blanks, a null mode as ``auto``, a null limit as 5;
@@ -13,7 +18,10 @@ read as in lower case without blanks, a null mode as ``auto``, a null limit as 5
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,16 +29,34 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.functions.url import display_url, fallback_title
 from pagewright.operators.postings import idf, saturation
+from pagewright.session import cut
 
 MODES = ("all", "any", "auto")
 IMPORTANT_BOOST, URL_BOOST, HEAD, DEFAULT_LIMIT = 2.0, 0.75, 256, 5
-ANALYZERS = {"surface": T.terms, "porter": T.tokenize_column}
+#: Most different terms that go into a scan as a filter, most rows of query terms that are sent to all tasks, and the
+#: largest limit of a single query whose head is ranked by the driver.
+MOST_TERMS, MOST_ROWS, MOST_RANKED = 20_000, 500_000, 1_000
+RESULT = "rank int, score double, url string, matched_terms int, query_terms int, title string, snippet string, display_url string"
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """One way to cut texts into terms: as a column for many texts, as a column for short ones, for one text."""
+
+    column: Callable[[Column], Column]
+    short: Callable[[Column], Column]
+    one: Callable[[str], list[str]]
+
+
+ANALYZERS = {"surface": Analyzer(T.terms, T.surface_column, T.surface), "porter": Analyzer(T.tokenize_column, T.tokenize_column, T.tokenize)}
 
 
 @dataclass
 class Index:
-    """``documents`` (doc_id, url, doc_len, title, snippet, url_terms), ``postings`` (term, doc_id, tf, important_tf),
-    ``lexicon`` (term, df), the number of documents and the analyzer that made the terms."""
+    """``documents`` (doc_id, url, doc_len, title, snippet, url_terms), ``postings`` (term, doc_id, tf, important_tf, doc_len),
+    ``lexicon`` (term, df), the number of documents and the analyzer that made the terms.
+
+    As a context the index keeps its lexicon and documents in memory, and releases them at the end."""
 
     documents: DataFrame
     postings: DataFrame
@@ -38,6 +64,25 @@ class Index:
     n_documents: int
     average_length: float
     analyzer: str = "porter"
+    _kept: list[DataFrame] = field(default_factory=list, repr=False)
+
+    def warm(self) -> Index:
+        """Keep lexicon and documents in the executors' memory (and on their disks beyond it)."""
+        if not self._kept:
+            self._kept = [self.lexicon.persist(), self.documents.persist()]
+            for table in self._kept:
+                table.count()
+        return self
+
+    def close(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Index:
+        return self.warm()
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
@@ -46,7 +91,7 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
         "query_id",
         F.coalesce(F.lower(F.trim("mode")), F.lit("auto")).alias("mode"),
         F.coalesce("limit", F.lit(DEFAULT_LIMIT)).alias("limit"),
-        F.posexplode(ANALYZERS[analyzer](F.coalesce("query", F.lit("")))).alias("pos", "term"),
+        F.posexplode(ANALYZERS[analyzer].short(F.coalesce("query", F.lit("")))).alias("pos", "term"),
     ).where(F.col("mode").isin(*MODES) & (F.col("limit") >= 1))
     terms = read.groupBy("query_id", "mode", "limit", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos"))
     # a query has few terms, so its window is small
@@ -58,17 +103,35 @@ def _ordered_sum(parts: Column) -> Column:
     return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda acc, x: acc + x["c"])
 
 
+def _contribution(index: Index, qtf: Column, weight: Column) -> Column:
+    weighted = F.col("tf") + IMPORTANT_BOOST * F.col("important_tf")
+    return (1.0 + F.ln(qtf)) * weight * saturation(weighted, F.greatest("doc_len", F.lit(1)), index.average_length)
+
+
+def _shown(documents: DataFrame) -> list[Column]:
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(fallback_title(F.col("url")))
+    return [F.col("url"), title.alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"), display_url(F.col("url")).alias("display_url")]
+
+
 def search_batch(index: Index, queries: DataFrame, rerank: bool = True) -> DataFrame:
     """Results of every query of ``queries`` (query_id, query, mode, limit)."""
     n = float(index.n_documents)
-    asked = query_terms(queries, index.analyzer)
-    known = asked.join(index.lexicon, "term").withColumn("known", F.count("*").over(Window.partitionBy("query_id")))
-    known = known.where("mode <> 'all' or known = required").withColumn("idf", idf(F.lit(n), F.col("df")))
-    hits = known.join(index.postings, "term").join(index.documents.select("doc_id", F.greatest("doc_len", F.lit(1)).alias("len")), "doc_id")
-    weighted = F.col("tf") + IMPORTANT_BOOST * F.col("important_tf")
-    part = (1.0 + F.ln("qtf")) * F.col("idf") * saturation(weighted, F.col("len"), index.average_length)
+    asked = cut(query_terms(queries, index.analyzer))
+    facts = asked.agg(F.countDistinct("term").alias("terms"), F.count("*").alias("rows"), F.coalesce(F.max("limit"), F.lit(DEFAULT_LIMIT)).alias("limit")).first()
+    lexicon, postings = index.lexicon, index.postings
+    if facts["terms"] <= MOST_TERMS:
+        names = [r["term"] for r in asked.select("term").distinct().collect()]
+        lexicon, postings = lexicon.where(F.col("term").isin(names)), postings.where(F.col("term").isin(names))
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        """Rows of one a query term at most."""
+        return F.broadcast(rows) if facts["rows"] <= MOST_ROWS else rows
+
+    known = lexicon.join(narrow(asked), "term").withColumn("known", F.count("*").over(Window.partitionBy("query_id")))
+    known = cut(known.where("mode <> 'all' or known = required").withColumn("idf", idf(F.lit(n), F.col("df"))))
+    hits = postings.join(narrow(known), "term")
     scored = (
-        hits.withColumn("c", part)
+        hits.withColumn("c", _contribution(index, F.col("qtf"), F.col("idf")))
         .groupBy("query_id", "mode", "limit", "required", "doc_id")
         .agg(F.count("*").cast("int").alias("matched"), _ordered_sum(F.collect_list(F.struct("df", "pos", "c"))).alias("score"))
         .where("mode <> 'all' or matched = required")
@@ -78,26 +141,60 @@ def search_batch(index: Index, queries: DataFrame, rerank: bool = True) -> DataF
         coverage = F.when(F.col("mode") == "all", 0).otherwise(F.col("matched"))
         return F.row_number().over(Window.partitionBy("query_id").orderBy(coverage.desc(), F.desc(score), "doc_id"))
 
-    largest = queries.select(F.max("limit").alias("m")).first()["m"] or DEFAULT_LIMIT
-    bound = max(HEAD, 20 * max(int(largest), DEFAULT_LIMIT))
+    bound = max(HEAD, 20 * int(facts["limit"]))
     # the constant bound lets the engine cut each query's rows before the shuffle
     head = scored.withColumn("place", place("score")).where(F.col("place") <= bound).where(F.col("place") <= F.greatest(F.lit(HEAD), 20 * F.col("limit")))
-    found = head.join(index.documents, "doc_id")
     if rerank:
         words = known.groupBy("query_id").agg(F.collect_list(F.struct("df", "pos", "term", F.col("idf").alias("c"))).alias("words"))
         inside = F.filter("words", lambda w: F.array_contains("url_terms", w["term"]))
-        found = found.join(words, "query_id").withColumn("score", F.col("score") + URL_BOOST * _ordered_sum(inside))
-    title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(fallback_title(F.col("url")))
-    return (
-        found.withColumn("rank", place("score").cast("int"))
-        .where("rank <= limit")
-        .select("query_id", "rank", "score", "doc_id", "url", F.col("matched").alias("matched_terms"), F.col("required").cast("int").alias("query_terms"), title.alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"), display_url(F.col("url")).alias("display_url"))
-    )
+        head = head.join(index.documents.select("doc_id", "url_terms"), "doc_id").join(narrow(words), "query_id")
+        head = head.withColumn("score", F.col("score") + URL_BOOST * _ordered_sum(inside)).drop("url_terms", "words")
+    won = head.withColumn("rank", place("score").cast("int")).where("rank <= limit").select("query_id", "rank", "score", "doc_id", F.col("matched").alias("matched_terms"), F.col("required").cast("int").alias("query_terms"))
+    shown = index.documents.select("doc_id", *_shown(index.documents))
+    return won.join(shown, "doc_id").select("query_id", "rank", "score", "doc_id", "url", "matched_terms", "query_terms", "title", "snippet", "display_url")
+
+
+def _literals(values: list, kind: str) -> Column:
+    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
 
 
 def search(spark: SparkSession, index: Index, query: str, limit: int = DEFAULT_LIMIT, mode: str = "auto") -> DataFrame:
-    """The ranked results of one query."""
+    """The ranked results of one query, by a few lookups: its words in the lexicon, their postings, the URL terms of the head."""
     if mode not in MODES:
         raise ValueError("mode must be 'all', 'any' or 'auto'")
-    rows = spark.createDataFrame([(0, query, mode, int(limit))], "query_id long, query string, mode string, limit int")
-    return search_batch(index, rows).drop("query_id", "doc_id").orderBy("rank")
+    if limit > MOST_RANKED:
+        rows = spark.createDataFrame([(0, query, mode, int(limit))], "query_id long, query string, mode string, limit int")
+        return search_batch(index, rows).drop("query_id", "doc_id").orderBy("rank")
+    nothing = spark.createDataFrame([], RESULT)
+    asked = Counter(ANALYZERS[index.analyzer].one(query or ""))
+    if limit < 1 or not asked:
+        return nothing
+    found = {r["term"]: r["df"] for r in index.lexicon.where(F.col("term").isin(list(asked))).collect()}  # a row a word of the query at most
+    if not found or (mode == "all" and len(found) < len(asked)):
+        return nothing
+    words = sorted(found, key=lambda t: (found[t], list(asked).index(t)))  # the rarest first
+    number = {t: i + 1 for i, t in enumerate(words)}
+    weight = {t: math.log(1 + (index.n_documents - found[t] + 0.5) / (found[t] + 0.5)) for t in words}
+    term = sum((F.when(F.col("term") == t, i).otherwise(0) for t, i in number.items()), F.lit(0))
+    hits = index.postings.where(F.col("term").isin(words)).withColumn("w", term)
+    qtf, idfs = _literals([asked[t] for t in words], "int"), _literals([weight[t] for t in words], "double")
+    part = _contribution(index, F.element_at(qtf, F.col("w")), F.element_at(idfs, F.col("w")))
+    scored = hits.select("doc_id", F.struct("w", part.alias("c")).alias("p")).groupBy("doc_id").agg(F.count("*").cast("int").alias("matched"), _ordered_sum(F.collect_list("p")).alias("score"))
+    if mode == "all":
+        scored = scored.where(F.col("matched") == len(asked))
+    coverage = [] if mode == "all" else [F.desc("matched")]
+    # bounded by the limit
+    head = scored.orderBy(*coverage, F.desc("score"), "doc_id").limit(max(HEAD, 20 * limit)).collect()
+    if not head:
+        return nothing
+    ids = [r["doc_id"] for r in head]
+    among = index.documents.where(F.col("doc_id").isin(ids)).select("doc_id", F.array_intersect("url_terms", _literals(words, "string")).alias("inside"))
+    bonus = {r["doc_id"]: URL_BOOST * sum(weight[t] for t in words if t in r["inside"]) for r in among.collect()}
+    ranked = sorted(((r["doc_id"], r["matched"], r["score"] + bonus.get(r["doc_id"], 0.0)) for r in head), key=lambda x: (0 if mode == "all" else -x[1], -x[2], x[0]))[:limit]
+    won = _literals([x[0] for x in ranked], "bigint")
+    rank = F.array_position(won, F.col("doc_id").cast("bigint")).cast("int")
+    shown = index.documents.where(F.col("doc_id").isin([x[0] for x in ranked])).select(rank.alias("rank"), *_shown(index.documents))
+    score, matched = (_literals([x[k] for x in ranked], kind) for k, kind in ((2, "double"), (1, "int")))
+    return shown.select(
+        "rank", F.element_at(score, F.col("rank")).alias("score"), "url", F.element_at(matched, F.col("rank")).alias("matched_terms"), F.lit(len(asked)).cast("int").alias("query_terms"), "title", "snippet", "display_url"
+    ).orderBy("rank")

@@ -8,10 +8,11 @@ ZIP archive by its entry names.
 from __future__ import annotations
 
 import json
-import os
+import posixpath
 import zipfile
 from collections.abc import Iterator
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,10 +39,52 @@ def _decoded(batches: Iterator) -> Iterator:
         yield pd.DataFrame(rows, columns=["source", "url", "content"])
 
 
+def _json_files(spark: SparkSession, path: str) -> Iterator[str]:
+    """Paths of all ``*.json`` files below a folder, as its file system lists them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(".json"):
+            yield name
+
+
 def folder_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all ``*.json`` files below a folder; ``source`` is the path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-    return files.select("path", "content").mapInPandas(_decoded, SCHEMA)
+    """Records of all ``*.json`` files below a folder; ``source`` is the path.  Files that can't be read are left out."""
+    reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path", "content")
+    base = posixpath.normpath(path)
+    # the reader takes names that start with _ or . for hidden ones
+    hidden = [f for f in _json_files(spark, path) if any(x[:1] in ("_", ".") for x in f[f.find(base) + len(base) :].split("/"))]
+    records = files.mapInPandas(_decoded, SCHEMA)
+    if not hidden:
+        return records
+    paths = spark.createDataFrame([(f,) for f in hidden], "path string").repartition(min(len(hidden), spark.sparkContext.defaultParallelism))
+    return records.unionByName(paths.mapInPandas(_read, SCHEMA))
+
+
+def _read(batches: Iterator) -> Iterator:
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            try:
+                with _opened(path) as file:
+                    record = decode(file.read())
+            except OSError:
+                continue
+            if record is not None:
+                rows.append((path, *record))
+        yield pd.DataFrame(rows, columns=["source", "url", "content"])
+
+
+def _opened(path: str):
+    """A file that can be read at any place, on this machine or on the storage that its address names."""
+    if path.startswith("file:") or "://" not in path:
+        return open("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path, "rb")
+    storage, inner = pafs.FileSystem.from_uri(path)
+    return storage.open_input_file(inner)
 
 
 class _Slice(InputPartition):
@@ -54,13 +97,13 @@ class ZipReader(DataSourceReader):
         self.path, self.slices = path, slices
 
     def partitions(self) -> list[_Slice]:
-        with zipfile.ZipFile(self.path) as archive:
+        with _opened(self.path) as file, zipfile.ZipFile(file) as archive:
             names = sorted(i.filename for i in archive.infolist() if not i.is_dir() and i.filename.endswith(".json"))
         step = max(1, -(-len(names) // self.slices))
         return [_Slice(names[i : i + step]) for i in range(0, len(names), step)] or [_Slice([])]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        with zipfile.ZipFile(self.path) as archive:
+        with _opened(self.path) as file, zipfile.ZipFile(file) as archive:
             for name in partition.names:
                 try:
                     raw = archive.read(name)
@@ -85,23 +128,35 @@ class ZipSource(DataSource):
         return ZipReader(self.options["path"], int(self.options.get("slices", "64")))
 
 
+def _kind(spark: SparkSession, path: str) -> str:
+    """``folder`` or ``file``; FileNotFoundError if there is neither."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    storage = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not storage.exists(p):
+        raise FileNotFoundError(f"no corpus at {path}")
+    return "folder" if storage.getFileStatus(p).isDirectory() else "file"
+
+
+def _is_archive(path: str) -> bool:
+    with _opened(path) as file:
+        return zipfile.is_zipfile(file)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a folder or a ZIP archive, with ``position`` to order them by."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(f"Corpus does not exist: {path}")
-    if os.path.isdir(path):
+    """Records of a folder or a ZIP archive on any storage that Spark and Arrow can reach, with ``position`` to order them by."""
+    if _kind(spark, path) == "folder":
         return folder_records(spark, path).withColumn("position", F.split("source", "/"))
-    if not zipfile.is_zipfile(path):
-        raise ValueError("Corpus must be a ZIP archive or a folder")
+    if not _is_archive(path):
+        raise ValueError(f"{path} is neither a folder nor a ZIP archive")
     spark.dataSource.register(ZipSource)
     return spark.read.format("zip_corpus").load(path).withColumn("position", F.array("source"))
 
 
-def count_hint(path: str) -> int:
+def count_hint(spark: SparkSession, path: str) -> int:
     """Number of JSON members, without reading them."""
-    if os.path.isdir(path):
-        return sum(name.endswith(".json") for _, _, names in os.walk(path) for name in names)
-    with zipfile.ZipFile(path) as archive:
+    if _kind(spark, path) == "folder":
+        return sum(1 for _ in _json_files(spark, path))
+    with _opened(path) as file, zipfile.ZipFile(file) as archive:
         return sum(not i.is_dir() and i.filename.endswith(".json") for i in archive.infolist())
 
 

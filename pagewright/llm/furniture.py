@@ -34,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -54,15 +55,16 @@ _HEADINGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def skeleton(text: str) -> str:
-    words = _DIGITS.sub("#", text.casefold()).split()
+    text = _DIGITS.sub("#", text.casefold())
     if text.isascii():
-        return " ".join(words)
+        return text
+    words = text.split()
     # a word of such letters only ("à") must not look like a separator
     return " ".join(w if w.isascii() else "^" if w.isalpha() and _HIGH.fullmatch(w) else _HIGH.sub("~", w) for w in words)
 
 
 def _sk(words: str) -> frozenset[str]:
-    return frozenset(skeleton(w.strip()) for w in words.split(","))
+    return frozenset(skeleton(w) for w in words.split(","))
 
 
 #: Usual labels of navigation menus (English, Spanish, German, French, Portuguese).
@@ -115,35 +117,24 @@ def seed(s: str, seeds: tuple[str, ...] = SEEDS) -> int:
 
 
 class _Events(HTMLParser):
-    """Counts of one line: tag events and text; its first tag, and whether it shows code."""
+    """What the parser's events say of the tags of a line: their number, the first one, and whether the line shows code."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.begin()
 
     def begin(self) -> None:
-        self.tags, self.text, self.first, self.code, self._hidden = 0, [], "", False, 0
+        self.reset()
+        self.tags, self.first, self.code = 0, "", False
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        if tag in ("script", "style", "noscript"):
-            self._hidden += 1
-        elif not self.first and tag not in ("br", "hr"):
+        if not self.first and tag not in ("br", "hr", "script", "style", "noscript"):
             self.first = tag
         self.code |= tag in ("pre", "code")
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in ("script", "style", "noscript"):
-            self._hidden = max(0, self._hidden - 1)
-
-    def handle_data(self, data):
-        if not self._hidden:
-            self.text.append(data)
-
-
-#: From this length on the tags of a line are counted without the parser, which gives the same ratio.
-LONG = 200
 
 
 class Line:
@@ -151,22 +142,12 @@ class Line:
 
     __slots__ = ("text", "skeleton", "ratio", "first", "code", "shows", "shape", "words", "odds")
 
-    def __init__(self, raw: str, visible: str, parser: _Events):
-        self.text = " ".join(visible.split())
-        self.shows = any(map(str.isalnum, self.text))
-        if "<" not in raw:
-            self.ratio, self.first, self.code = float(len(self.text)), "", False
-        elif len(self.text) >= LONG:
-            tags = TAG.findall(raw)
-            self.ratio, self.first, self.code = len(self.text) / max(1, len(tags)), tags[0][1:].split(">")[0].split(" ")[0].lower() if tags else "", "<code" in raw or "<pre" in raw
-        else:
-            parser.reset()
-            parser.begin()
-            parser.feed(raw)
-            parser.close()
-            length = len(" ".join("".join(parser.text).split()))
-            self.ratio, self.first, self.code = length / max(1, parser.tags), parser.first, parser.code
-        s = self.skeleton = skeleton(self.text) if self.shows else ""
+    def __init__(self, visible: str, events: tuple[int, str, bool]):
+        self.text = text = " ".join(visible.split())
+        tags, self.first, self.code = events
+        self.ratio = len(text) / max(1, tags)
+        self.shows = any(map(str.isalnum, text))
+        s = self.skeleton = skeleton(text) if self.shows else ""
         found = _WORD.findall(s)
         self.words = tuple(dict.fromkeys(found))
         end = s.rstrip("\"') ")[-1:]
@@ -177,27 +158,44 @@ class Line:
         self.odds: float | None = None
 
 
+#: Lines of less characters are kept: furniture repeats.
+LONG = 200
+
+
 class LineReader:
-    """Lines of a page, with the lines of earlier pages kept (furniture repeats)."""
+    """Lines of a page, with the lines of earlier pages and the events of their tags kept."""
 
     def __init__(self, keep: int = 60_000):
-        self.parser, self.known, self.keep = _Events(), {}, keep
+        self.parser, self.keep = _Events(), keep
+        self.known: dict[str, Line] = {}
+        self.events: dict[str, tuple[int, str, bool]] = {"": (0, "", False)}
+
+    def _parsed(self, raw: str) -> tuple[int, str, bool]:
+        """The parser's events for the tags of a line; the text between them makes none."""
+        tags = "".join(TAG.findall(raw)) if "<" in raw else ""
+        found = self.events.get(tags)
+        if found is None:
+            self.parser.begin()
+            self.parser.feed(tags)
+            self.parser.close()
+            found = self.events[tags] = self.parser.tags, self.parser.first, self.parser.code
+        return found
 
     def __call__(self, content: str | None) -> list[tuple[int, Line]]:
         """``(line number, line)`` of the lines that show a letter or digit."""
         if not content:
             return []
-        if len(self.known) > self.keep:
-            self.known.clear()
+        for kept in (self.known, self.events):
+            if len(kept) > self.keep:
+                kept.clear()
         out = []
         stripped = strip_markup(content).split("\n")
         for number, (raw, shown) in enumerate(zip(content.split("\n"), stripped)):
-            if len(raw) < LONG:
-                line = self.known.get(raw)
-                if line is None:
-                    line = self.known[raw] = Line(raw, html.unescape(shown), self.parser)
-            else:
-                line = Line(raw, html.unescape(shown) if "&" in shown else shown, self.parser)
+            line = self.known.get(raw)
+            if line is None:
+                line = Line(html.unescape(shown) if "&" in shown else shown, self._parsed(raw))
+                if len(raw) < LONG:
+                    self.known[raw] = line
             if line.shows:
                 out.append((number, line))
         return out
@@ -262,8 +260,8 @@ class LineModel:
 
     def evidence(self, shape: Iterable[str], words: tuple[str, ...]) -> float:
         """Shape counts in full; words stand together in a line, so their sum is damped by the root of their number."""
-        known = self.odds.get
-        return SHAPE * sum(known(x, 0.0) for x in shape) + sum(known(x, 0.0) for x in words) / math.sqrt(max(1, len(words)))
+        known, none = self.odds.get, repeat(0.0)
+        return SHAPE * sum(map(known, shape, none)) + sum(map(known, words, none)) / math.sqrt(max(1, len(words)))
 
     def wording(self, line: Line) -> float:
         """Evidence of a line's words only."""

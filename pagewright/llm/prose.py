@@ -40,6 +40,11 @@ def _wide(text: str) -> int:
     return 0 if text.isascii() else len(_WIDE.findall(text))
 
 
+def spaceless(text: str) -> bool:
+    """Whether any of the text is in a script without spaces."""
+    return not text.isascii() and _WIDE.search(text) is not None
+
+
 def units(text: str, words: list[str]) -> float:
     """Size of a line in words; a script without spaces has about one in 2.5 characters."""
     wide = _wide(text)

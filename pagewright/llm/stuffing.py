@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pagewright.functions.visible import text_terms
 from pagewright.llm.furniture import NOTES, LineModel, LineReader
 from pagewright.llm.mojibake import damage, restore
-from pagewright.llm.prose import ANY, CONNECTIVES, function_words, language, units
-from pagewright.session import map_columns
+from pagewright.llm.prose import ANY, CONNECTIVES, function_words, language, spaceless, units
+from pagewright.session import cut, map_columns
 
 #: A body with less words is too short to tell.
 LEAST_WORDS = 30
@@ -52,23 +52,35 @@ _FILLER = re.compile(r"\b(?:lorem|ipsum|blindtext|asdf)\b", re.I)
 SCHEMA = "id long, furniture array<int>, lang string, words double, heads array<struct<word: string, n: double>>, spectrum array<struct<tf: int, n: int>>"
 
 
-def body_measures(lines: list[str]) -> tuple[str, float, Counter, Counter]:
-    """Language, words, function words and all other terms of the body lines."""
+def _counted(lines: list[str]) -> tuple[float, Counter, Counter]:
+    """Words, function words and all other terms."""
     text = "\n".join(lines)
-    if damage(text):
-        restored = restore(text)[0]
-        lines = restored.split("\n")
-        if damage(restored):
-            clean = [x for x in lines if not damage(x) and sum(c > "\x7f" for c in x) <= 0.3 * len(x)]
-            lines = clean if 2 * sum(map(len, clean)) >= len(restored) else []
-    words = 0.0
-    heads: Counter = Counter()
-    own: Counter = Counter()
+    tokens = text_terms(text)
+    counts = Counter(tokens)
+    own = Counter({t: n for t, n in counts.items() if t not in ANY and t not in CONNECTIVES and not t.isdigit()})
+    if not spaceless(text):
+        return float(len(tokens)), Counter({t: n for t, n in counts.items() if t in ANY}), own
+    words, heads = 0.0, Counter()
     for line in lines:
         tokens = text_terms(line)
         words += units(line, tokens)
         heads.update(function_words(line, tokens))
-        own.update(t for t in tokens if t not in ANY and t not in CONNECTIVES and not t.isdigit())
+    return words, heads, own
+
+
+def body_measures(lines: list[str]) -> tuple[str, float, Counter, Counter]:
+    """Language, words, function words and all other terms of the body lines."""
+    words, heads, own = _counted(lines)
+    # garbled text has few function words, or the same stray letters over and over
+    if heads.total() < 0.2 * words or max(own.values(), default=0) > 0.08 * words:
+        text = "\n".join(lines)
+        if not text.isascii() and damage(text):
+            restored = restore(text)[0]
+            lines = restored.split("\n")
+            if damage(restored):
+                clean = [x for x in lines if not damage(x) and sum(c > "\x7f" for c in x) <= 0.3 * len(x)]
+                lines = clean if 2 * sum(map(len, clean)) >= len(restored) else []
+            words, heads, own = _counted(lines)
     return language(heads), words, heads, own
 
 
@@ -118,71 +130,67 @@ def _share(name: str = "heads") -> Column:
     return F.aggregate(name, F.lit(0.0), lambda acc, h: acc + h["n"]) / F.col("words")
 
 
-def prose_bins(profiles: DataFrame) -> DataFrame:
-    """``(lang, bins, expected)``: the bin of each function word in the prose of its language, and the share of
-    the prose that each bin and the rest have; ``lang`` null stands for all languages together.
+_BINS = [f"n{b}" for b in range(len(BINS) + 1)]
+
+
+def _expected(shares: list[Column]) -> Column:
+    return F.array(*shares, F.greatest(F.lit(1e-3), 1 - sum(shares[1:], shares[0])))
+
+
+def prose_ranks(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(lang, word, bin)``: the bin of each function word in the prose of its language; and ``(lang, expected)``:
+    the share of the prose that each bin and the rest have, with a row of null ``lang`` for all languages together.
 
     Prose are the pages with at least half the median share of function words, so that
-    a class full of keyword pages doesn't set its own measure.  A row a language."""
+    a class full of keyword pages doesn't set its own measure."""
     measured = profiles.where(F.col("words") >= LEAST_WORDS).withColumn("share", _share())
+    # a row a language
     middle = measured.groupBy("lang").agg(F.percentile_approx("share", 0.5).alias("middle"))
     prose = measured.join(F.broadcast(middle), "lang").where("share > 0 and share >= middle / 2")
-    sizes = prose.groupBy("lang").agg(F.sum("words").alias("total"), F.count("*").alias("k"))
-    said = prose.select("lang", F.explode("heads").alias("h")).groupBy("lang", F.col("h.word").alias("word")).agg(F.sum("h.n").alias("n"))
+    sizes = prose.groupBy("lang").agg(F.sum("words").alias("total"), F.count("*").alias("k")).where(F.col("k") >= LEAST_PEERS)
+    said = prose.select("lang", F.explode("heads").alias("h")).groupBy("lang", F.col("h.word").alias("word")).agg(F.sum("h.n").alias("n")).join(F.broadcast(sizes), "lang")
     # the function words of a language are a fixed list, so this window is small whatever the corpus
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     which = sum((F.when(F.col("rank") > last, 1).otherwise(0) for last in BINS), F.lit(0))
-    ranked = said.withColumn("rank", rank).withColumn("bin", which)
-    counted = ranked.groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(*(F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0.0)).alias(f"n{b}") for b in range(len(BINS) + 1)))
-    full = counted.join(sizes, "lang").where(F.col("k") >= LEAST_PEERS)
-    names = [f"n{b}" for b in range(len(BINS) + 1)]
-
-    shares = [F.col(c) / F.col("total") for c in names]
-    expected = F.array(*shares, F.greatest(F.lit(1e-3), 1 - sum(shares[1:], shares[0])))
-    words = ranked.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "bin"))).alias("bins"))
-    own = full.select("lang", expected.alias("expected")).join(words, "lang").select("lang", "bins", "expected")
+    ranked = cut(said.withColumn("rank", rank).withColumn("bin", which))
+    counted = ranked.groupBy("lang", "total").agg(*(F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0.0)).alias(c) for b, c in enumerate(_BINS)))
+    own = counted.select("lang", _expected([F.col(c) / F.col("total") for c in _BINS]).alias("expected"))
     # without ranks of its own language a text is compared by its share of function words alone: they all go to the first bin
-    share = sum((F.sum(c) for c in names[1:]), F.sum(names[0])) / F.sum("total")
-    one = F.array(share, *(F.lit(0.0) for _ in BINS), F.greatest(F.lit(1e-3), 1 - share))
-    pooled = full.agg(one.alias("expected")).select(F.lit(None).cast("string").alias("lang"), F.create_map().cast("map<string,int>").alias("bins"), "expected")
-    return own.unionByName(pooled)
+    share = F.sum(sum((F.col(c) for c in _BINS[1:]), F.col(_BINS[0]))) / F.sum("total")
+    pooled = counted.agg(_expected([share, *(F.lit(0.0) for _ in BINS)]).alias("expected")).select(F.lit(None).cast("string").alias("lang"), "expected")
+    return ranked.select("lang", "word", "bin"), cut(own.unionByName(pooled))
 
 
-def divergence(heads: Column, words: Column, bins: Column, expected: Column) -> Column:
+def divergence(counts: list[Column], words: Column, expected: Column) -> Column:
     """Nats between a page's words over the rank bins and the prose of its language, over the most there can be."""
-    last = len(BINS)
-    other = F.when(F.size(bins) == 0, 0).otherwise(last)
-
-    def said(b: int) -> Column:
-        return F.aggregate(heads, F.lit(0.0), lambda acc, h: acc + F.when(F.coalesce(F.try_element_at(bins, h["word"]), other) == b, h["n"]).otherwise(0.0))
-
-    counts = [said(b) for b in range(last + 1)]
+    last = len(counts)
     rest = F.greatest(F.lit(0.0), words - sum(counts[1:], counts[0]))
 
     def part(count: Column, b: int) -> Column:
         p = count / words
         return F.when(count > 0, p * F.ln(p / F.greatest(F.lit(1e-3), F.get(expected, F.lit(b))))).otherwise(0.0)
 
-    total = sum((part(c, b) for b, c in enumerate(counts)), part(rest, last + 1))
+    total = sum((part(c, b) for b, c in enumerate(counts)), part(rest, last))
     # a text that says more function words than prose doesn't diverge towards lists
-    fewer = rest / words > F.get(expected, F.lit(last + 1))
-    return F.when(fewer, total / -F.ln(F.get(expected, F.lit(last + 1)))).otherwise(0.0)
+    return F.when(rest / words > F.get(expected, F.lit(last)), total / -F.ln(F.get(expected, F.lit(last)))).otherwise(0.0)
+
+
+def divergences(profiles: DataFrame) -> DataFrame:
+    """``(id, lang, words, divergence)`` of every page with enough words."""
+    ranks, expected = prose_ranks(profiles)
+    said = profiles.where(F.col("words") >= LEAST_WORDS).select("id", "lang", "words", F.explode_outer("heads").alias("h")).select("id", "lang", "words", F.col("h.word").alias("word"), F.col("h.n").alias("n"))
+    # as many rows as there are languages, and function words in them
+    placed = said.join(F.broadcast(expected.where("lang is not null")), "lang", "left").join(F.broadcast(ranks), ["lang", "word"], "left")
+    which = F.when(F.col("expected").isNull(), 0).otherwise(F.coalesce("bin", F.lit(len(BINS))))
+    summed = placed.groupBy("id", "lang", "words").agg(F.any_value("expected").alias("expected"), *(F.coalesce(F.sum(F.when(which == b, F.col("n"))), F.lit(0.0)).alias(c) for b, c in enumerate(_BINS)))
+    pooled = expected.where("lang is null").select("expected").scalar()
+    return summed.select("id", "lang", "words", divergence([F.col(c) for c in _BINS], F.col("words"), F.coalesce("expected", pooled)).alias("divergence"))
 
 
 def stuffing_scores(profiles: DataFrame) -> DataFrame:
     """``(id, lang, words, divergence, slope, slope_score, residual_score, stuffed)`` of every page with enough words."""
-    prose = prose_bins(profiles)
-    pooled = prose.where("lang is null").select(F.col("bins").alias("p_bins"), F.col("expected").alias("p_expected"))
-    # one row for each language, and one row
-    measured = (
-        profiles.where(F.col("words") >= LEAST_WORDS)
-        .join(F.broadcast(prose.where("lang is not null")), "lang", "left")
-        .join(F.broadcast(pooled.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"), "left")
-        .select("id", "lang", "words", divergence(F.col("heads"), F.col("words"), F.coalesce("bins", "p_bins"), F.coalesce("expected", "p_expected")).alias("divergence"))
-        .join(curves(profiles), "id", "left")
-        .fillna(0.0, ["slope", "residual", "divergence"])
-        .withColumn("size", F.floor(F.log2("words")).cast("int"))
-    )
+    measured = divergences(profiles).join(curves(profiles), "id", "left").fillna(0.0, ["slope", "residual", "divergence"]).withColumn("size", F.floor(F.log2("words")).cast("int"))
+    measured = cut(measured)
     names = ("slope", "residual")
     quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75]).alias(n) for n in names]
     # at most one row for each language and power of two of length: bounded

@@ -250,6 +250,14 @@ FIELDS = (
 )
 
 
+#: Percent-escapes, also in the middle of a character's bytes, and a plus sign.
+ESCAPED = ("plain", "a+b", "100%25", "New%20transfer_students", "%C3%A9t%C3%A9", "caf%C3%A9/%E6%97%A5%E6%9C%AC", "%41%2f%5A", "x%20%20y", "%d0%9f%d1%80")
+
+
+def unquote_examples(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in ESCAPED], "text string").select("text", unquoted(F.col("text")).alias("decoded"))
+
+
 def stem_examples(spark, sf_dir):
     return spark.createDataFrame([(w,) for w in STEMS], "word string").select("word", T.stem_column("word").alias("stem"))
 
@@ -303,7 +311,7 @@ def migrate_lexicon(spark, sf_dir):
 _QUERIES = (
     strip_fragment, url_display, url_fallback_title, url_terms, dedup_exact_pages, dedup_exact_documents, assign_doc_ids, term_frequencies, doc_lengths, lexicon_df, corpus_stats, idf_table, postings_delta,
     postings_roundtrip, postings_packed, packed_roundtrip, sparse_lexicon, sparse_floor, query_term_weights, bm25_all, bm25_any, bm25_auto, url_boost_rerank, search_published, search_single, search_pages, build_stats, dedup_counts,
-    index_sizes, page_fields, field_examples, important_tf, stem_vocabulary, stem_examples, latency_percentiles, load_report, load_workload, migrate_lexicon,
+    index_sizes, page_fields, field_examples, important_tf, stem_vocabulary, stem_examples, unquote_examples, latency_percentiles, load_report, load_workload, migrate_lexicon,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -386,6 +394,7 @@ ORACLES = {
     "search_published": _ranking("coalesce(lower(trim(query_mode)), 'auto')", True),
     "search_single": _ranking("query_mode", True, f"(VALUES {_values((i, *x) for i, x in enumerate(SINGLE))}) AS t(query_id, query_text, query_mode, result_limit)", "url").replace("SELECT query_id, CAST(rank", "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank"),
     "index_sizes": "SELECT name, true AS has_bytes, true AS sums FROM (VALUES ('documents'), ('postings'), ('lexicon')) AS t(name)",
+    "unquote_examples": f"SELECT text, {_decoded('text')} AS decoded FROM (VALUES {_values((x,) for x in ESCAPED)}) AS t(text)",
     "stem_examples": f"SELECT * FROM (VALUES {_values(STEMS.items())}) AS t(word, stem)",
     "field_examples": f"SELECT CAST(source AS BIGINT) AS source, title, snippet, CAST(doc_len AS BIGINT) AS doc_len, CAST(x_tf AS BIGINT) AS x_tf, CAST(x_important_tf AS BIGINT) AS x_important_tf FROM (VALUES {_values((i, *x[1:]) for i, x in enumerate(FIELDS))}) AS t(source, title, snippet, doc_len, x_tf, x_important_tf)",
     "latency_percentiles": f"SELECT coalesce(lower(trim(query_mode)), 'auto') AS mode, count(elapsed_ms) AS samples, round_even(median(elapsed_ms), 3) AS median_ms, round_even({_percentile('elapsed_ms', 0.95)}, 3) AS p95_ms, round_even({_percentile('elapsed_ms', 0.99)}, 3) AS p99_ms, round_even(max(elapsed_ms), 3) AS max_ms FROM queries GROUP BY 1",

@@ -6,11 +6,12 @@ under a fixed share of its range.  The cuts depend on the local bytes only, so a
 line carries the same chunks wherever it stands.  A line start is a cut as well,
 because results are stated by line; README says why.
 
-1. ``count``: pages per (site, chunk), one row per chunk and page, pre-aggregated
-   before the shuffle; chunks on at least ``least`` pages are kept.
-2. A line can only be repeated if its anchor (its smallest chunk hash) is kept: a
-   semi-join leaves these lines.
-3. Exact check: distinct pages per (site, whole normalised line).
+1. One pass over the pages gives each line its anchor (its smallest chunk hash), the hash
+   of the whole line, page and number; it is written to the shared folder and read from there.
+2. Pages per (site, anchor chunk) are counted, pre-aggregated before the shuffle; a line
+   can only be repeated if its anchor is on at least ``least`` pages, since the same line
+   has the same chunks wherever it stands.
+3. Exact check of the lines that are left: distinct pages per (site, whole normalised line).
 
 Defined cases: rows without url have no site and no repeated lines; null and
 empty contents have none; several rows of one page id count as one page; an
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.url import site
 from pagewright.functions.visible import visible_lines
-from pagewright.session import map_columns
+from pagewright.session import cut, map_columns
 
 WINDOW, SHORTEST, MEAN_BITS = 8, 16, 6
 LEAST_LETTERS = 12
@@ -93,15 +94,6 @@ def _lines(batches: Iterator[dict[str, list]]):
                 yield rows
 
 
-def _chunk_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    for rows in _lines(batches):
-        hashes, owner, _ = chunks([r[4] for r in rows])
-        place = np.array([r[0] for r in rows], dtype=np.uint64)[owner]
-        _, once = np.unique(_mix(hashes ^ _mix(place + _U(1))), return_index=True)  # a chunk counts once a page
-        hosts = np.array([r[2] for r in rows], dtype=np.int64)[owner]
-        yield {"site": hosts[once], "chunk": hashes[once].astype(np.int64)}
-
-
 def _line_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
     for rows in _lines(batches):
         _, _, anchor = chunks([r[4] for r in rows])
@@ -116,13 +108,15 @@ def _line_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
 
 def repeated_lines(pages: DataFrame, least: int = 5) -> DataFrame:
     """``(page_id, line_no)`` of every line on at least ``least`` pages of its site."""
-    source = pages.select("page_id", F.xxhash64(site(F.col("url"))).alias("site"), "content", site(F.col("url")).alias("host")).where("host is not null and content is not null and page_id is not null").drop("host")
-    columns = ["page_id", "site", "content"]
-    kept = map_columns(source, columns, _chunk_rows, "site long, chunk long").groupBy("site", "chunk").count().where(F.col("count") >= least).select("site", "chunk")
-    lines = map_columns(source, columns, _line_rows, "site long, chunk long, line long, page_id long, line_no int")
-    near = lines.join(kept, ["site", "chunk"], "left_semi").select("site", "line", "page_id", "line_no")
-    repeated = near.groupBy("site", "line").agg(F.countDistinct("page_id").alias("n")).where(F.col("n") >= least).select("site", "line")
-    return near.join(repeated, ["site", "line"], "left_semi").select("page_id", "line_no").distinct()
+    host = site(F.col("url"))
+    source = pages.select("page_id", F.xxhash64(host).alias("site"), "content", host.alias("host")).where("host is not null and content is not null and page_id is not null").drop("host")
+    lines = cut(map_columns(source, ["page_id", "site", "content"], _line_rows, "site long, chunk long, line long, page_id long, line_no int"))
+
+    def often(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy("site", key).agg(F.countDistinct("page_id").alias("n")).where(F.col("n") >= least).select("site", key)
+
+    near = lines.join(often(lines, "chunk"), ["site", "chunk"], "left_semi").select("site", "line", "page_id", "line_no")
+    return near.join(often(near, "line"), ["site", "line"], "left_semi").select("page_id", "line_no").distinct()
 
 
 def without_lines(pages: DataFrame, found: DataFrame) -> DataFrame:

@@ -53,18 +53,23 @@ _NOTHING = "­͏؜​‌‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 _PLAIN: dict[int, str] = {ord(c): "-" for c in _HYPHENS} | {ord(c): "" for c in _NOTHING}
 for _o in [*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7), *range(0xFB00, 0xFB07), *range(0x2160, 0x2180), 0xB5, 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4)]:
     _PLAIN.setdefault(_o, unicodedata.normalize("NFKC", chr(_o)))
+_CHANGES = re.compile("[" + "".join(map(re.escape, map(chr, _PLAIN))) + "]")
 #: A joiner between pictures or between letters of a joining script can be seen.
 _JOINER = re.compile("(?<![←-⯿️\U0001f000-\U0001faff؀-෿])‍|‍(?![←-⯿\U0001f000-\U0001faff؀-෿])")
-_SPACES = re.compile(r"\s+")
+#: Letters of Greek and Cyrillic; a text without any has one script only.
+_OTHER_SCRIPT = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str) -> str:
     """The consistent form, but for look-alike letters."""
     if not text.isascii():
-        text = _JOINER.sub("", unicodedata.normalize("NFC", text)).translate(_PLAIN)
         text = unicodedata.normalize("NFC", text)
-    return _SPACES.sub(" ", text).strip()
+        if "\u200d" in text:
+            text = _JOINER.sub("", text)
+        if _CHANGES.search(text):
+            text = unicodedata.normalize("NFC", text.translate(_PLAIN))
+    return " ".join(text.split())
 
 
 def _script(c: str) -> str:
@@ -101,13 +106,13 @@ def _dominant(text: str) -> str:
     return counts.most_common(1)[0][0] if counts else "L"
 
 
-def _odd_words(text: str) -> dict[str, list[str]]:
+def _odd_words(text: str, words: set[str] | None = None) -> dict[str, list[str]]:
     """Words of mixed script, or of look-alikes only in another script than the document's, with the forms to try in order."""
-    if text.isascii():
+    if text.isascii() or not _OTHER_SCRIPT.search(text):
         return {}
     document = None
     out: dict[str, list[str]] = {}
-    for word in set(_WORD.findall(text)):
+    for word in set(_WORD.findall(text)) if words is None else words:
         if word.isascii() and not all(c in _HAS_TWIN for c in word):
             continue
         scripts = _scripts(word)
@@ -126,9 +131,9 @@ def _hash(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def settled(text: str, repairs: dict[str, str]) -> tuple[str, bytes]:
+def settled(text: str, repairs: dict[str, str], odd: dict[str, list[str]] | None = None) -> tuple[str, bytes]:
     """The form of a plain text with its repairs, and the key under which texts that read the same meet."""
-    odd = _odd_words(text)
+    odd = _odd_words(text) if odd is None else odd
 
     def word(m: re.Match) -> str:
         return repairs.get(m.group(), m.group())
@@ -142,62 +147,87 @@ def settled(text: str, repairs: dict[str, str]) -> tuple[str, bytes]:
         return w
 
     unsettled = odd.keys() - repairs.keys()
-    key = form if form.isascii() and not unsettled else _WORD.sub(fold, form)
+    # Latin letters fold to themselves
+    key = _WORD.sub(fold, form) if unsettled or _OTHER_SCRIPT.search(form) else form
     return form, _hash(key)
 
 
-def _candidate_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    for batch in batches:
-        out: dict[str, list] = {"doc_id": [], "word": [], "form": [], "place": []}
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            for word, forms in _odd_words(plain(text)).items() if text else ():
-                for place, form in enumerate(forms):
-                    out["doc_id"].append(doc_id)
-                    out["word"].append(word)
-                    out["form"].append(form)
-                    out["place"].append(place)
-        yield out
+SEEN = "doc_id long, key binary, raw binary, plain string, odd array<struct<word: string, forms: array<string>>>, word string"
 
 
-def _vocabulary_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    """Distinct words of one script, once a batch or so."""
+def _seen_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    """All that one pass over the texts can tell: a row a document (a text without odd words has its key at once, one
+    with odd words goes on in its plain form), and rows of the distinct words of one script, once a batch or so."""
     known: set[str] = set()
     for batch in batches:
-        fresh = {w for text in batch["text"] if text for w in _WORD.findall(plain(text))} - known
+        out: dict[str, list] = {k: [] for k in ("doc_id", "key", "raw", "plain", "odd", "word")}
+        fresh: set[str] = set()
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            key = raw = form = odd = None
+            if text is not None:
+                raw, form = _hash(text), plain(text)
+                words = set(_WORD.findall(form))
+                odd = _odd_words(form, words)
+                fresh |= words - known
+                if not odd:
+                    key, form = settled(form, {}, odd)[1] if form else None, None
+            for name, value in zip(out, (doc_id, key, raw, form if odd else None, [{"word": w, "forms": f} for w, f in odd.items()] if odd else None, None)):
+                out[name].append(value)
         fresh = {w for w in fresh if w.isascii() or len(_scripts(w)) <= 1}
         known = known | fresh if len(known) < 200_000 else set()
-        yield {"form": list(fresh)}
+        for name, value in out.items():
+            value.extend(fresh if name == "word" else [None] * len(fresh))
+        yield out
+
+
+def _settled_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    for batch in batches:
+        keys = [settled(text, {r["word"]: r["form"] for r in repairs or ()})[1] if text else None for text, repairs in zip(batch["plain"], batch["repairs"])]
+        yield {"doc_id": batch["doc_id"], "key": keys, "raw": batch["raw"]}
 
 
 def _form_rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
     for batch in batches:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "form": [], "key": [], "raw": []}
-        for text, repairs in zip(batch["text"], batch["repairs"]):
-            if text is None:
-                form, key = None, None
-            else:
-                form, key = settled(plain(text), {r["word"]: r["form"] for r in repairs or ()})
-            out["form"].append(form)
-            out["key"].append(key if form else None)
-            out["raw"].append(_hash(text) if text is not None else None)
-        yield out
+        forms = [None if text is None else settled(plain(text), {r["word"]: r["form"] for r in repairs or ()})[0] for text, repairs in zip(batch["text"], batch["repairs"])]
+        yield {"doc_id": batch["doc_id"], "form": forms}
+
+
+def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def seen_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the pass over the texts (see SEEN), written once."""
+    return cut(map_columns(_texts(documents, id_col, text_col), ["doc_id", "text"], _seen_rows, SEEN))
+
+
+def repairs(seen: DataFrame) -> DataFrame:
+    """``(raw, repairs)``: the words of each odd text (by its hash) that are words of the corpus in another script, first choice first."""
+    tried = seen.where("odd is not null").select("raw", F.explode("odd").alias("o")).select("raw", "o.word", F.posexplode("o.forms").alias("place", "form")).distinct()
+    vocabulary = seen.where("word is not null").select(F.col("word").alias("form")).join(tried.select("form").distinct(), "form", "left_semi").distinct()
+    accepted = tried.join(vocabulary, "form").groupBy("raw", "word").agg(F.min(F.struct("place", "form")).alias("best"))
+    return accepted.groupBy("raw").agg(F.collect_list(F.struct("word", F.col("best.form").alias("form"))).alias("repairs"))
+
+
+def reading_keys(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, key, raw)`` of every document: the key of texts that read the same (null for null and blank texts),
+    and a hash of the text as it stands.  Texts are read once; only those with odd words are looked at again."""
+    seen = seen_texts(documents, id_col, text_col)
+    at_once = seen.where("word is null and odd is null").select("doc_id", "key", "raw")
+    later = seen.where("odd is not null").select("doc_id", "raw", "plain").join(repairs(seen), "raw", "left")
+    return at_once.unionByName(map_columns(later, ["doc_id", "plain", "raw", "repairs"], _settled_rows, "doc_id long, key binary, raw binary"))
 
 
 def consistent_forms(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, form, key, raw)`` of every document: its consistent form, the key of texts that read the same
-    (null for null and blank texts), and a hash of the text as it stands."""
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    columns = ["doc_id", "text"]
-    candidates = cut(map_columns(texts, columns, _candidate_rows, "doc_id long, word string, form string, place int"))
-    vocabulary = map_columns(texts, ["text"], _vocabulary_rows, "form string").join(candidates.select("form").distinct(), "form", "left_semi").distinct()
-    accepted = candidates.join(vocabulary, "form").groupBy("doc_id", "word").agg(F.min(F.struct("place", "form")).alias("best"))
-    repairs = accepted.groupBy("doc_id").agg(F.collect_list(F.struct("word", F.col("best.form").alias("form"))).alias("repairs"))
-    return map_columns(texts.join(repairs, "doc_id", "left"), ["doc_id", "text", "repairs"], _form_rows, "doc_id long, form string, key binary, raw binary")
-
-
-def same_reading_pairs(forms: DataFrame) -> DataFrame:
-    """``(doc_id_a, doc_id_b)`` of different texts that read the same."""
-    keyed = cut(forms.where("key is not null and doc_id is not null").select("doc_id", "key", "raw").distinct())
+    """``(doc_id, form)``: every document in its consistent form."""
+    seen = seen_texts(documents, id_col, text_col)
+    fixed = seen.where("odd is not null and doc_id is not null").select("doc_id", "raw").distinct().join(repairs(seen), "raw").select("doc_id", "repairs").dropDuplicates(["doc_id"])
+    return map_columns(_texts(documents, id_col, text_col).join(fixed, "doc_id", "left"), ["doc_id", "text", "repairs"], _form_rows, "doc_id long, form string")
+
+
+def same_reading_pairs(keys: DataFrame) -> DataFrame:
+    """``(doc_id_a, doc_id_b)`` of different texts that read the same, from :func:`reading_keys`."""
+    keyed = cut(keys.where("key is not null and doc_id is not null").select("doc_id", "key", "raw").distinct())
     # only keys of at least two spellings are joined with themselves
     several = keyed.groupBy("key").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("key")
     some = keyed.join(several, "key", "left_semi")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.furniture import fit_lines, main_content, snippet_verdicts
-from pagewright.llm.lookalike import consistent_forms, same_reading_pairs
+from pagewright.llm.lookalike import consistent_forms, reading_keys, same_reading_pairs
 from pagewright.llm.mixing import mixture, shares, sized_texts
 from pagewright.llm.mojibake import garbled_pages, restored_pages
+from pagewright.llm.neardup import NearDuplicates
 from pagewright.llm.residue import fit, residue_pages, residue_titles
 from pagewright.llm.sitelines import repeated_lines, without_lines
 from pagewright.llm.stuffing import page_profiles, stuffing_scores
+from pagewright.llm.termfreq import marked_terms
 from pagewright.llm.tokenizer import decoded, with_ids
 from pagewright.session import cut
 from pagewright.sources.tables import table, texts
@@ -51,6 +53,15 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored.select(F.col("id").alias("page_id"), "content", "kinds")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_terms(_table(spark, sf_dir, "corpus_pages")).select("term", F.explode("marks").alias("mark"))
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with its counts; ``mark`` is null for useful terms."""
+    return marked_terms(_table(spark, sf_dir, "corpus_pages")).select("term", "occurrences", F.col("records").alias("pages"), F.get("marks", F.lit(0)).alias("mark"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "corpus_pages")
     model = fit_lines(pages)
@@ -73,6 +84,22 @@ def p5_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippet_verdicts(_table(spark, sf_dir, "search_results"), model).select(F.col("id").alias("result_id"), (~F.col("dirty")).alias("clean"))
 
 
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    """p6 is stated on sequences of three terms, of pages with at least 100 of them."""
+    return NearDuplicates(_table(spark, sf_dir, "corpus_pages"), "page_id", "content", width=3, threshold=(4, 5), least=100)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _near(spark, sf_dir)
+    return near.pairs(near.links())
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: class of equal sets, links of the class, group; pages that can't take part stand alone."""
+    near = _near(spark, sf_dir)
+    return near.groups(near.links())
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ids of the pages and of the results that are residue."""
     pages = _table(spark, sf_dir, "corpus_pages")
@@ -116,7 +143,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return same_reading_pairs(consistent_forms(_table(spark, sf_dir, "documents")))
+    return same_reading_pairs(reading_keys(_table(spark, sf_dir, "documents")))
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +151,12 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_forms(_table(spark, sf_dir, "documents")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_cleaned, p3_found, p3_restored, p5_found, p5_main, p5_snippets, p7_found, p7_kept, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_forms)}
+_QUERIES = (
+    p1_found, p1_scores, p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_terms, p5_found, p5_main, p5_snippets, p6_found, p6_groups, p7_found, p7_kept, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_forms,
+)
+QUERIES = {f.__name__: f for f in _QUERIES}
+
+# ---------------------------------------------------------------- SQL for the oracle
+
+#: Terms of the visible text of a page; hidden parts, then tags, then the character references in use go.
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pagewright.llm.lookalike import consistent_forms, plain, same_reading_pairs
+from pagewright.llm.lookalike import consistent_forms, plain, reading_keys, same_reading_pairs
 from pagewright.llm.mixing import mixture, shares, sized_texts
 from pagewright.llm.tokenizer import PIECE, decode, decoded, encode, encoding, pieces, with_ids
 
@@ -71,6 +71,22 @@ def test_larger_texts_are_drawn_more_often(spark, documents):
     assert long > 5 * (len(used) - long) and abs(sum(r.tokens for r in used) - 10_000) < 60
 
 
+def test_certain_texts_and_a_fine_edge(spark, documents, monkeypatch):
+    """A text larger than its share of the budget is certain; with few bins the edge is still found exactly."""
+    from pagewright.llm import mixing
+
+    rows = [(1, "word " * 4000, "s")] + [(10 + i, f"{i} " + "word " * 20, "s") for i in range(600)] + [(9999, "a b c d e f g h", "t")]
+    targets = spark.createDataFrame([("s", 0.5, 1), ("t", 0.5, 100_000)], "source string, target_share double, max_repeats int")
+    texts = sized_texts(documents(rows))
+    used = {r.doc_id: r for r in mixture(texts, targets, size=16_000.0).collect() if r.source == "s"}
+    assert 1 in used and abs(sum(r.tokens for r in used.values()) - 8_000) < 60
+    monkeypatch.setattr(mixing, "BINS", 8)
+    coarse = {r.doc_id for r in mixture(texts, targets, size=16_000.0).collect() if r.source == "s"}
+    assert coarse == used.keys()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert {r.doc_id for r in mixture(texts, targets, size=16_000.0).collect() if r.source == "s"} == used.keys()
+
+
 # ---- p10
 
 def test_plain_form():
@@ -88,10 +104,10 @@ def test_same_reading(spark, documents):
         (50, None, None), (51, "", None), (52, " ", None), (53, " ", None), (54, "x2", None), (55, "x²", None), (60, "a " * 100_000 + "е", None), (61, "a " * 100_000 + "e", None), (1, base, None),
     ]
     forms = consistent_forms(documents(rows))
-    pairs = sorted((r.doc_id_a, r.doc_id_b) for r in same_reading_pairs(forms).collect())
+    pairs = sorted((r.doc_id_a, r.doc_id_b) for r in same_reading_pairs(reading_keys(documents(rows))).collect())
     group = [1, 2, 3, 4, 5, 6, 7, 10]
     expected = {(a, b) for a in group for b in group if a < b} - {(1, 6)} | {(20, 21), (40, 41), (60, 61)}
     assert set(pairs) == expected and len(pairs) == len(expected)
     got = {r.doc_id: r.form for r in forms.collect()}
     assert got[2] == got[7] == got[10] == base and got[21] == russian and got[50] is None and got[52] == ""
-    assert same_reading_pairs(consistent_forms(documents([]))).count() == 0
+    assert same_reading_pairs(reading_keys(documents([]))).count() == 0

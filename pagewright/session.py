@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there: lineage ends, lost executors cost nothing that was
     written, and what reads it takes only the columns it needs."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/pagewright-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,9 @@ BLOCK = 4096
 
 def term_frequencies(documents: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """``(doc_id, term, tf, doc_len)`` from an array column of terms."""
-    words = documents.select(F.col(id_col).alias("doc_id"), F.size(terms).alias("doc_len"), F.explode(terms).alias("term"))
+    # the terms are cut once: both columns read the finished array
+    cut = documents.select(F.col(id_col).alias("doc_id"), terms.alias("_terms"))
+    words = cut.select("doc_id", "_terms", F.explode("_terms").alias("term")).select("doc_id", F.size("_terms").alias("doc_len"), "term")
     return words.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "doc_len")
 
 

@@ -93,11 +93,12 @@ def idf_table(spark, sf_dir):
 
 
 def postings_delta(spark, sf_dir):
-    return P.with_gaps(_postings(spark, sf_dir)).select("term", "doc_id", "gap")
+    # cut, as a range partitioning reads its rows twice: for the ranges and for the rows
+    return P.with_gaps(cut(_postings(spark, sf_dir))).select("term", "doc_id", "gap")
 
 
 def postings_roundtrip(spark, sf_dir):
-    gapped = with_dense_ids(P.with_gaps(_postings(spark, sf_dir)), ["term", "doc_id"], "position")
+    gapped = with_dense_ids(P.with_gaps(cut(_postings(spark, sf_dir))), ["term", "doc_id"], "position")
     return P.without_gaps(gapped.select("term", "gap", "position", "tf")).select("term", "doc_id", "tf")
 
 
@@ -114,7 +115,7 @@ def packed_roundtrip(spark, sf_dir):
 
 def sparse_lexicon(spark, sf_dir):
     """Every 256th term of the lexicon in order."""
-    return with_dense_ids(lexicon_df(spark, sf_dir), ["term"], "pos").where("pos % 256 = 0").select("term", "pos")
+    return with_dense_ids(cut(lexicon_df(spark, sf_dir)), ["term"], "pos").where("pos % 256 = 0").select("term", "pos")
 
 
 def sparse_floor(spark, sf_dir):

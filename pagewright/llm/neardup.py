@@ -33,17 +33,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.visible import terms
 from pagewright.session import cut, map_columns
 
 BITS, RADIUS, MISSED = 16, 2, 5e-4
+#: Bytes of an emitted variant in a shuffle, and those that a shuffle partition is meant to have.
+VARIANT_BYTES, PARTITION_BYTES = 18, 128 << 20
 #: Fingerprint words packed in one 64-bit column.
 PACKED = 64 // BITS
 
@@ -183,6 +186,18 @@ def _place(key: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, size: int) -> Iterator[None]:
+    """Shuffles of a known size get as many partitions as keep each near ``PARTITION_BYTES``; never fewer than the session has."""
+    name = "spark.sql.shuffle.partitions"
+    usual = int(spark.conf.get(name))
+    spark.conf.set(name, str(max(usual, -(-size // PARTITION_BYTES))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(usual))
+
+
 class NearDuplicates:
     """``members`` (id, class_id), ``links`` (a, b of class representatives, a < b) and what follows from them."""
 
@@ -191,7 +206,8 @@ class NearDuplicates:
         self.width = width
         self.ids = pages.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
         self.pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content")).where("id is not null and content is not null")
-        self.design = Design.of(pages.count(), self.top / self.bottom)
+        self.n_pages = pages.count()
+        self.design = Design.of(self.n_pages, self.top / self.bottom)
         names = sum(self.design.names, [])
         marks = map_columns(self.pages, ["id", "content"], _fingerprints(width, least, self.design), "id long, n int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in names))
         self.marks = cut(marks)
@@ -238,7 +254,9 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """Every link between class representatives, a < b.  Their number is part of the result: no link is left out."""
-        return cut(self.verified(cut(self.candidates())))
+        with shuffle_partitions(self.ids.sparkSession, self.n_pages * self.design.tables * (BITS + 1) * VARIANT_BYTES):
+            candidates = cut(self.candidates())
+        return cut(self.verified(candidates))
 
     def pairs(self, links: DataFrame) -> DataFrame:
         """All pairs of pages: members of linked classes, and members of one class."""

@@ -101,3 +101,11 @@ def test_recall_at_the_threshold(pages):
 def test_design_grows_with_the_collection():
     designs = [neardup.Design.of(10**k, 0.8) for k in range(4, 12)]
     assert [d.anchors for d in designs] == [2, 2, 2, 3, 4, 5, 6, 7] and all(b.tables <= 1.4 * a.tables for a, b in zip(designs, designs[1:]))
+
+
+def test_partitions_grow_with_the_shuffle(spark):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    for size, parts in ((0, usual), (100 * neardup.PARTITION_BYTES, "100")):
+        with neardup.shuffle_partitions(spark, size):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == parts
+        assert spark.conf.get("spark.sql.shuffle.partitions") == usual

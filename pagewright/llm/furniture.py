@@ -292,24 +292,22 @@ class LineModel:
     @classmethod
     def fit(cls, rows: list[tuple[tuple[str, ...], tuple[str, ...], float, bool, int]], rounds: int = ROUNDS) -> "LineModel":
         """From (shape with place, words, start, whether that is open, times seen)."""
-        spread: Counter = Counter()
-        for shape, words, _, _, n in rows:
-            for x in (*shape, *words):
-                spread[x] += n
-        number = {x: i for i, x in enumerate(sorted(x for x, n in spread.items() if n >= 3))}
-        if not number:
-            return cls({}, 0.0)
-        # one entry for each known feature of each row, with the weight it has in the row's evidence
-        entries = [
-            (k, number[x], c)
-            for k, (shape, words, _, _, _) in enumerate(rows)
-            for part, c in ((shape, SHAPE), (words, 1 / math.sqrt(max(1, len(words)))))
-            for x in part if x in number
-        ]
-        row, feature, factor = (np.array(x) for x in zip(*entries))
+        codes: dict[str, int] = {}
+        feature = np.array([codes.setdefault(x, len(codes)) for shape, words, *_ in rows for x in (*shape, *words)], dtype=np.int64)
+        # the weight of each feature in its row's evidence
+        sizes = np.array([(len(shape), len(words)) for shape, words, *_ in rows], dtype=np.int64).reshape(-1, 2)
+        factor = np.repeat(np.stack([np.full(len(rows), SHAPE), 1 / np.sqrt(np.maximum(1, sizes[:, 1]))], axis=1).ravel(), sizes.ravel())
+        row = np.repeat(np.arange(len(rows)), sizes.sum(axis=1))
         times = np.array([n for *_, n in rows], dtype=float)
         is_open = np.array([o for *_, o, _ in rows], dtype=bool)
         weight = np.array([w for _, _, w, _, _ in rows], dtype=float)
+        often = np.bincount(feature, times[row], len(codes)) >= 3 if rows else np.zeros(0, dtype=bool)
+        if not often.any():
+            return cls({}, 0.0)
+        place = np.cumsum(often) - 1
+        known = often[feature]
+        feature, factor, row = place[feature[known]], factor[known], row[known]
+        number = [x for x, i in codes.items() if often[i]]
         model = cls({}, 0.0)
         for _ in range(rounds):
             for_it, against = times * weight, times * (1 - weight)

@@ -164,16 +164,16 @@ class Model:
     @classmethod
     def fit(cls, rows: Rows, rounds: int = ROUNDS) -> "Model":
         """From (features, whether trusted, times seen)."""
-        spread: Counter = Counter()
-        for found, _, n in rows:
-            for x in set(found):
-                spread[x] += n
-        # all words seen once are one word together
-        number = {x: i + 1 for i, x in enumerate(sorted(x for x, n in spread.items() if n >= 2))}
-        if not number:
-            return cls({}, -50.0, 0.0)
+        codes: dict[str, int] = {}
+        seen = np.array([codes.setdefault(x, len(codes)) for found, _, _ in rows for x in found], dtype=np.int64)
         row = np.repeat(np.arange(len(rows)), [len(found) for found, _, _ in rows])
-        feature = np.array([number.get(x, 0) for found, _, _ in rows for x in found])
+        # words that one passage alone has are one word together, of number 0
+        first = np.unique(seen * len(rows) + row) if rows else seen
+        often = np.bincount(first // max(1, len(rows)), np.array([n for *_, n in rows], dtype=float)[first % max(1, len(rows))], len(codes)) >= 2 if rows else np.zeros(0, dtype=bool)
+        if not often.any():
+            return cls({}, -50.0, 0.0)
+        feature = np.where(often, np.cumsum(often), 0)[seen]
+        number = {x: int(i) for x, i in zip((x for x, i in codes.items() if often[i]), range(1, len(codes) + 1))}
         times = np.array([n for *_, n in rows], dtype=float)
         fixed = np.array([t for _, t, _ in rows], dtype=bool)
         weight = fixed.astype(float)

@@ -17,15 +17,20 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pagewright.functions.htmlfields import Fields, document_fields
 from pagewright.functions.text import tokenize_column
 from pagewright.functions.url import unquoted, without_fragment
 from pagewright.operators.dedup import kept_records
 from pagewright.operators.dense import with_dense_ids
-from pagewright.operators.postings import lexicon, term_frequencies
+from pagewright.operators.postings import lexicon
 from pagewright.plans.search import ANALYZERS, Index
 from pagewright.session import cut, map_columns
 
@@ -84,15 +89,36 @@ def index_of_pages(records: DataFrame, order: str = "source", read: Callable[[st
     return Index(documents, postings, words, counts["good"], float(counts["average"]), "porter"), stats
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with their array ``terms`` counted inside each row, as ``doc_len`` and structs of a term and its number."""
+    others = [f for f in rows.schema.fields if f.name != "terms"]
+    ddl = "array<struct<term: string, tf: bigint>>"
+    schema = StructType([*others, StructField("doc_len", IntegerType()), StructField("terms", StructType.fromDDL(f"x {ddl}")["x"].dataType)])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            words = lists.flatten().dictionary_encode()
+            keys = pc.list_parent_indices(lists).to_numpy().astype(np.int64) << 32 | words.indices.to_numpy()
+            pairs, counts = np.unique(keys, return_counts=True)
+            starts = np.searchsorted(pairs >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
+            entries = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), pa.array(counts.astype(np.int64))], names=["term", "tf"])
+            columns = [*batch.columns[:-1], pc.list_value_length(lists), pa.ListArray.from_arrays(pa.array(starts), entries)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
+
+    return rows.select(*(f.name for f in others), "terms").mapInArrow(run, schema)
+
+
 def index_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", analyzer: str = "surface") -> Index:
-    """An index of plain texts under their own ids, built-in expressions only for ``surface``; each text is cut into terms once."""
+    """An index of plain texts under their own ids; each text is cut into terms once, and they are counted where they are."""
     analyze = ANALYZERS[analyzer]
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     named = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.substring(F.col(text_col), 1, 320).alias("snippet"), analyze.column(F.col(text_col)).alias("terms"))
-    terms = cut(named)
-    postings = cut(term_frequencies(terms, "doc_id", F.col("terms")).withColumn("important_tf", F.lit(0)))
-    documents = terms.select("doc_id", "url", F.size("terms").alias("doc_len"), F.lit("").alias("title"), "snippet", F.array_distinct(analyze.short(unquoted(F.col("url")))).alias("url_terms"))
-    summary = terms.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest(F.size("terms"), F.lit(1))), F.lit(1.0)).alias("a")).first()
+    good = cut(counted(named))
+    postings = good.select("doc_id", "doc_len", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", F.lit(0).alias("important_tf"), "doc_len")
+    documents = good.select("doc_id", "url", "doc_len", F.lit("").alias("title"), "snippet", F.array_distinct(analyze.short(unquoted(F.col("url")))).alias("url_terms"))
+    summary = good.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest("doc_len", F.lit(1))), F.lit(1.0)).alias("a")).first()
     return Index(documents, postings, cut(lexicon(postings)), summary["n"], float(summary["a"]), analyzer)
 
 

@@ -22,20 +22,25 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.functions.url import display_url, fallback_title
-from pagewright.operators.postings import idf, saturation
+from pagewright.operators.dense import with_dense_ids
+from pagewright.operators.postings import saturation
+from pagewright.operators.scoring import HEADS, Kind, heads
 from pagewright.session import cut
 
 MODES = ("all", "any", "auto")
 IMPORTANT_BOOST, URL_BOOST, HEAD, DEFAULT_LIMIT = 2.0, 0.75, 256, 5
-#: Most different terms that go into a scan as a filter, most rows of query terms that are sent to all tasks, and the
-#: largest limit of a single query whose head is ranked by the driver.
-MOST_TERMS, MOST_ROWS, MOST_RANKED = 20_000, 500_000, 1_000
+#: Most different terms that go into a scan as a filter, most queries that are sent to all tasks, most different
+#: queries that are scored in one pass (further ones in further passes), and the largest limit of a single query whose
+#: head is ranked by the driver.
+MOST_TERMS, MOST_ROWS, MOST_KINDS, MOST_RANKED = 20_000, 500_000, 50_000, 1_000
 RESULT = "rank int, score double, url string, matched_terms int, query_terms int, title string, snippet string, display_url string"
 
 
@@ -86,20 +91,18 @@ class Index:
 
 
 def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
-    """``(query_id, mode, limit, term, qtf, pos, required)``, one row a distinct term."""
+    """``(query_id, mode, limit, term, qtf)``, one row a distinct term."""
     read = queries.select(
         "query_id",
         F.coalesce(F.lower(F.trim("mode")), F.lit("auto")).alias("mode"),
         F.coalesce("limit", F.lit(DEFAULT_LIMIT)).alias("limit"),
-        F.posexplode(ANALYZERS[analyzer].short(F.coalesce("query", F.lit("")))).alias("pos", "term"),
+        F.explode(ANALYZERS[analyzer].short(F.coalesce("query", F.lit("")))).alias("term"),
     ).where(F.col("mode").isin(*MODES) & (F.col("limit") >= 1))
-    terms = read.groupBy("query_id", "mode", "limit", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos"))
-    # a query has few terms, so its window is small
-    return terms.withColumn("required", F.count("*").over(Window.partitionBy("query_id")))
+    return read.groupBy("query_id", "mode", "limit", "term").agg(F.count("*").alias("qtf"))
 
 
 def _ordered_sum(parts: Column) -> Column:
-    """Sum in the order of (df, pos), so that equal inputs give equal bits."""
+    """Sum in the order of (df, term), so that equal inputs give equal bits."""
     return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda acc, x: acc + x["c"])
 
 
@@ -118,45 +121,82 @@ def _shown(documents: DataFrame) -> list[Column]:
     return [F.col("url"), title.alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"), display_url(F.col("url")).alias("display_url")]
 
 
+def _among(table: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of the terms ``names``; a filter of the scan as long as there are few."""
+    if len(names) <= MOST_TERMS:
+        return table.where(F.col("term").isin(names))
+    return table.join(F.broadcast(table.sparkSession.createDataFrame(pa.table({"term": pa.array(names, pa.string())}))), "term", "left_semi")
+
+
+def _kinds(asked: DataFrame, rerank: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries of the same words whose modes rank alike have the same ranking, which is made once: the different ones
+    ``(kind, words, every, reach)``, numbered from 0, and ``(query_id, limit, kind, reach)``.  ``reach`` is how deep
+    the head goes: that of the query and, for a kind, that of its deepest query."""
+    reach = F.greatest(F.lit(HEAD).cast("long"), 20 * F.col("limit").cast("long")) if rerank else F.col("limit").cast("long")
+    whole = asked.groupBy("query_id", "mode", "limit").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("words"))
+    whole = cut(whole.select("query_id", "limit", "words", (F.col("mode") == "all").alias("every"), reach.alias("reach")))
+    kinds = whole.groupBy("words", "every").agg(F.min("query_id").alias("_first"), F.max("reach").alias("reach"))
+    kinds = cut(with_dense_ids(kinds, ["_first"], "kind").select("kind", "words", "every", "reach"))
+    return kinds, cut(whole.join(kinds.select("kind", "words", "every"), ["words", "every"]).select("query_id", "limit", "kind", "reach"))
+
+
+def _heads(index: Index, kinds: DataFrame, rerank: bool) -> DataFrame | None:
+    """``(kind, doc_id, matched, score, nano)``: at least the best ``reach`` documents of every kind, with the URL's
+    bonus in ``total`` if it is asked for; none if the index has none of the words."""
+    spark = kinds.sparkSession
+    asked = kinds.collect()  # MOST_KINDS rows at most
+    names = sorted({w["term"] for r in asked for w in r["words"]})
+    df = {r["term"]: r["df"] for r in _among(index.lexicon, names).select("term", "df").collect()}
+    number = {t: i for i, t in enumerate(df)}
+    weight = {t: math.log(1 + (index.n_documents - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    of_kind: list[Kind] = []
+    inside = []
+    for r in asked:
+        known = [w for w in r["words"] if w["term"] in df]
+        if known and (len(known) == len(r["words"]) or not r["every"]):
+            words = [(number[w["term"]], (1.0 + math.log(w["qtf"])) * weight[w["term"]]) for w in sorted(known, key=lambda w: df[w["term"]])]
+            of_kind.append(Kind(r["kind"], words, len(words) if r["every"] else 1, r["reach"]))
+            inside.append([{"df": df[w["term"]], "term": w["term"], "c": weight[w["term"]]} for w in known])
+    if not of_kind:
+        return None
+    numbers = spark.createDataFrame(pa.table({"term": pa.array(list(number), pa.string()), "number": pa.array(list(number.values()), pa.int32())}))
+    weighted = F.col("tf") + IMPORTANT_BOOST * F.col("important_tf")
+    hits = _among(index.postings, list(df)).join(F.broadcast(numbers), "term").select(F.col("doc_id").cast("long").alias("doc_id"), "number", weighted.cast("double").alias("weighted"), F.greatest("doc_len", F.lit(1)).cast("long").alias("doc_len"))
+    found = heads(hits, sum(df.values()), of_kind, len(number), index.average_length)
+    if rerank:
+        shape = pa.list_(pa.struct([("df", pa.int64()), ("term", pa.string()), ("c", pa.float64())]))
+        words = spark.createDataFrame(pa.table({"kind": pa.array([k.number for k in of_kind], pa.int64()), "words": pa.array(inside, shape)}))
+        named = F.filter("words", lambda w: F.array_contains("url_terms", w["term"]))
+        found = found.join(index.documents.select("doc_id", "url_terms"), "doc_id").join(F.broadcast(words), "kind")
+        found = found.withColumn("total", F.col("score") + URL_BOOST * _ordered_sum(named)).drop("url_terms", "words")
+    return found
+
+
 def search_batch(index: Index, queries: DataFrame, rerank: bool = True) -> DataFrame:
     """Results of every query of ``queries`` (query_id, query, mode, limit)."""
-    n = float(index.n_documents)
-    asked = cut(query_terms(queries, index.analyzer))
-    facts = asked.agg(F.countDistinct("term").alias("terms"), F.count("*").alias("rows"), F.coalesce(F.max("limit"), F.lit(DEFAULT_LIMIT)).alias("limit")).first()
-    lexicon, postings = index.lexicon, index.postings
-    if facts["terms"] <= MOST_TERMS:
-        names = [r["term"] for r in asked.select("term").distinct().collect()]
-        lexicon, postings = lexicon.where(F.col("term").isin(names)), postings.where(F.col("term").isin(names))
+    kinds, members = _kinds(cut(query_terms(queries, index.analyzer)), rerank)
+    parts = [_heads(index, kinds.where(F.col("kind").between(i, i + MOST_KINDS - 1)), rerank) for i in range(0, kinds.count(), MOST_KINDS)]
+    parts = [x for x in parts if x is not None] or [queries.sparkSession.createDataFrame([], HEADS + ", total double" * rerank)]
+    small = members.count() <= MOST_ROWS
 
     def narrow(rows: DataFrame) -> DataFrame:
-        """Rows of one a query term at most."""
-        return F.broadcast(rows) if facts["rows"] <= MOST_ROWS else rows
-
-    known = lexicon.join(narrow(asked), "term").withColumn("known", F.count("*").over(Window.partitionBy("query_id")))
-    known = cut(known.where("mode <> 'all' or known = required").withColumn("idf", idf(F.lit(n), F.col("df"))))
-    hits = postings.join(narrow(known), "term")
-    scored = (
-        hits.withColumn("c", _contribution(index, F.col("qtf"), F.col("idf")))
-        .groupBy("query_id", "mode", "limit", "required", "doc_id")
-        .agg(F.count("*").cast("int").alias("matched"), _exact_sum(F.col("c")).alias("score"))
-        .where("mode <> 'all' or matched = required")
-    )
-
-    def place(score: str) -> Column:
-        coverage = F.when(F.col("mode") == "all", 0).otherwise(F.col("matched"))
-        return F.row_number().over(Window.partitionBy("query_id").orderBy(coverage.desc(), F.desc(score), "doc_id"))
-
-    bound = max(HEAD, 20 * int(facts["limit"]))
-    # the constant bound lets the engine cut each query's rows before the shuffle
-    head = scored.withColumn("place", place("score")).where(F.col("place") <= bound).where(F.col("place") <= F.greatest(F.lit(HEAD), 20 * F.col("limit")))
+        """Rows of one a query at most."""
+        return F.broadcast(rows) if small else rows
+
+    # only documents with all words are left in mode all, so coverage may go first there, too
+    best = Window.partitionBy("kind").orderBy(F.desc("matched"), F.desc("nano"), "doc_id")
+    head = reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(best))
+    asked = members.groupBy("kind", "reach").agg(F.max("limit").alias("most"))
     if rerank:
-        words = known.groupBy("query_id").agg(F.collect_list(F.struct("df", "pos", "term", F.col("idf").alias("c"))).alias("words"))
-        inside = F.filter("words", lambda w: F.array_contains("url_terms", w["term"]))
-        head = head.join(index.documents.select("doc_id", "url_terms"), "doc_id").join(narrow(words), "query_id")
-        head = head.withColumn("score", F.col("score") + URL_BOOST * _ordered_sum(inside)).drop("url_terms", "words")
-    won = head.withColumn("rank", place("score").cast("int")).where("rank <= limit").select("query_id", "rank", "score", "doc_id", F.col("matched").alias("matched_terms"), F.col("required").cast("int").alias("query_terms"))
-    shown = index.documents.select("doc_id", *_shown(index.documents))
-    return won.join(shown, "doc_id").select("query_id", "rank", "score", "doc_id", "url", "matched_terms", "query_terms", "title", "snippet", "display_url")
+        again = Window.partitionBy("kind", "reach").orderBy(F.desc("matched"), F.desc(F.round("total", 9)), "doc_id")
+        head = head.join(narrow(asked), "kind").where("place <= reach").withColumn("rank", F.row_number().over(again)).withColumn("score", F.col("total"))
+    else:
+        head = head.join(narrow(asked), "kind").withColumn("rank", F.col("place"))
+    won = head.where("rank <= most").select("kind", "reach", "rank", "score", "doc_id", F.col("matched").alias("matched_terms"))
+    won = won.join(index.documents.select("doc_id", *_shown(index.documents)), "doc_id")
+    size = kinds.select("kind", F.size("words").alias("query_terms"))
+    served = won.join(narrow(members.join(narrow(size), "kind")), ["kind", "reach"]).where("rank <= limit")
+    return served.select("query_id", F.col("rank").cast("int").alias("rank"), "score", "doc_id", "url", F.col("matched_terms").cast("int").alias("matched_terms"), "query_terms", "title", "snippet", "display_url")
 
 
 def _literals(values: list, kind: str) -> Column:

@@ -8,7 +8,7 @@ import pytest
 
 from pagewright.operators import scoring
 from pagewright.plans import search as s
-from pagewright.plans.index import index_of_texts
+from pagewright.plans.index import BuildStats, index_of_texts, open_index, publish
 
 WORDS = "anchor basil copper drum ember fern gravel hazel iris jetty kelp loom".split()
 ASKED = "query_id long, query string, mode string, limit int"
@@ -44,6 +44,19 @@ def test_no_row_for_each_query_and_document(spark):
     assert len(found) == 1000 and {(r["rank"], r.doc_id) for r in found} == {(i + 1, i) for i in range(5)}
 
 
+def asked_often(spark):
+    return spark.createDataFrame([(i, f"{WORDS[i % 12]} {WORDS[(i + 1 + i % 5) % 12]}", ("all", "any", "auto")[i % 3], 1) for i in range(200)], ASKED)
+
+
+def test_no_row_for_each_query_and_document_when_published(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(s, "HEAD", 5)
+    texts = index_of_texts(spark.createDataFrame([(i, " ".join(WORDS), "") for i in range(800)], "doc_id long, text string, url string"))
+    publish(spark, texts, BuildStats(800, 0, 0, 12), str(tmp_path / "index"))
+    index, found = open_index(spark, str(tmp_path / "index")), []
+    assert shuffled_rows(spark, lambda: found.extend(s.search_batch(index, asked_often(spark)).collect())) < 60_000
+    assert len(found) == 200 and {r.doc_id for r in found} == {0}
+
+
 def ranking(rows, query, mode, limit, rerank):
     """By the rules alone: (doc_id, score, matched) in order."""
     texts = {i: Counter(text.split()) for i, text, _ in rows}

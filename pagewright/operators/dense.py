@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pagewright.session import cut
 
 #: The upper bits of a monotonically increasing id are the partition, the lower ones the place in it.
-_PLACE = 33
+PLACE_BITS = 33
 
 
 def _before() -> WindowSpec:
@@ -32,16 +32,20 @@ def _before() -> WindowSpec:
     return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def with_dense_ids(rows: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:
-    """The rows with ``name`` = 0, 1, 2, ... in the given order (which must be total to be repeatable)."""
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _PLACE)
+def numbered(placed: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``name`` = 0, 1, 2, ... for rows whose ``_at`` has their partition in the upper bits and their place there (from 0, without gaps) in the lower ones."""
+    part = F.shiftright("_at", PLACE_BITS)
     sizes = placed.groupBy(part.alias("_part")).count()
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(_before()), F.lit(0)).alias("_offset"))
-    inside = F.col("_at").bitwiseAND(F.lit((1 << _PLACE) - 1))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_offset") + inside).cast("long")).drop("_part", "_offset", "_at")
 
 
+def with_dense_ids(rows: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:
+    """The rows with ``name`` = 0, 1, 2, ... in the given order (which must be total to be repeatable)."""
+    return numbered(cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())), name)
+
+
 def _stretches(rows: DataFrame, order: list[str], fn: Callable[[pa.Table, dict], dict[str, pa.Array]], new: list[str]) -> DataFrame:
     """The rows in order, with the number of their stretch and the long columns ``new`` that ``fn`` computes
     batch by batch; what it keeps in its dictionary lasts through a stretch."""

@@ -28,7 +28,7 @@ HEADS = "kind bigint, doc_id bigint, matched int, score double, nano bigint"
 _PLACES = "kind bigint, matched int, nano bigint, more bigint, reach bigint"
 _BLOCK = "docs binary, lengths binary, starts binary, at binary, weighted binary"
 #: Postings of a block, more or less, and the fewest for which another block is begun.
-BLOCK_ROWS, LEAST_ROWS = 1_000_000, 50_000
+BLOCK_ROWS, LEAST_ROWS = 500_000, 50_000
 #: Contributions are whole numbers of 2^-40, whose sum is the same in any order.
 UNIT = float(1 << 40)
 

@@ -20,6 +20,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,7 +30,7 @@ from pagewright.functions.htmlfields import Fields, document_fields
 from pagewright.functions.text import tokenize_column
 from pagewright.functions.url import unquoted, without_fragment
 from pagewright.operators.dedup import kept_records
-from pagewright.operators.dense import with_dense_ids
+from pagewright.operators.dense import PLACE_BITS, numbered
 from pagewright.operators.postings import lexicon
 from pagewright.plans.search import ANALYZERS, Index
 from pagewright.session import cut, map_columns
@@ -37,6 +38,8 @@ from pagewright.session import cut, map_columns
 FORMAT_VERSION = 2
 V1_ENTRY = "map<string,array<bigint>>"
 TABLES = ("documents", "postings", "lexicon")
+#: Pages whose terms a task holds at once while it analyses them.
+PAGES = 200
 
 
 @dataclass
@@ -53,11 +56,13 @@ class BuildStats:
 
 
 def analysed(records: DataFrame, order: str = "source", read: Callable[[str], Fields] = document_fields) -> DataFrame:
-    """Fields of every page: ``(order, url, ok, doc_len, title, snippet, terms)``; ok is false where analysis failed."""
+    """Fields of every page: ``(order, url, ok, doc_len, title, snippet, terms, _at)``; ok is false where analysis failed,
+    ``_at`` is the task and the place among its pages that could be analysed."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        at = TaskContext.get().partitionId() << PLACE_BITS
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("ok", "doc_len", "title", "snippet", "terms")} | {"source": batch["source"], "url": batch["url"]}
+            out: dict[str, list] = {k: [] for k in ("ok", "doc_len", "title", "snippet", "terms", "_at")} | {"source": batch["source"], "url": batch["url"]}
             for content in batch["content"]:
                 try:
                     f = read(content)
@@ -65,22 +70,23 @@ def analysed(records: DataFrame, order: str = "source", read: Callable[[str], Fi
                     row = True, sum(f.total.values()), f.title, f.snippet, terms
                 except Exception:  # a page that can't be read is counted and left out
                     row = False, 0, None, None, None
-                for name, value in zip(("ok", "doc_len", "title", "snippet", "terms"), row):
+                for name, value in zip(("ok", "doc_len", "title", "snippet", "terms", "_at"), (*row, at)):
                     out[name].append(value)
+                at += row[0]
             yield out
 
     kind = dict(records.dtypes)[order]
-    schema = f"source {kind}, url string, ok boolean, doc_len int, title string, snippet string, terms array<struct<term: string, tf: int, important_tf: int>>"
-    return map_columns(records.select(F.col(order).alias("source"), "url", "content"), ["source", "url", "content"], run, schema)
+    schema = f"source {kind}, url string, ok boolean, doc_len int, title string, snippet string, terms array<struct<term: string, tf: int, important_tf: int>>, _at bigint"
+    return map_columns(records.select(F.col(order).alias("source"), "url", "content"), ["source", "url", "content"], run, schema, PAGES)
 
 
 def index_of_pages(records: DataFrame, order: str = "source", read: Callable[[str], Fields] = document_fields) -> tuple[Index, BuildStats]:
     """An index (not published yet) of HTML or text pages, with stems."""
     records = records.where(F.col("url").isNotNull() & F.col("content").isNotNull()).withColumn("url", without_fragment(F.col("url")))
-    pages = cut(analysed(kept_records(records, order), order, read))
-    # only the keys travel to get their ids
-    ids = with_dense_ids(pages.where("ok").select("source", "url"), ["source", "url"])
-    good = cut(pages.where("ok").join(ids, ["source", "url"]).withColumn("url_terms", F.array_distinct(tokenize_column(unquoted(F.col("url"))))))
+    # analysed in the order of their ids, so that no terms travel to get them
+    kept = kept_records(records, order).select(order, "url", "content").repartitionByRange(order, "url").sortWithinPartitions(order, "url")
+    pages = cut(analysed(kept, order, read).withColumn("url_terms", F.array_distinct(tokenize_column(unquoted(F.col("url"))))))
+    good = numbered(pages.where("ok"))
     documents = good.select("doc_id", "url", "doc_len", "title", "snippet", "url_terms")
     postings = good.select("doc_id", "doc_len", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "t.important_tf", "doc_len")
     words = cut(lexicon(postings))

@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_columns(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+def map_columns(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, step: int = 2000) -> DataFrame:
     """``mapInArrow`` over the named columns only; ``fn`` maps an iterator of
     column dictionaries (name to Python list) to an iterator of such
     dictionaries (lists or numpy arrays) that fit ``schema``."""
@@ -43,8 +43,8 @@ def map_columns(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict[s
         def columns_of() -> Iterator[dict[str, list]]:
             for batch in batches:
                 # the engine sends batches of up to 10,000 rows; long texts are taken in smaller steps
-                for start in range(0, batch.num_rows, 2000):
-                    part = batch.slice(start, 2000)
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
                     yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
         for out in fn(columns_of()):

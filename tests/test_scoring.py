@@ -6,9 +6,10 @@ from collections import Counter
 
 import pytest
 
+from pagewright.functions.htmlfields import document_fields
 from pagewright.operators import scoring
 from pagewright.plans import search as s
-from pagewright.plans.index import BuildStats, index_of_texts, open_index, publish
+from pagewright.plans.index import BuildStats, index_of_pages, index_of_texts, open_index, publish
 
 WORDS = "anchor basil copper drum ember fern gravel hazel iris jetty kelp loom".split()
 ASKED = "query_id long, query string, mode string, limit int"
@@ -102,3 +103,19 @@ def test_terms_are_counted_in_their_rows(spark):
     assert sorted((r.term, r.doc_id, r.tf, r.doc_len) for r in index.postings.collect()) == [("a", 1, 1, 3), ("a", 3, 1, 2), ("b", 1, 2, 3), ("c", 3, 1, 2)]
     assert sorted((r.doc_id, r.doc_len) for r in index.documents.collect()) == [(1, 3), (2, 0), (3, 2)] and index.n_documents == 3
     assert shuffled_rows(spark, lambda: index.postings.collect()) == 0
+
+
+def test_pages_are_numbered_where_they_are_analysed(spark, monkeypatch):
+    """Ids follow source and url though pages that can't be read lie between, and a batch has no row for each query and page."""
+    monkeypatch.setattr(s, "HEAD", 5)
+
+    def read(content):
+        return document_fields(content) if content != "<p>bad</p>" else 1 / 0
+
+    rows = [(i * 7 % 150, f"https://a.example/{i}", "<p>bad</p>" if i == 70 else f"<p>{' '.join(WORDS)} x{i}</p>") for i in range(150)]
+    index, stats = index_of_pages(spark.createDataFrame(rows, "source long, url string, content string").repartition(5), read=read)
+    want = [url for source, url, content in sorted(rows) if content != "<p>bad</p>"]
+    assert [(r.doc_id, r.url) for r in index.documents.orderBy("doc_id").collect()] == list(enumerate(want)) and stats.skipped_documents == 1
+    found = []
+    assert shuffled_rows(spark, lambda: found.extend(s.search_batch(index, asked_often(spark)).collect())) < 15_000
+    assert len(found) == 200

@@ -7,6 +7,8 @@ the best of all blocks: a first pass gives, for each query and block, the value
 follows a value that enough documents of all blocks reach.
 
 The order is that of the ranking: matched terms, then score to nine digits, then the smaller id.
+
+Words in the documents' URLs lie in the blocks, too, so a head's scores have their bonus when they leave.
 """
 
 from __future__ import annotations
@@ -35,16 +37,16 @@ UNIT = float(1 << 40)
 
 @dataclass(frozen=True)
 class Kind:
-    """One query: its number, its words (number of the term, weight), how many of them a document must have, how many documents are wanted."""
+    """One query: its number, its words (number of the term, weight, gain where the URL has it), how many of them a document must have, how many documents are wanted."""
 
     number: int
-    words: list[tuple[int, float]]
+    words: list[tuple[int, float, float]]
     least: int
     reach: int
 
 
 def _pack(terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's hits (doc_id, number, weighted, doc_len) as one row of arrays, by term and document."""
+    """A task's hits (doc_id, number, weighted, doc_len; the length is 0 for words of URLs) as one row of arrays, by term and document."""
     schema = to_arrow_schema(StructType.fromDDL(_BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +55,7 @@ def _pack(terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             doc_id, number, weighted, length = (np.concatenate(c) for c in zip(*parts))
             docs, at = np.unique(doc_id, return_inverse=True)
             lengths = np.zeros(len(docs), dtype=np.int64)
-            lengths[at] = length
+            lengths[at[length > 0]] = length[length > 0]
             order = np.lexsort((at, number))
             starts = np.searchsorted(number[order], np.arange(terms + 1))
             row = docs.astype(np.int64), lengths, starts.astype(np.int64), at[order].astype(np.int32), weighted[order].astype(np.float64)
@@ -76,17 +78,19 @@ def _best(matched: np.ndarray, nano: np.ndarray, reach: int) -> np.ndarray:
     return among[np.lexsort((among, -nano[among], -matched[among]))][:reach]
 
 
-def _scored(kinds: list[Kind], average: float, floors: dict[int, tuple[int, int]]) -> Callable:
-    """For every block and query: (query, ids, matched, score in units, score in 1e-9) of the best documents in order, without those below the query's floor."""
+def _scored(kinds: list[Kind], average: float, floors: dict[int, tuple[int, int]], named: int = 0) -> Callable:
+    """For every block and query: (query, ids, matched, score in units, score in 1e-9, sum of the gains by the URL) of the best
+    documents in order, without those below the query's floor.  ``named``: the number of the first term's hits in URLs, if there are any."""
 
-    def run(block: dict[str, bytes]) -> Iterator[tuple[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def run(block: dict[str, bytes]) -> Iterator[tuple[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         docs, lengths, starts = (np.frombuffer(block[name], dtype=np.int64) for name in ("docs", "lengths", "starts"))
         at, weighted = np.frombuffer(block["at"], dtype=np.int32), np.frombuffer(block["weighted"], dtype=np.float64)
         part = saturation(weighted, lengths[at], average) * UNIT
         total, count = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs), dtype=np.int32)
+        inside = np.zeros(len(docs), dtype=np.float64)
         for kind in kinds:
             found = None
-            for term, weight in kind.words:
+            for term, weight, _ in kind.words:
                 span = slice(starts[term], starts[term + 1])
                 found, gain = at[span], np.rint(weight * part[span]).astype(np.int64)
                 if len(kind.words) > 1:
@@ -107,7 +111,12 @@ def _scored(kinds: list[Kind], average: float, floors: dict[int, tuple[int, int]
                 found, matched, gain, nano = found[keep], matched[keep], gain[keep], nano[keep]
             if len(found):
                 best = _best(matched, nano, kind.reach)
-                yield kind, docs[found[best]], matched[best], gain[best], nano[best]
+                spans = [(at[starts[named + term] : starts[named + term + 1]], more) for term, _, more in kind.words] if named else []
+                for span, more in spans:
+                    inside[span] += more
+                yield kind, docs[found[best]], matched[best], gain[best], nano[best], inside[found[best]]
+                for span, _ in spans:
+                    inside[span] = 0
 
     return run
 
@@ -133,11 +142,14 @@ def _rows(blocks: DataFrame, scored: Callable, columns: Callable[..., tuple], dd
     return blocks.mapInArrow(run, ddl)
 
 
-def _head_columns(kind: Kind, ids: np.ndarray, matched: np.ndarray, gain: np.ndarray, nano: np.ndarray) -> tuple:
-    return np.full(len(ids), kind.number, dtype=np.int64), ids, matched, gain / UNIT, nano
+def _head_columns(boost: float) -> Callable[..., tuple]:
+    def columns(kind: Kind, ids: np.ndarray, matched: np.ndarray, gain: np.ndarray, nano: np.ndarray, inside: np.ndarray) -> tuple:
+        return np.full(len(ids), kind.number, dtype=np.int64), ids, matched, gain / UNIT + boost * inside, nano
+
+    return columns
 
 
-def _place_columns(kind: Kind, ids: np.ndarray, matched: np.ndarray, gain: np.ndarray, nano: np.ndarray) -> tuple:
+def _place_columns(kind: Kind, ids: np.ndarray, matched: np.ndarray, gain: np.ndarray, nano: np.ndarray, inside: np.ndarray) -> tuple:
     """The values at the places 1, 2, 4, ... and at the last one, and how many places each stands for."""
     n = len(ids)
     places = np.array(sorted({*(1 << i for i in range(n.bit_length())), n}), dtype=np.int64)
@@ -152,11 +164,15 @@ def _floors(blocks: DataFrame, kinds: list[Kind], average: float) -> dict[int, t
     return {r["kind"]: (r["v"]["matched"], r["v"]["nano"]) for r in reached.groupBy("kind").agg(F.max(F.struct("matched", "nano")).alias("v")).collect()}
 
 
-def heads(hits: DataFrame, rows: int, kinds: list[Kind], terms: int, average: float) -> DataFrame:
+def heads(hits: DataFrame, rows: int, kinds: list[Kind], terms: int, average: float, named: DataFrame | None = None, boost: float = 0.0) -> DataFrame:
     """``(kind, doc_id, matched, score, nano)`` from ``hits`` (doc_id, number, weighted, doc_len; as many as ``rows``):
-    of each query the best ``reach`` documents and some more; ``nano`` is the score in 1e-9."""
+    of each query the best ``reach`` documents and some more; ``nano`` is the score in 1e-9.  With ``named`` (doc_id, number;
+    the words in URLs) the score has ``boost`` times their gains added, which ``nano`` and the order leave out."""
     cores = hits.sparkSession.sparkContext.defaultParallelism
     n = max(-(-rows // BLOCK_ROWS), min(cores, -(-rows // LEAST_ROWS)), 1)
-    blocks = cut(hits.repartition(n, "doc_id").mapInArrow(_pack(terms), _BLOCK))
+    if named is not None:
+        hits = hits.unionByName(named.select("doc_id", (F.col("number") + terms).alias("number"), F.lit(0.0).alias("weighted"), F.lit(0).cast("long").alias("doc_len")))
+    first = terms if named is not None else 0
+    blocks = cut(hits.repartition(n, "doc_id").mapInArrow(_pack(terms + first), _BLOCK))
     floors = _floors(blocks, kinds, average) if n > 1 else {}
-    return _rows(blocks, _scored(kinds, average, floors), _head_columns, HEADS)
+    return _rows(blocks, _scored(kinds, average, floors, first), _head_columns(boost), HEADS)

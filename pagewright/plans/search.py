@@ -101,11 +101,6 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     return read.groupBy("query_id", "mode", "limit", "term").agg(F.count("*").alias("qtf"))
 
 
-def _ordered_sum(parts: Column) -> Column:
-    """Sum in the order of (df, term), so that equal inputs give equal bits."""
-    return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda acc, x: acc + x["c"])
-
-
 def _exact_sum(c: Column) -> Column:
     """Sum of contributions as whole numbers of 2^-40, which is the same in any order and needs no list of the parts."""
     return F.sum(F.round(c * float(1 << 40)).cast("long")) / float(1 << 40)
@@ -141,8 +136,8 @@ def _kinds(asked: DataFrame, rerank: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def _heads(index: Index, kinds: DataFrame, rerank: bool) -> DataFrame | None:
-    """``(kind, doc_id, matched, score, nano)``: at least the best ``reach`` documents of every kind, with the URL's
-    bonus in ``total`` if it is asked for; none if the index has none of the words."""
+    """``(kind, doc_id, matched, score, nano)``: at least the best ``reach`` documents of every kind by ``nano``, with the
+    URL's bonus in ``score`` if it is asked for; none if the index has none of the words."""
     spark = kinds.sparkSession
     asked = kinds.collect()  # MOST_KINDS rows at most
     names = sorted({w["term"] for r in asked for w in r["words"]})
@@ -150,33 +145,28 @@ def _heads(index: Index, kinds: DataFrame, rerank: bool) -> DataFrame | None:
     number = {t: i for i, t in enumerate(df)}
     weight = {t: math.log(1 + (index.n_documents - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     of_kind: list[Kind] = []
-    inside = []
     for r in asked:
         known = [w for w in r["words"] if w["term"] in df]
         if known and (len(known) == len(r["words"]) or not r["every"]):
-            words = [(number[w["term"]], (1.0 + math.log(w["qtf"])) * weight[w["term"]]) for w in sorted(known, key=lambda w: df[w["term"]])]
+            # in the order of (df, term), so that equal inputs give equal bits
+            words = [(number[w["term"]], (1.0 + math.log(w["qtf"])) * weight[w["term"]], weight[w["term"]]) for w in sorted(known, key=lambda w: df[w["term"]])]
             of_kind.append(Kind(r["kind"], words, len(words) if r["every"] else 1, r["reach"]))
-            inside.append([{"df": df[w["term"]], "term": w["term"], "c": weight[w["term"]]} for w in known])
     if not of_kind:
         return None
     numbers = spark.createDataFrame(pa.table({"term": pa.array(list(number), pa.string()), "number": pa.array(list(number.values()), pa.int32())}))
     weighted = F.col("tf") + IMPORTANT_BOOST * F.col("important_tf")
     hits = _among(index.postings, list(df)).join(F.broadcast(numbers), "term").select(F.col("doc_id").cast("long").alias("doc_id"), "number", weighted.cast("double").alias("weighted"), F.greatest("doc_len", F.lit(1)).cast("long").alias("doc_len"))
-    found = heads(hits, sum(df.values()), of_kind, len(number), index.average_length)
+    named = None
     if rerank:
-        shape = pa.list_(pa.struct([("df", pa.int64()), ("term", pa.string()), ("c", pa.float64())]))
-        words = spark.createDataFrame(pa.table({"kind": pa.array([k.number for k in of_kind], pa.int64()), "words": pa.array(inside, shape)}))
-        named = F.filter("words", lambda w: F.array_contains("url_terms", w["term"]))
-        found = found.join(index.documents.select("doc_id", "url_terms"), "doc_id").join(F.broadcast(words), "kind")
-        found = found.withColumn("total", F.col("score") + URL_BOOST * _ordered_sum(named)).drop("url_terms", "words")
-    return found
+        named = index.documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("url_terms").alias("term")).join(F.broadcast(numbers), "term").select("doc_id", "number")
+    return heads(hits, sum(df.values()), of_kind, len(number), index.average_length, named, URL_BOOST)
 
 
 def search_batch(index: Index, queries: DataFrame, rerank: bool = True) -> DataFrame:
     """Results of every query of ``queries`` (query_id, query, mode, limit)."""
     kinds, members = _kinds(cut(query_terms(queries, index.analyzer)), rerank)
     parts = [_heads(index, kinds.where(F.col("kind").between(i, i + MOST_KINDS - 1)), rerank) for i in range(0, kinds.count(), MOST_KINDS)]
-    parts = [x for x in parts if x is not None] or [queries.sparkSession.createDataFrame([], HEADS + ", total double" * rerank)]
+    parts = [x for x in parts if x is not None] or [queries.sparkSession.createDataFrame([], HEADS)]
     small = members.count() <= MOST_ROWS
 
     def narrow(rows: DataFrame) -> DataFrame:
@@ -188,8 +178,8 @@ def search_batch(index: Index, queries: DataFrame, rerank: bool = True) -> DataF
     head = reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(best))
     asked = members.groupBy("kind", "reach").agg(F.max("limit").alias("most"))
     if rerank:
-        again = Window.partitionBy("kind", "reach").orderBy(F.desc("matched"), F.desc(F.round("total", 9)), "doc_id")
-        head = head.join(narrow(asked), "kind").where("place <= reach").withColumn("rank", F.row_number().over(again)).withColumn("score", F.col("total"))
+        again = Window.partitionBy("kind", "reach").orderBy(F.desc("matched"), F.desc(F.round("score", 9)), "doc_id")
+        head = head.join(narrow(asked), "kind").where("place <= reach").withColumn("rank", F.row_number().over(again))
     else:
         head = head.join(narrow(asked), "kind").withColumn("rank", F.col("place"))
     won = head.where("rank <= most").select("kind", "reach", "rank", "score", "doc_id", F.col("matched").alias("matched_terms"))

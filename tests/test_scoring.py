@@ -58,6 +58,20 @@ def test_no_row_for_each_query_and_document_when_published(spark, monkeypatch, t
     assert len(found) == 200 and {r.doc_id for r in found} == {0}
 
 
+def test_heads_are_shuffled_once(spark):
+    """Their URLs' words are known where they are scored: 60 heads of 256 of 800 texts need no second shuffle to meet the texts."""
+    index = index_of_texts(spark.createDataFrame([(i, " ".join(WORDS), f"https://a.example/{WORDS[i % 12]}") for i in range(800)], "doc_id long, text string, url string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = []
+    try:
+        assert shuffled_rows(spark, lambda: found.extend(s.search_batch(index, asked_often(spark)).collect())) < 35_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # all words have one idf, so the first text of the word that is asked for and smallest comes first
+    assert {r.query_id: r.doc_id for r in found} == {i: min(i % 12, (i + 1 + i % 5) % 12) for i in range(200)}
+
+
 def ranking(rows, query, mode, limit, rerank):
     """By the rules alone: (doc_id, score, matched) in order."""
     texts = {i: Counter(text.split()) for i, text, _ in rows}

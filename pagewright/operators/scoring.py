@@ -3,8 +3,9 @@
 A row for every document that a query touches would be as many as queries times documents.  So the postings are spread
 by document and packed into blocks (a row each: arrays by term), and every query is scored inside each block, by
 additions into arrays.  What leaves a block are the query's best documents only, and of these only such as can be among
-the best of all blocks: a first pass gives, for each query and block, the value at the places 1, 2, 4, ...; from these
-follows a value that enough documents of all blocks reach.
+the best of all blocks: a first pass gives, for each query and block, the value and id at the places 1, 2, 4, ...; from
+these follows a place in the order that enough documents of all blocks reach; ids belong to it, as texts that score alike
+would all reach a mere value.
 
 The order is that of the ranking: matched terms, then score to nine digits, then the smaller id.
 
@@ -27,7 +28,7 @@ from pagewright.operators.postings import saturation
 from pagewright.session import cut
 
 HEADS = "kind bigint, doc_id bigint, matched int, score double, nano bigint"
-_PLACES = "kind bigint, matched int, nano bigint, more bigint, reach bigint"
+_PLACES = "kind bigint, matched int, nano bigint, doc_id bigint, more bigint, reach bigint"
 _BLOCK = "docs binary, lengths binary, starts binary, at binary, weighted binary"
 #: Postings of a block, more or less, and the fewest for which another block is begun.
 BLOCK_ROWS, LEAST_ROWS = 500_000, 50_000
@@ -78,7 +79,7 @@ def _best(matched: np.ndarray, nano: np.ndarray, reach: int) -> np.ndarray:
     return among[np.lexsort((among, -nano[among], -matched[among]))][:reach]
 
 
-def _scored(kinds: list[Kind], average: float, floors: dict[int, tuple[int, int]], named: int = 0) -> Callable:
+def _scored(kinds: list[Kind], average: float, floors: dict[int, tuple[int, int, int]], named: int = 0) -> Callable:
     """For every block and query: (query, ids, matched, score in units, score in 1e-9, sum of the gains by the URL) of the best
     documents in order, without those below the query's floor.  ``named``: the number of the first term's hits in URLs, if there are any."""
 
@@ -106,8 +107,8 @@ def _scored(kinds: list[Kind], average: float, floors: dict[int, tuple[int, int]
                 matched = np.ones(len(found), dtype=np.int32)
             nano = np.rint(gain * (1e9 / UNIT)).astype(np.int64)
             if kind.number in floors:
-                level, least = floors[kind.number]
-                keep = np.flatnonzero((matched > level) | ((matched == level) & (nano >= least)))
+                level, least, last = floors[kind.number]
+                keep = np.flatnonzero((matched > level) | ((matched == level) & ((nano > least) | ((nano == least) & (docs[found] <= last)))))
                 found, matched, gain, nano = found[keep], matched[keep], gain[keep], nano[keep]
             if len(found):
                 best = _best(matched, nano, kind.reach)
@@ -150,18 +151,19 @@ def _head_columns(boost: float) -> Callable[..., tuple]:
 
 
 def _place_columns(kind: Kind, ids: np.ndarray, matched: np.ndarray, gain: np.ndarray, nano: np.ndarray, inside: np.ndarray) -> tuple:
-    """The values at the places 1, 2, 4, ... and at the last one, and how many places each stands for."""
+    """The values and ids at the places 1, 2, 4, ... and at the last one, and how many places each stands for."""
     n = len(ids)
     places = np.array(sorted({*(1 << i for i in range(n.bit_length())), n}), dtype=np.int64)
-    return np.full(len(places), kind.number, dtype=np.int64), matched[places - 1], nano[places - 1], np.diff(places, prepend=0), np.full(len(places), kind.reach, dtype=np.int64)
+    return np.full(len(places), kind.number, dtype=np.int64), matched[places - 1], nano[places - 1], ids[places - 1], np.diff(places, prepend=0), np.full(len(places), kind.reach, dtype=np.int64)
 
 
-def _floors(blocks: DataFrame, kinds: list[Kind], average: float) -> dict[int, tuple[int, int]]:
-    """For each query the largest value known to be reached by as many documents as it wants; none if they are fewer."""
+def _floors(blocks: DataFrame, kinds: list[Kind], average: float) -> dict[int, tuple[int, int, int]]:
+    """For each query the first place in the order (matched, nano, id) known to be reached by as many documents as it wants; none if they are fewer."""
     places = _rows(blocks, _scored(kinds, average, {}), _place_columns, _PLACES)
-    falling = Window.partitionBy("kind").orderBy(F.desc("matched"), F.desc("nano"))
+    falling = Window.partitionBy("kind").orderBy(F.desc("matched"), F.desc("nano"), "doc_id")
     reached = places.withColumn("so_far", F.sum("more").over(falling)).where("so_far >= reach")
-    return {r["kind"]: (r["v"]["matched"], r["v"]["nano"]) for r in reached.groupBy("kind").agg(F.max(F.struct("matched", "nano")).alias("v")).collect()}
+    first = F.max(F.struct("matched", "nano", (-F.col("doc_id")).alias("before")))
+    return {r["kind"]: (r["v"]["matched"], r["v"]["nano"], -r["v"]["before"]) for r in reached.groupBy("kind").agg(first.alias("v")).collect()}
 
 
 def heads(hits: DataFrame, rows: int, kinds: list[Kind], terms: int, average: float, named: DataFrame | None = None, boost: float = 0.0) -> DataFrame:

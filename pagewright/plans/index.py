@@ -38,6 +38,8 @@ from pagewright.session import cut, map_columns
 FORMAT_VERSION = 2
 V1_ENTRY = "map<string,array<bigint>>"
 TABLES = ("documents", "postings", "lexicon")
+#: Codec of tables that hold a word or more of every text: little over half the bytes of the engine's default.
+CODEC = "zstd"
 #: Pages whose terms a task holds at once while it analyses them.
 PAGES = 200
 
@@ -121,7 +123,7 @@ def index_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "te
     analyze = ANALYZERS[analyzer]
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     named = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.substring(F.col(text_col), 1, 320).alias("snippet"), analyze.column(F.col(text_col)).alias("terms"))
-    good = cut(counted(named))
+    good = cut(counted(named), CODEC)
     postings = good.select("doc_id", "doc_len", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", F.lit(0).alias("important_tf"), "doc_len")
     documents = good.select("doc_id", "url", "doc_len", F.lit("").alias("title"), "snippet", F.array_distinct(analyze.short(unquoted(F.col("url")))).alias("url_terms"))
     summary = good.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest("doc_len", F.lit(1))), F.lit(1.0)).alias("a")).first()

@@ -25,11 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there: lineage ends, lost executors cost nothing that was
-    written, and what reads it takes only the columns it needs."""
+    written, and what reads it takes only the columns it needs.  ``codec``: another one than the engine's default."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/pagewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Batches of queries: what is shuffled for them, and their ranking over many blocks."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pagewright.functions.htmlfields import document_fields
 from pagewright.operators import scoring
 from pagewright.plans import search as s
 from pagewright.plans.index import BuildStats, index_of_pages, index_of_texts, open_index, publish
+from pagewright.session import cut
 
 WORDS = "anchor basil copper drum ember fern gravel hazel iris jetty kelp loom".split()
 ASKED = "query_id long, query string, mode string, limit int"
@@ -72,6 +74,27 @@ def test_heads_are_shuffled_once(spark):
     assert {r.query_id: r.doc_id for r in found} == {i: min(i % 12, (i + 1 + i % 5) % 12) for i in range(200)}
 
 
+def test_texts_that_score_alike_do_not_all_leave_their_blocks(spark, monkeypatch):
+    """Of 800 equal texts in some 20 blocks a query wants 64, which is as many as a block has: 60 queries would send 48,000 rows."""
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 480)
+    index = index_of_texts(spark.createDataFrame([(i, " ".join(WORDS), "") for i in range(800)], "doc_id long, text string, url string"))
+    asked = spark.createDataFrame([(i, f"{WORDS[i % 12]} {WORDS[(i + 1 + i // 12) % 12]}", "any", 64) for i in range(60)], ASKED)
+    found = []
+    assert shuffled_rows(spark, lambda: found.extend(s.search_batch(index, asked, rerank=False).collect())) < 40_000
+    assert len(found) == 60 * 64 and all(r.doc_id == r["rank"] - 1 for r in found)
+
+
+def test_counted_texts_are_written_small(spark):
+    rows = [(i, " ".join(f"{w}{i * 7919 % 9973}" for w in WORDS), f"https://a.example/{i}") for i in range(4000)]
+
+    def size(codec):
+        files = cut(index_of_texts(spark.createDataFrame(rows, "doc_id long, text string, url string")).documents, codec).inputFiles()
+        return sum(os.path.getsize(f.removeprefix("file:")) for f in files)
+
+    files = index_of_texts(spark.createDataFrame(rows, "doc_id long, text string, url string")).documents.inputFiles()
+    assert all(".zstd." in f for f in files) and size("zstd") < 0.8 * size("snappy")
+
+
 def ranking(rows, query, mode, limit, rerank):
     """By the rules alone: (doc_id, score, matched) in order."""
     texts = {i: Counter(text.split()) for i, text, _ in rows}

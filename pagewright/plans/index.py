@@ -176,9 +176,9 @@ def publish(spark: SparkSession, index: Index, stats: BuildStats, path: str, ove
     mark = uuid.uuid4().hex
     work, aside = f"{path.rstrip('/')}.{mark}.tmp", hadoop.Path(f"{path.rstrip('/')}.{mark}.old")
     try:
-        index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{work}/documents")
+        index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{work}/documents", compression=CODEC)
         # a term of very many postings is spread over several files
-        index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{work}/postings")
+        index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{work}/postings", compression=CODEC)
         index.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{work}/lexicon")
         stats.partial_indexes = max(1, len(spark.read.parquet(f"{work}/postings").inputFiles()))
         stats.elapsed_seconds = round(stats.elapsed_seconds + time.time() - began, 3)

@@ -60,6 +60,15 @@ def test_no_row_for_each_query_and_document_when_published(spark, monkeypatch, t
     assert len(found) == 200 and {r.doc_id for r in found} == {0}
 
 
+def test_a_published_index_is_written_small(spark, tmp_path):
+    """Texts and postings lie there as zstd, and nothing is lost."""
+    rows, texts = texts_of(spark, 300)
+    index = index_of_texts(texts)
+    publish(spark, index, BuildStats(300, 0, 0, 12), str(tmp_path / "index"))
+    assert all(".zstd." in f for name in ("documents", "postings") for f in spark.read.parquet(str(tmp_path / "index" / name)).inputFiles())
+    assert sorted(map(tuple, open_index(spark, str(tmp_path / "index")).postings.collect())) == sorted(map(tuple, index.postings.collect()))
+
+
 def test_heads_are_shuffled_once(spark):
     """Their URLs' words are known where they are scored: 60 heads of 256 of 800 texts need no second shuffle to meet the texts."""
     index = index_of_texts(spark.createDataFrame([(i, " ".join(WORDS), f"https://a.example/{WORDS[i % 12]}") for i in range(800)], "doc_id long, text string, url string"))
